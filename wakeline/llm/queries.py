@@ -8,13 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.llm import license as licenses
-from wakeline.llm import quality, simhash
+from wakeline.llm import mixing, quality, repeats, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("source", "times")
+
+
 def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -57,5 +65,41 @@ FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source
 """
 
 
+OP4_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 10))::BIGINT AS u
+  FROM documents),
+s0 AS (SELECT source, count(*) AS docs, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
+t0 AS (SELECT sum(source_size)::DOUBLE AS total FROM s0),
+fill AS (
+  SELECT 0 AS step, list(source IS NULL ORDER BY source NULLS LAST) AS x, [false for i in range(count(*))] AS capped FROM s0
+  UNION ALL
+  SELECT step + 1, x, (SELECT list(c ORDER BY source NULLS LAST) FROM (
+      SELECT source, capped[k] OR (total - (sum(CASE WHEN capped[k] THEN 3 * source_size ELSE 0 END) OVER ())) * weight / (sum(CASE WHEN capped[k] THEN 0 ELSE weight END) OVER ()) > 3 * source_size AS c
+      FROM (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM s0), t0))
+  FROM fill WHERE step < (SELECT count(*) FROM s0)),
+cap AS (SELECT capped FROM fill ORDER BY step DESC LIMIT 1),
+s1 AS (SELECT s0.*, capped[row_number() OVER (ORDER BY source NULLS LAST)] AS c FROM s0, cap),
+s2 AS (SELECT *, CASE WHEN c THEN 3.0::DOUBLE * source_size ELSE ((total - sum(CASE WHEN c THEN 3 * source_size ELSE 0 END) OVER ()) / sum(CASE WHEN c THEN 0 ELSE weight END) OVER ()) * weight END AS target FROM s1, t0),
+s3 AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole, ceil(docs / 1024)::BIGINT AS buckets FROM s2),
+s4 AS (SELECT *, target - whole * source_size AS quota FROM s3),
+r AS (SELECT doc_id, d.source, size, u, source_size, target, whole, quota, (u * buckets) // 1099511627776 AS b FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source),
+b0 AS (SELECT source, b, quota, sum(size) AS n FROM r GROUP BY ALL),
+b1 AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY b) - n AS before FROM b0),
+b2 AS (SELECT source, b AS last_b, quota - before AS room FROM b1 WHERE before <= quota AND before + n > quota),
+q AS (SELECT r.source, room, u, size, row_number() OVER (PARTITION BY r.source ORDER BY u, size, doc_id) AS k FROM r JOIN b2 ON r.source IS NOT DISTINCT FROM b2.source AND b = last_b),
+walk AS (
+  SELECT source, 0::BIGINT AS k, NULL::BIGINT AS u, room, false AS took FROM b2
+  UNION ALL
+  SELECT q.source, q.k, q.u, CASE WHEN size > 0 AND size <= walk.room THEN walk.room - size ELSE walk.room END, size > 0 AND size <= walk.room
+  FROM walk JOIN q ON q.source IS NOT DISTINCT FROM walk.source AND q.k = walk.k + 1),
+took AS (SELECT DISTINCT source, u FROM walk WHERE took)
+SELECT doc_id, size, source_size, target,
+  CASE WHEN source_size = 0 THEN 0 ELSE size * (whole + (CASE WHEN last_b IS NULL THEN quota > 0 ELSE b < last_b OR took.u IS NOT NULL END)::INT) END::BIGINT AS taken
+FROM r LEFT JOIN b2 ON r.source IS NOT DISTINCT FROM b2.source LEFT JOIN took ON r.source IS NOT DISTINCT FROM took.source AND r.u = took.u
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": OP8_SQL}
+    return {"op4_source_mixing": OP4_SQL, "op8_quality_rules": OP8_SQL}
