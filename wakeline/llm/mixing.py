@@ -73,12 +73,12 @@ def plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -
     last = last.select(F.col("plan_source").alias("last_source"), F.col("bucket").alias("last_bucket"), (F.col("quota") - F.col("before")).alias("room"))
     inside = rows.join(last, F.col("source").eqNullSafe(F.col("last_source")) & (F.col("bucket") == F.col("last_bucket")))
     # one bucket of a source: about BUCKET documents, whatever the source's size
-    taken = inside.groupBy("last_source", "last_bucket", "room").agg(F.array_sort(F.collect_list(F.struct("u", "size", "doc_id"))).alias("list"))
+    taken = inside.groupBy("last_source", "last_bucket", "room").agg(F.array_sort(F.collect_list(F.struct("u", "size", _known(F.col("doc_id")).alias("doc_id")))).alias("list"))
     start = F.struct(F.col("room").alias("room"), F.array().cast("array<bigint>").alias("ids"))
     fold = F.aggregate(
         "list",
         start,
-        lambda s, x: F.when((x["size"] <= s["room"]) & (x["size"] > 0), F.struct((s["room"] - x["size"]).alias("room"), F.concat(s["ids"], F.array(x["u"])).alias("ids"))).otherwise(s),
+        lambda s, x: F.when((x["size"] <= s["room"]) & (x["size"] > 0), F.struct((s["room"] - x["size"]).alias("room"), F.concat(s["ids"], F.array(x["doc_id"])).alias("ids"))).otherwise(s),
     )
     chosen = taken.select("last_source", "last_bucket", fold["ids"].alias("chosen"))
     return t.join(chosen, F.col("plan_source").eqNullSafe(F.col("last_source")), "left").drop("last_source")
@@ -88,11 +88,15 @@ def bucket(u: Column, buckets: Column) -> Column:
     return F.floor(u * buckets / F.lit(_SPACE)).cast("long")
 
 
-def _times(size: Column, u: Column) -> Column:
+def _known(id_col: Column) -> Column:
+    return F.coalesce(id_col.cast("long"), F.lit(-(1 << 63)))
+
+
+def _times(id_col: Column) -> Column:
     """How often the plan takes a document of its source."""
     # no last bucket: the quota takes all of the source, or its size is 0
-    b = bucket(u, F.col("buckets"))
-    more = F.when(F.col("last_bucket").isNull(), F.col("quota") > 0).otherwise((b < F.col("last_bucket")) | ((b == F.col("last_bucket")) & F.coalesce(F.array_contains("chosen", u), F.lit(False))))
+    b = bucket(_hash(id_col), F.col("buckets"))
+    more = F.when(F.col("last_bucket").isNull(), F.col("quota") > 0).otherwise((b < F.col("last_bucket")) | ((b == F.col("last_bucket")) & F.coalesce(F.array_contains("chosen", _known(id_col)), F.lit(False))))
     return F.when(F.col("source_size") > 0, F.col("whole") + more.cast("long")).otherwise(F.lit(0)).cast("long")
 
 
@@ -103,7 +107,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     is joined on the source: broadcast while sources are few, split where one is hot.
     """
     slim = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")))
-    found = slim.join(plan(slim), F.col("source").eqNullSafe(F.col("plan_source"))).withColumn("times", _times(F.col("size"), _hash(F.col("doc_id"))))
+    found = slim.join(plan(slim), F.col("source").eqNullSafe(F.col("plan_source"))).withColumn("times", _times(F.col("doc_id")))
     return found.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
 
 
@@ -114,5 +118,5 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     a, p = docs.alias("a"), plan(slim).select(F.struct("*").alias("__plan"))
     both = a.join(p, F.col(f"a.{source_col}").cast("string").eqNullSafe(F.col("__plan.plan_source")))
     both = both.select(F.struct(*[F.col(f"a.`{c}`") for c in names]).alias("__row"), "__plan.*")
-    times = _times(F.lit(0), _hash(F.col(f"__row.`{id_col}`").cast("long")))
+    times = _times(F.col(f"__row.`{id_col}`").cast("long"))
     return both.withColumn("__time", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select("__row.*")
