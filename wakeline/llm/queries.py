@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.llm import license as licenses
-from wakeline.llm import mixing, quality, repeats, simhash
+from wakeline.llm import mixing, quality, repeats, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("source", "times")
 
@@ -65,6 +69,13 @@ FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source
 """
 
 
+OP3_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, octet_length(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f
+"""
+
 OP4_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -102,4 +113,4 @@ FROM r LEFT JOIN b2 ON r.source IS NOT DISTINCT FROM b2.source LEFT JOIN took ON
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mixing": OP4_SQL, "op8_quality_rules": OP8_SQL}
+    return {"op3_warc_round_trip": OP3_SQL, "op4_source_mixing": OP4_SQL, "op8_quality_rules": OP8_SQL}
