@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.llm import license as licenses
-from wakeline.llm import mixing, quality, repeats, simhash, warc
+from wakeline.llm import mixing, quality, quotes, repeats, simhash, urlgraph, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,14 @@ def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlgraph.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_order(_table(spark, sf_dir, "conversations"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", *quality.FEATURES, "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"))
@@ -45,6 +53,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+OP6_SQL = r"""
+WITH RECURSIVE u AS (SELECT page_id, coalesce(html, '') AS html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules(rule, verdict) AS (VALUES ('net/', 'block'), ('example.net/en/', 'allow'), ('example.com/de/', 'block'), ('org/fr/', 'allow')),
+r AS (
+  SELECT p.*, (SELECT max_by(struct_pack(rule := rule, verdict := verdict), length(rule)) FROM rules
+    WHERE ('.' || p.host) LIKE '%.' || split_part(rule, '/', 1) AND starts_with(p.path, substr(rule, strpos(rule, '/')))) AS m FROM p),
+seed AS (
+  SELECT host, avg(CASE WHEN m.verdict = 'allow' THEN 1.0 ELSE 0.0 END) AS t, avg(CASE WHEN m.verdict = 'block' THEN 1.0 ELSE 0.0 END) AS d FROM r WHERE host <> '' GROUP BY host),
+link AS (SELECT host AS src, lower(unnest(regexp_extract_all(html, '\shref\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)', 1, 'i'))) AS dst FROM p),
+edge AS (SELECT src, dst, count(*) AS n FROM link WHERE src <> '' AND src <> dst GROUP BY ALL),
+flow AS (
+  SELECT 't' AS kind, src AS a, dst AS b, n / sum(n) OVER (PARTITION BY src) AS w FROM edge
+  UNION ALL SELECT 'd', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM edge),
+start AS (SELECT 't' AS kind, host, 0.15 * t AS s FROM seed UNION ALL SELECT 'd', host, 0.15 * d FROM seed),
+walk AS (
+  SELECT 0 AS k, kind, host, s FROM start
+  UNION ALL
+  SELECT k + 1, kind, host, sum(s) FROM (SELECT walk.k, walk.kind, b AS host, 0.85 * w * s AS s FROM walk JOIN flow ON walk.kind = flow.kind AND walk.host = flow.a WHERE walk.k < 20) GROUP BY ALL),
+score AS (SELECT host, sum(CASE kind WHEN 't' THEN s ELSE 0 END) AS trust, sum(CASE kind WHEN 'd' THEN s ELSE 0 END) AS distrust FROM walk GROUP BY host)
+SELECT page_id, r.host, path, m.rule AS rule, coalesce(m.verdict, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) > 0.075 THEN 'block' ELSE 'allow' END) AS verdict
+FROM r LEFT JOIN score ON r.host = score.host
+"""
+
 OP8_SQL = r"""
 WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t),
@@ -113,4 +145,4 @@ FROM r LEFT JOIN b2 ON r.source IS NOT DISTINCT FROM b2.source LEFT JOIN took ON
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_round_trip": OP3_SQL, "op4_source_mixing": OP4_SQL, "op8_quality_rules": OP8_SQL}
+    return {"op3_warc_round_trip": OP3_SQL, "op4_source_mixing": OP4_SQL, "op6_url_filter": OP6_SQL, "op8_quality_rules": OP8_SQL}
