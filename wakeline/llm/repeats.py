@@ -19,12 +19,13 @@ anchor's rows; which anchors are in that list changes where work is done, never
 Equal runs and windows are merged in each batch before they are dealt.
 
 Defined results: null and short texts keep everything; a null id comes after all ids; of rows
-that share an id, the order is by a hash of the row, and of equal rows one keeps its bytes.
+that share an id, the order is by the bucket and the hash of the row, and of equal rows one keeps its bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -172,8 +173,8 @@ def _joined(blobs: list[bytes], *kinds: str) -> list[np.ndarray]:
 
 
 _RUN = ("<i8", "<u4", "u1", "u1")  # row, offset, anchor - offset, windows (+ 128 if hot)
-_SPAN = ("<i8", "<u4", "<u4")  # row, start, end
-_CONTEXT = ("<u8", "<i8", "<i8", "<u4", "u1")  # group, id, row, offset, windows
+_SPAN = ("<u4", "<u4", "<u4", "<u4")  # bucket and place of the document in it, start, end
+_CONTEXT = ("<i8", "<u4", "<u4", "<u4", "u1", "u1")  # id, bucket, place, offset, anchor - offset (255: a hot window), windows
 
 
 def hot_anchors(rows: DataFrame) -> np.ndarray:
@@ -240,15 +241,6 @@ def _documents(table: pa.Table) -> list[tuple[int, int, bytes, int | None]]:
     return sorted(docs, key=lambda d: d[:2])
 
 
-def _spans(spans: dict[int, list[tuple[int, int, int]]]) -> list[tuple]:
-    """Rows of kind 1 from spans by bucket."""
-    out = []
-    for i, x in spans.items():
-        row, start, end = zip(*x, strict=True)
-        out.append((1, i, pack(np.array(row, np.int64), np.array(start, np.uint32), np.array(end, np.uint32)), b""))
-    return out
-
-
 _DEALT = {"kind": pa.int32(), "bucket": pa.int64(), "blob": pa.binary(), "data": pa.binary()}
 
 
@@ -261,10 +253,11 @@ def fetched_contexts(docs: DataFrame, runs: DataFrame, n: int) -> DataFrame:
         row, at, lead, windows = row[order], at[order].tolist(), lead[order].tolist(), windows[order].tolist()
         seen: set[bytes] = set()
         seen_windows: set[bytes] = set()
-        spans: dict[int, list] = {}
+        spans: list[tuple] = []
         contexts: dict[int, list] = {}
+        own = left.column("bucket")[0].as_py() if len(left) else 0
         before = None
-        for order_id, r, text, _ in _documents(left):
+        for place, (order_id, r, text, _) in enumerate(_documents(left)):
             if r == before:
                 continue  # a row equal to the last: remove() takes it whole
             before = r
@@ -273,22 +266,22 @@ def fetched_contexts(docs: DataFrame, runs: DataFrame, n: int) -> DataFrame:
                 a, w = at[k], windows[k] & 127
                 context = text[a : a + w - 1 + LENGTH]
                 if context in seen:
-                    spans.setdefault(r % n, []).append((r, a, a + len(context)))
+                    spans.append((own, place, a, a + len(context)))
                     continue
                 seen.add(context)
                 if windows[k] < 128:
                     group = xxhash.xxh64_intdigest(context[lead[k] : lead[k] + GRAM])
-                    contexts.setdefault(group % n, []).append((group, order_id, r, a, w, context))
+                    contexts.setdefault(group % n, []).append((order_id, own, place, a, lead[k], w, context))
                     continue
                 for p in range(w):
                     window = context[p : p + LENGTH]
                     if window in seen_windows:
-                        spans.setdefault(r % n, []).append((r, a + p, a + p + LENGTH))
+                        spans.append((own, place, a + p, a + p + LENGTH))
                     else:
                         seen_windows.add(window)
                         group = xxhash.xxh64_intdigest(window)
-                        contexts.setdefault(group % n, []).append((group, order_id, r, a + p, 1, window))
-        out = _spans(spans)
+                        contexts.setdefault(group % n, []).append((order_id, own, place, a + p, 255, 1, window))
+        out = [(1, own, pack(*(np.array(f, k) for f, k in zip(zip(*spans, strict=True), _SPAN, strict=True))), b"")] if spans else []
         for i, x in contexts.items():
             *fields, data = zip(*x, strict=True)
             blob = pack(*(np.array(f, k) for f, k in zip(fields, _CONTEXT, strict=True)))
@@ -304,13 +297,14 @@ def copied_spans(contexts: DataFrame, n: int) -> DataFrame:
     def meet(table: pa.Table) -> pa.Table:
         kinds, blobs, datas = (table.column(k).to_pylist() for k in ("kind", "blob", "data"))
         known = _joined([b for k, b in zip(kinds, blobs, strict=True) if k == 1], *_SPAN)
-        group, ident, row, at, windows = _joined([b for k, b in zip(kinds, blobs, strict=True) if k == 0], *_CONTEXT)
+        ident, home, place, at, lead, windows = _joined([b for k, b in zip(kinds, blobs, strict=True) if k == 0], *_CONTEXT)
         data = b"".join(unpack(d, "u1")[0].tobytes() for k, d in zip(kinds, datas, strict=True) if k == 0)
         sizes = windows.astype(np.int64) + LENGTH - 1
         begin = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else sizes
-        order = np.lexsort((at, row, ident))
+        order = np.lexsort((at, place, home, ident))
         seen: set[bytes] = set()
-        whole, first, texts = [], [], []
+        whole, first, texts, anchors = [], [], [], []
+        leads = lead.tolist()
         for k in order.tolist():
             x = data[begin[k] : begin[k] + sizes[k]]
             if x in seen:
@@ -319,13 +313,14 @@ def copied_spans(contexts: DataFrame, n: int) -> DataFrame:
                 seen.add(x)
                 first.append(k)
                 texts.append(x)
-        spans = [tuple(known), (row[whole], at[whole], at[whole] + sizes[whole].astype(np.uint32))]
+                anchors.append(x if leads[k] == 255 else x[leads[k] : leads[k] + GRAM])
+        spans = [tuple(known), (home[whole], place[whole], at[whole], at[whole] + sizes[whole].astype(np.uint32))]
         # different runs of one anchor, in document order
         first = np.array(first, np.int64)
         shared = np.zeros(len(first), bool)
         if len(first):
-            _, inverse, counts = np.unique(group[first], return_inverse=True, return_counts=True)
-            shared = counts[inverse] > 1
+            met = Counter(anchors)
+            shared = np.array([met[x] > 1 for x in anchors], bool)
         if shared.any():
             some = first[shared]
             text = np.frombuffer(b"".join(x for x, s in zip(texts, shared.tolist(), strict=True) if s), np.uint8)
@@ -339,9 +334,9 @@ def copied_spans(contexts: DataFrame, n: int) -> DataFrame:
                 a = later[new]
                 z = later[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(later) - 1]))]
                 k = some[owner[a]]
-                spans.append((row[k], at[k] + step[a].astype(np.uint32), at[k] + (step[z] + LENGTH).astype(np.uint32)))
-        row, start, end = (np.concatenate(x) for x in zip(*spans, strict=True))
-        out = [(i, pack(*x)) for i, x in _dealt(row % n, row, start.astype(np.uint32), end.astype(np.uint32))]
+                spans.append((home[k], place[k], at[k] + step[a].astype(np.uint32), at[k] + (step[z] + LENGTH).astype(np.uint32)))
+        home, place, start, end = (np.concatenate(x).astype(np.uint32) for x in zip(*spans, strict=True))
+        out = [(i, pack(*x)) for i, x in _dealt(home, home, place, start, end)]
         return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "blob": pa.array([x[1] for x in out], pa.binary())})
 
     return contexts.groupBy("bucket").applyInArrow(meet, "bucket long, blob binary")
@@ -370,7 +365,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     small_batches(spark)
-    n = 4 * parts(spark)
+    n = 2 * parts(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
     runs = recurring_runs(rows, hot_anchors(rows), n)
@@ -378,15 +373,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = copied_spans(fetched_contexts(placed, runs, n), n)
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        row, start, end = _joined(right.column("blob").to_pylist(), *_SPAN)
-        order = np.argsort(row, kind="stable")
-        row, start, end = row[order], start[order], end[order]
+        _, places, start, end = _joined(right.column("blob").to_pylist(), *_SPAN)
+        order = np.argsort(places, kind="stable")
+        places, start, end = places[order], start[order], end[order]
         out, kept, before = [], [], None
-        for _, r, text, ident in _documents(left):
+        for place, (_, r, text, ident) in enumerate(_documents(left)):
             if r == before:
                 found = [(0, len(text))] if len(text) >= LENGTH else []
             else:
-                i, j = np.searchsorted(row, r, "left"), np.searchsorted(row, r, "right")
+                i, j = np.searchsorted(places, place, "left"), np.searchsorted(places, place, "right")
                 found = merged(start[i:j], end[i:j])
             before = r
             edges = [0, *(x for s in found for x in s), len(text)]
