@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.llm import license as licenses
-from wakeline.llm import mixing, quality, quotes, repeats, simhash, urlgraph, warc
+from wakeline.llm import decontam, mixing, packing, quality, quotes, repeats, simhash, urlgraph, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op2_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -40,6 +44,10 @@ def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.reply_order(_table(spark, sf_dir, "conversations"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", *quality.FEATURES, "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"))
