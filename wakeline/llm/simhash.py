@@ -33,16 +33,16 @@ BITS = 4
 
 def _masks() -> np.ndarray:
     """The kept bits of each of the 183 kinds of key."""
-    ones = lambda a, b: sum(1 << i for i in range(a, b))
+    span = lambda a, b: sum(1 << i for i in range(a, b))
     bounds = [(0, 21), (21, 42), (42, 64)]
     out = []
     for k, (a, b) in enumerate(bounds):
         rest = [i for i in range(64) if not a <= i < b]
         whole = np.array_split(rest, 5)
-        out += [ones(a, b) | sum(1 << int(i) for i in block) for block in whole]
+        out += [span(a, b) | sum(1 << int(i) for i in block) for block in whole]
         if k < 2:
             for bit in range(a, b):
-                out += [(ones(a, b) & ~(1 << bit)) | sum(1 << int(i) for i in block) for block in np.array_split(rest, 4)]
+                out += [(span(a, b) & ~(1 << bit)) | sum(1 << int(i) for i in block) for block in np.array_split(rest, 4)]
     return np.array(out, np.uint64)
 
 
@@ -63,15 +63,24 @@ def shingle_hashes(raw: bytes, size: int) -> np.ndarray:
     return np.array([digest(text[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)], np.uint64)
 
 
+def ones(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes set each of the 64 bits."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(h), 255 << 8):  # bounded memory for very long texts
+        part = h[at : at + (255 << 8)]
+        bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        full = len(part) // 255 * 255
+        # sums of 255 rows fit a byte, and bytes are summed many at once
+        total += np.add.reduce(np.add.reduce(bits[:full].reshape(-1, 255, 64), axis=1, dtype=np.uint8), axis=0, dtype=np.int64)
+        total += np.add.reduce(bits[full:], axis=0, dtype=np.uint8)
+    return total
+
+
 def majority(h: np.ndarray) -> int:
     """The 64-bit fingerprint of shingle hashes: bits set in over half of them."""
     if not len(h):
         return 0
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), 1 << 16):  # bounded memory for very long texts
-        bits = np.unpackbits(h[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += np.add.reduce(bits, axis=0, dtype=np.int64)
-    return int(sum(1 << i for i in np.flatnonzero(2 * ones > len(h)).tolist()))
+    return int.from_bytes(np.packbits(2 * ones(h) > len(h), bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
