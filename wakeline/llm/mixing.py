@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import cut, n_words
+from wakeline.llm.common import cut, n_words, written
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -115,7 +115,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The mix itself: rows of docs, all columns, each as often as the mix takes it; no text is shuffled."""
     slim = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")))
     names = docs.columns
-    a, p = docs.alias("a"), plan(slim).select(F.struct("*").alias("__plan"))
+    a, p = docs.alias("a"), written(plan(slim), "mixing-plan").select(F.struct("*").alias("__plan"))
     both = a.join(p, F.col(f"a.{source_col}").cast("string").eqNullSafe(F.col("__plan.plan_source")))
     both = both.select(F.struct(*[F.col(f"a.`{c}`") for c in names]).alias("__row"), "__plan.*")
     times = _times(F.col(f"__row.`{id_col}`").cast("long"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import as_bytes, cut, small_batches
+from wakeline.llm.common import as_bytes, cut, small_batches, written
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -130,5 +130,6 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     from pyspark.sql.types import BooleanType, StructType
 
     bad = host_verdicts(cut(document_rules(docs, id_col, text_col, host_col)), max_rate).where("host_rejected").select(F.col("host").alias("__bad_host"))
+    bad = written(bad, "bad-hosts")  # a table whose size is known: broadcast only if it is small
     kept = docs.mapInArrow(rows, StructType([*docs.schema.fields]).add(ok, BooleanType())).where(ok).drop(ok)
     return kept.join(bad, F.col(host_col).cast("string").eqNullSafe(F.col("__bad_host")), "left_anti")
