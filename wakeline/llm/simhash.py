@@ -16,6 +16,7 @@ repeated rows and copies share a fingerprint; a null id never names a component.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,14 +98,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def forest(values: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links among distinct fingerprints that share a key."""
-    edges, left = [], values
-    queue: list[np.uint64] = []
+    """Edges of a spanning forest of the links among distinct fingerprints that share a key; the least
+    come first, so that the forests of other keys share its edges."""
+    edges, left = [], np.sort(values)
+    queue: deque[np.uint64] = deque()
     while len(left):
         if not queue:
             queue.append(left[0])
             left = left[1:]
-        at = queue.pop()
+        at = queue.popleft()
         near = np.bitwise_count(left ^ at) <= bits
         if near.any():
             found = left[near]
@@ -176,44 +178,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 LANES = 6
-LANE_BITS = 64 * (LANES + 1)  # one more lane checks chance meetings
-CHECK_BITS = 16
-_LANE = np.random.default_rng(5).integers(0, 2**64, LANES + 1, dtype=np.uint64)
+CHECKS = 3  # further lanes, of which similarity is read
+_LANE = np.random.default_rng(5).integers(0, 2**64, LANES + CHECKS, dtype=np.uint64)
 #: Each of a lane's three segments with one bit left out.
 _VARIANTS = np.array([((1 << b) - (1 << a)) & ~(1 << k) for a, b in ((0, 21), (21, 42), (42, 64)) for k in range(a, b)], np.uint64)
 
 
 def lanes(raw: bytes, size: int) -> bytes:
-    """Seven independent SimHash fingerprints of the set of a text's shingles, 56 bytes."""
+    """Nine independent SimHash fingerprints of the set of a text's shingles, 72 bytes."""
     h = np.unique(shingle_hashes(raw, size))
     return b"".join(majority(mix(h ^ k)).to_bytes(8, "little") for k in _LANE)
 
 
 def most_bits(similarity: float) -> int:
-    """Differing bits of two texts' lanes up to which they count as similar.
+    """Differing bits of two texts' check lanes up to which they count as similar.
 
     A bit differs with probability acos(2J / (1 + J)) / pi at Jaccard similarity J; one standard
     deviation is allowed on top, so that similarity itself is more often met than missed.
     """
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(LANE_BITS * p + np.sqrt(LANE_BITS * p * (1 - p)))
+    n, p = 64 * CHECKS, np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(n * p + np.sqrt(n * p * (1 - p)))
 
 
 def similar_links(prints: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) between nodes of prints(node, lanes) whose lanes differ in most_bits() at most.
+    """Edges (a, b) that connect the nodes of prints(node, lanes) whose check lanes differ in most_bits() at most.
 
     Texts of similarity 0.8 differ in about 15 % of the bits, far beyond what segments of one
-    fingerprint find for certain, so each lane is cut in three and each segment indexed with one
-    bit left out: one of the 18 segments differs by at most one bit in 94 % of the pairs at
-    0.8, 99 % at 0.85. Meetings are checked by the extra lane, emitted as spanning forests, and
-    verified on all lanes.
+    fingerprint find for certain, so each of six lanes is cut in three and each segment indexed with
+    one bit left out: one of the 18 segments differs by at most one bit in 94 % of the pairs at
+    0.8, 99 % at 0.85. What meets is compared by three further lanes and leaves a spanning forest.
     """
     n = 2 * parts(prints.sparkSession)
     kinds = LANES * len(_VARIANTS)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            every = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u8").reshape(-1, LANES + 1)
+            every = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u8").reshape(-1, LANES + CHECKS)
             node = b.column(0).to_numpy()
             keys = np.empty((len(every), kinds), np.uint64)
             with np.errstate(over="ignore"):
@@ -226,55 +226,52 @@ def similar_links(prints: DataFrame, similarity: float) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             bucket, keys, place = bucket[order], (keys[order] >> np.uint64(32)).astype(np.uint32), place[order]
             cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
-            table = pack(node, every[:, LANES].copy())
-            out = [(int(bucket[i]), table, pack(keys[i:j], place[i:j])) for i, j in zip(cuts, cuts[1:], strict=False) if i < j]
+            checks = [every[:, LANES + k].copy() for k in range(CHECKS)]
+            out = []
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i < j:
+                    used, own = np.unique(place[i:j], return_inverse=True)
+                    out.append((int(bucket[i]), pack(node[used], *(c[used] for c in checks)), pack(keys[i:j], own.astype(np.uint16))))
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "nodes", "blob"])
 
     def meet(table: pa.Table) -> pa.Table:
         keys, nodes, checks = [], [], []
         for t, blob in zip(table.column("nodes").to_pylist(), table.column("blob").to_pylist(), strict=True):
-            node, check = unpack(t, "<i8", "<u8")
+            node, *check = unpack(t, "<i8", *["<u8"] * CHECKS)
             key, place = unpack(blob, "<u4", "<u2")
-            keys.append(key), nodes.append(node[place]), checks.append(check[place])
+            keys.append(key), nodes.append(node[place]), checks.append(np.stack(check, 1)[place])
         key, node, check = np.concatenate(keys), np.concatenate(nodes), np.concatenate(checks)
+        close = lambda x, y: np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= most
         order = np.argsort(key)
         key, node, check = key[order], node[order], check[order]
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         sizes = np.diff([*starts, len(key)])
         two = starts[sizes == 2]
-        near = np.bitwise_count(check[two] ^ check[two + 1]) <= CHECK_BITS
+        near = close(check[two], check[two + 1])
         a, b = [node[two][near]], [node[two + 1][near]]
         for i, m in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            # the forest is of places, as nodes of one check value are different nodes
-            left, queue = np.arange(i, i + m), []
+            # the least nodes first, so that the runs of one group share their edges
+            left, queue = i + np.argsort(node[i : i + m]), deque()
             while len(left):
                 if not queue:
                     queue.append(left[0])
                     left = left[1:]
-                at = queue.pop()
-                close = np.bitwise_count(check[left] ^ check[at]) <= CHECK_BITS
-                if close.any():
-                    found = left[close]
+                at = queue.popleft()
+                hit = close(check[left], check[at])
+                if hit.any():
+                    found = left[hit]
                     a.append(np.full(len(found), node[at])), b.append(node[found])
                     queue.extend(found.tolist())
-                    left = left[~close]
+                    left = left[~hit]
         x, y = np.concatenate(a), np.concatenate(b)
         pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
         pairs = pairs[pairs[:, 0] < pairs[:, 1]]
         return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
 
-    small_batches(prints.sparkSession, 16_384)
-    met = prints.select("node", "lanes").mapInArrow(deal, "bucket long, nodes binary, blob binary").groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
     most = most_bits(similarity)
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u8").reshape(-1, LANES + 1) for c in (2, 3))
-            good = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good))
-
-    left, right = prints.select(F.col("node").alias("a"), F.col("lanes").alias("x")), prints.select(F.col("node").alias("b"), F.col("lanes").alias("y"))
-    return met.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
+    small_batches(prints.sparkSession, 16_384)
+    dealt = prints.select("node", "lanes").mapInArrow(deal, "bucket long, nodes binary, blob binary")
+    return dealt.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
