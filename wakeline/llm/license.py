@@ -126,10 +126,10 @@ def evaluate(expression: bytes) -> tuple[set[str], float | None]:
 
 
 def automaton() -> ahocorasick.Automaton:
-    """Phrases between spaces, over folded text; values: (is a base phrase, label, words)."""
+    """Phrases between spaces, over folded text; values: (base label, notice's label, is the tag, number of words)."""
     found = ahocorasick.Automaton()
     for words in {*BASE, *NOTICES, TAG}:
-        found.add_word(f" {words} ", (BASE.get(words), NOTICES.get(words), words == TAG, len(words) + 2))
+        found.add_word(f" {words} ", (BASE.get(words), NOTICES.get(words), words == TAG, len(words.split())))
     found.make_automaton()
     return found
 
@@ -141,9 +141,11 @@ def scan(raw: bytes, phrases: ahocorasick.Automaton) -> tuple:
     folded = b" " + b" ".join(words) + b" "
     text = folded.decode("latin-1")  # a byte a character: offsets are byte offsets
     places, base, labels, scores, tagged = [], set(), set(), [], False
-    for end, (b, notice, tag, length) in phrases.iter(text):
+    before = at = 0  # words that end before the byte at
+    for end, (b, notice, tag, size) in phrases.iter(text):  # by ascending end
         if b:
-            places.append(text.count(" ", 0, end - length + 1))
+            before, at = before + text.count(" ", at, end), end
+            places.append(before - size)
             base.add(b)
             if not notice:
                 scores.append(freedom(b))
