@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from wakeline.llm.common import cut
 
-_QUOTE = r"^[ \t]*(?:>[ \t]?)*"
+_QUOTE = r"^[ \t>]*"  # one class, no repeated group: any number of signs
 
 
 def _norm(x: Column) -> Column:
@@ -43,18 +43,17 @@ def _lines(text: Column) -> Column:
 
 
 def _passages(lines: Column) -> Column:
-    """array<struct<level, lines>>: neighbouring lines of one level; a blank line ends a passage."""
-    empty = F.array().cast("array<struct<level:int,lines:array<string>,open:boolean>>")
-
-    def step(s: Column, x: Column) -> Column:
-        blank = F.trim(x["text"]) == ""
-        fresh = F.concat(s, F.array(F.struct(x["level"].alias("level"), F.array(x["text"]).alias("lines"), (~blank).alias("open"))))
-        size = F.size(s)
-        joins = (size > 0) & ~blank & F.coalesce(F.get(s, size - 1)["open"] & (F.get(s, size - 1)["level"] == x["level"]), F.lit(False))
-        grown = F.concat(F.slice(s, 1, F.greatest(size - 1, F.lit(0))), F.array(F.struct(x["level"].alias("level"), F.concat(F.get(s, size - 1)["lines"], F.array(x["text"])).alias("lines"), F.lit(True).alias("open"))))
-        return F.when(joins, grown).otherwise(fresh)
-
-    return F.filter(F.aggregate(lines, empty, step), lambda p: F.exists(p["lines"], lambda t: F.trim(t) != ""))
+    """array<struct<level, lines>>: neighbouring lines of one level; a blank line ends a passage.
+
+    Passages are slices between the places where they start and end, so time is linear in the lines.
+    """
+    n = F.size(lines)
+    blank = lambda i: F.trim(F.get(lines, i)["text"]) == ""
+    apart = lambda i, j: blank(j) | (F.get(lines, i)["level"] != F.get(lines, j)["level"])
+    at = F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~blank(i))
+    starts = F.filter(at, lambda i: (i == 0) | apart(i, i - 1))
+    ends = F.filter(at, lambda i: (i == n - 1) | apart(i, i + 1))
+    return F.zip_with(starts, ends, lambda i, j: F.struct(F.get(lines, i)["level"].alias("level"), F.transform(F.slice(lines, i + 1, j - i + 1), lambda x: x["text"]).alias("lines")))
 
 
 def parse(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
