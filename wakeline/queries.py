@@ -121,7 +121,7 @@ scalars("fn_cidr", {
     "a": ('cidrMatch(ip, "10.1.0.0/16", "10.2.16.9/20")', "event_id % 4 = 1 OR event_id % 4 = 2 AND event_id % 256 BETWEEN 16 AND 31"), "b": ('cidrMatch(event_type, "10.0.0.0/8")', "false"), "c": ('cidrMatch(missing, "0.0.0.0/0")', "false"), "d": ('cidrMatch("fe80::1", "fe80::/10")', "true"),
 }, ip="concat('10.', event_id % 4, '.', event_id % 256, '.', event_id % 100)")
 scalars("arr_functions", {
-    "a": ('arrayContains(a, "a", "zz")', "true"), "b": ('arrayContains(a, "CLICK")', "list_contains(a, 'click')"), "c": ('arraySearch(a, x, x == "v*" or x == "2")', "len(list_filter(a, x -> x LIKE 'v%' OR x = '2')) > 0"), "d": ('arrayCount(a, x, length(x) == 1)', "len(list_filter(a, x -> length(x) = 1))::BIGINT"),
+    "a": ('arrayContains(a, "a", "zz")', "true"), "b": ('arrayContains(a, "CLICK")', "list_contains(a, 'click')"), "c": ('arraySearch(a, x, x == "v*" or x == "2")', "len(list_filter(a, lambda x: x LIKE 'v%' OR x = '2')) > 0"), "d": ('arrayCount(a, x, length(x) == 1)', "len(list_filter(a, lambda x: length(x) = 1))::BIGINT"),
     "e": ("length(a)", "len(a)::BIGINT"), "f": ("a[2]", "a[3]"), "g": ("a[9]", "NULL::VARCHAR"), "h": ("arraySearch(missing, x, true)", "false"), "i": ("arrayCount(event_type, x, true)", "0::BIGINT"), "j": ("arrayContains(missing, 1)", "NULL::BOOLEAN"),
 }, a="split(concat(event_type, ',A,', event_id % 3), ',')")
 
