@@ -1,0 +1,157 @@
+"""Sequences, joins, samples and ancestry on random streams, against literal state machines.
+
+One Spark run holds many independent streams: `case` is a key of every query.
+"""
+
+import random
+
+import pytest
+
+from tests import machines
+from wakeline.api import Config, Engine
+from wakeline.operators.patterns import Timing
+from wakeline.plans.parser import Dialect
+
+ELASTIC = Dialect(elastic=True, allow_negation=True, allow_sample=True, allow_runs=True)
+CASES, LENGTH = 80, 40
+
+
+def streams(seed):
+    """Rows with ties in time, mixed case and null keys."""
+    r = random.Random(seed)
+    rows, ord_ = [], 0
+    for case in range(CASES):
+        time = 0
+        for _ in range(LENGTH):
+            ord_ += r.randint(1, 3)
+            time += r.choice([0, 0, 1, 1, 2, 5])
+            rows.append({
+                "case": case, "__ord": ord_, "__time": time, "__type": r.choice(["a", "b", "c"]), "x": r.randint(0, 3), "y": r.choice([0, 1, 1, None]), "k": r.choice(["p", "P", "q", None]), "n": r.choice([1, 2]),
+            })
+    return rows
+
+
+FRAME = "case long, __ord long, __time long, __type string, x long, y long, k string, n long"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([tuple(e[c.split()[0]] for c in FRAME.split(", ")) for e in rows], FRAME)
+
+
+def compare(spark, text, dialect=ELASTIC, seed=1, case_sensitive=False):
+    rows = streams(seed)
+    e = Engine(spark, Config(ticks=1, dialect=dialect, case_sensitive=case_sensitive))
+    q = e.parse(text).base
+    got = sorted(tuple(x["__ord"] for x in r.events) for r in e.raw(text, frame(spark, rows)).collect())
+    machine = {"Sequence": machines.sequence, "Join": machines.join, "Sample": machines.sample}[type(q).__name__]
+    extra = {"span": Timing(1).span(q.maxspan)} if type(q).__name__ == "Sequence" else {}
+    want = sorted(tuple(x["__ord"] for x in m) for c in range(CASES) for m in machine(q, [x for x in rows if x["case"] == c], context=e.context, **extra))
+    assert got == want and want, (len(got), len(want))
+
+
+@pytest.mark.parametrize("text", [
+    "sequence by case [a where true] [b where true]",
+    "sequence by case, k [a where x > 0] [b where true] [c where true]",
+    "sequence by case with maxspan=4s [a where true] [any where x == 1] [b where true] [c where true]",
+    "sequence by case with maxspan=3s [any where true] by x [any where x > 1] by n",
+    "sequence by case, x [a where true] [a where true] [a where true]",
+    "sequence by case [a where true] by k [b where true] by k until [c where x == 2] by k",
+    "sequence by case with maxspan=9s [a where true] [b where true] fork=true [c where true] until [any where x == 3 and y == 1]",
+    "sequence by case [a where true] [b where y == 1] fork [any where n == 2] fork [c where true]",
+    "sequence by case with maxspan=6s [a where true] ![b where x > 1] [c where true]",
+    "sequence by case with maxspan=6s ![b where x > 1] [a where true] [c where true]",
+    "sequence by case with maxspan=6s [a where true] [c where true] ![b where x > 1]",
+    "sequence by case, k with maxspan=9s [a where true] ![b where x > 1] ![any where x == 3] [c where true] until [a where n == 2 and x == 0]",
+    "sequence by case [a where true] with runs=2 [b where true]",
+    "sequence by case [a where true] by y [b where true] by y",
+    "sequence by case with maxspan=500ms [a where true] [b where true]",
+    "join by case [a where true] [b where true]",
+    "join by case, k [a where true] [any where x > 1] [c where true]",
+    "join by case [a where true] by x [b where true] by n until [c where x == 3] by n",
+    "join by case [any where x > 0] [any where x > 1] [any where n == 1]",
+    "join by case [a where true] [b where y == null] until [b where y == 1 and x == 1]",
+    "sample by case [a where true] [b where true]",
+    "sample by case, k [a where x > 0] [any where n == 1] [any where x > 1]",
+])
+def test_random_streams(spark, text):
+    compare(spark, text)
+
+
+def test_keys_keep_case_if_asked(spark):
+    compare(spark, "sequence by case, k [a where true] [b where true]", seed=2, case_sensitive=True)
+
+
+def test_no_keys(spark):
+    rows = streams(5)[:300]
+    for k, e in enumerate(rows):
+        e["__time"] = k // 3
+    for text in ("sequence with maxspan=20s [a where x == 1] [b where true] [c where x == 2]", "join [a where true] [b where x == 1] until [c where x == 3]", "sample [a where x == 1] [b where true]"):
+        e = Engine(spark, Config(ticks=1, dialect=ELASTIC))
+        q = e.parse(text).base
+        extra = {"span": 20} if text.startswith("sequence") else {}
+        want = [tuple(x["__ord"] for x in m) for m in getattr(machines, text.split()[0])(q, rows, **extra)]
+        got = [tuple(x["__ord"] for x in r.events) for r in e.raw(text, frame(spark, rows)).orderBy("__ord").collect()]
+        assert sorted(got) == sorted(want) and want
+
+
+def test_one_shuffle_for_all_steps(spark):
+    """A sequence of four steps is planned as one exchange and one sort."""
+    text = "sequence by case, k with maxspan=9s [a where true] [b where true] [c where true] [a where x == 1] until [b where x == 3]"
+    plan = Engine(spark, Config(dialect=ELASTIC)).raw(text, frame(spark, streams(1)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1 and "Python" not in plan
+
+
+PROCESS = "case long, __ord long, __time long, __type string, subtype string, pid long, ppid long, process_name string, x long"
+
+
+def processes(seed):
+    r = random.Random(seed)
+    rows, ord_ = [], 0
+    for case in range(CASES):
+        for _ in range(LENGTH):
+            ord_ += r.choice([1, 1, 2, 5_000_000])  # places far apart cross the scan's stretches
+            rows.append({
+                "case": case, "__ord": ord_, "__time": ord_, "__type": r.choice(["process", "process", "file"]), "subtype": r.choice(["create", "create", "fork", "terminate", "other", None]), "pid": r.choice([0, 1, 2, 3, 4, 5, 6, None]),
+                "ppid": r.choice([1, 2, 3, 4, 5, 6]), "process_name": r.choice(["System", "x", "system", "x"]), "x": r.randint(0, 4),
+            })
+    return rows
+
+
+@pytest.mark.parametrize("kind", ["event", "child", "descendant"])
+@pytest.mark.parametrize("inner", ["process where x == 1", "any where x > 2", "file where true"])
+def test_ancestry_of_random_streams(spark, kind, inner):
+    rows = processes(7)
+    df = spark.createDataFrame([tuple(e[c.split()[0]] for c in PROCESS.split(", ")) for e in rows], PROCESS)
+    e = Engine(spark, Config(host_partition="case"))
+    text = f"any where {kind} of [{inner}]"
+    q = e.parse(text)
+    relation = q.base.where
+    want = set()
+    for c in range(CASES):
+        mine = [x for x in rows if x["case"] == c]
+        want |= {x["__ord"] for x, held in zip(mine, machines.related(kind, relation.query, mine), strict=True) if held}
+    got = {r["__ord"] for r in e.raw(text, df).collect()}
+    assert got == want and want
+
+
+@pytest.mark.parametrize("kind", ["event", "child", "descendant"])
+def test_ancestry_without_hosts(spark, kind):
+    rows = processes(9)[:400]
+    df = spark.createDataFrame([tuple(e[c.split()[0]] for c in PROCESS.split(", ")) for e in rows], PROCESS)
+    e = Engine(spark)
+    text = f"any where {kind} of [process where x == 1]"
+    want = {x["__ord"] for x, held in zip(rows, machines.related(kind, e.parse(text).base.where.query, rows), strict=True) if held}
+    assert {r["__ord"] for r in e.raw(text, df).collect()} == want and want
+
+
+def test_nested_ancestry(spark):
+    rows = [
+        (0, 1, 1, "process", "create", 10, 1, "root.exe", 0), (0, 2, 2, "process", "create", 20, 10, "mid.exe", 0), (0, 3, 3, "process", "create", 30, 20, "leaf.exe", 0), (0, 4, 4, "file", None, 30, None, None, 7),
+        (0, 5, 5, "process", "terminate", 30, 20, "leaf.exe", 0), (0, 6, 6, "process", "create", 40, 99, "other.exe", 0), (0, 7, 7, "file", None, 30, None, None, 7),
+    ]
+    df = spark.createDataFrame(rows, PROCESS)
+    run = lambda text: [r["__ord"] for r in Engine(spark).raw(text, df).orderBy("__ord").collect()]
+    assert run('file where descendant of [process where process_name == "ROOT.exe"]') == [4]
+    assert run('file where child of [process where child of [process where process_name == "root.exe"]]') == [4]
+    assert run('any where descendant of [process where process_name == "root.exe"] and not event of [file where true]') == [2, 3]
+    assert run('process where child of [process where process_name == "mid.exe"]') == [3, 5]

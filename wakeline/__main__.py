@@ -1,15 +1,17 @@
-"""Command line: query, optimize, check, shell."""
+"""Command line: query, optimize, check, build, shell."""
 
 from __future__ import annotations
 
 import argparse
+import glob
 import json
 import sys
 from collections.abc import Sequence
 from typing import Any
 
-from wakeline.api import Config, Engine, load_file
-from wakeline.errors import QueryError
+from wakeline import __version__
+from wakeline.api import Config, Engine, load_analytics, load_file, save_analytics
+from wakeline.errors import ParseError, QueryError
 from wakeline.plans.parser import Dialect
 from wakeline.plans.schema import Schema
 
@@ -71,9 +73,30 @@ def shell(engine: Engine, lines: Any = None) -> int:
     return 0
 
 
+def optimized(engine: Engine, text: str) -> str:
+    """An expression, or else a query, as the rewriter leaves it."""
+    try:
+        return engine.parse_expression(text).text()
+    except ParseError:
+        return engine.parse(text).text()
+
+
+def build(engine: Engine, source: str, target: str) -> None:
+    """Check analytics (a file or a glob of files) and save them as one file in the target's format."""
+    found = [a for path in sorted(glob.glob(source)) or [source] for a in load_analytics(path)]
+    for a in found:
+        engine.parse(a.query)
+    save_analytics(found, target)
+
+
 def main(argv: Sequence[str] | None = None) -> int:
     top = argparse.ArgumentParser(prog="wakeline")
+    top.add_argument("-V", "--version", action="version", version=f"wakeline {__version__}")
     sub = top.add_subparsers(dest="command", required=True)
+    p = sub.add_parser("build")
+    p.add_argument("-c", "--config")
+    p.add_argument("source")
+    p.add_argument("target")
     for name in ("query", "optimize", "check", "shell"):
         p = sub.add_parser(name)
         p.add_argument("-c", "--config")
@@ -87,9 +110,13 @@ def main(argv: Sequence[str] | None = None) -> int:
     try:
         if args.command in ("optimize", "check"):
             engine = engine_of(args, None)
-            q = engine.parse(args.text)
             if args.command == "optimize":
-                print(q.text())
+                print(optimized(engine, args.text))
+            else:
+                engine.parse(args.text)
+            return 0
+        if args.command == "build":
+            build(engine_of(args, None), args.source, args.target)
             return 0
         from wakeline.sources import frames, sinks
 

@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.errors import CompileError, ParseError
+from wakeline.errors import CompileError
 from wakeline.functions import values as v
 from wakeline.functions.scalar import Context
 from wakeline.functions.values import Value
@@ -109,6 +109,11 @@ class Engine:
             self.frame = frames.from_events(self.spark, source)
         return self
 
+    def parse_expression(self, text: str) -> t.Node:
+        """An expression alone: expanded and simplified, not checked against a schema."""
+        x = self.definitions.expand(parser.expression(text, self.config.dialect))
+        return simplify(x, self.context) if self.config.dialect.optimize else x
+
     def define(self, text: str) -> Engine:
         """Add macros and constants."""
         self.definitions.add(parser.definitions(text, self.config.dialect))
@@ -120,8 +125,7 @@ class Engine:
         return self
 
     def register(self, name: str, f: Callable[..., Any], returns: str = v.STRING) -> Engine:
-        """Add a function. f gets and returns Columns, or with `python` values by an Arrow-backed UDF if it
-        was wrapped by scalar_udf()."""
+        """Add a function of Columns; plain Python goes through register_python()."""
 
         def build(args: list[Value]) -> Value:
             return Value(f(*(a.col for a in args)), returns)
@@ -153,10 +157,7 @@ class Engine:
         names.add(found)
         q = names.expand(q)  # type: ignore[assignment]
         if check:
-            try:
-                Checker(text, self.config.schema, self.config.dialect, custom=frozenset(self.functions)).query(q)
-            except ParseError:
-                raise
+            Checker(text, self.config.schema, self.config.dialect, custom=frozenset(self.functions)).query(q)
         if self.config.dialect.optimize:
             q = simplify(q, self.context)  # type: ignore[assignment]
         return q
@@ -270,6 +271,19 @@ class Engine:
             flow = pipes.PIPES[p.name](flow, p.args)
         return flow.df.drop(*(c for c in META if c in flow.df.columns))
 
+    def post_process(self, results: DataFrame, text: str, several: bool | None = None) -> DataFrame:
+        """The pipes of a query, run on results at hand (rows of raw() or of other engines). several: whether
+        the pipes see all events of a match or, if false, only its first; by default what results hold."""
+        q = self.parse(text)
+        x = results if ORD in results.columns else results.withColumn(ORD, F.monotonically_increasing_id())
+        many = "events" in x.columns
+        if many and several is False:
+            x, many = x.select("*", F.col("events")[0].alias("__first")).select(ORD, "__first.*"), False
+        flow = pipes.Flow(x, many, self.context, self.config.host_key, self.functions)
+        for p in q.pipes:
+            flow = pipes.PIPES[p.name](flow, p.args)
+        return flow.df.drop(*(c for c in META if c in flow.df.columns))
+
     def stream(self, text: str, df: DataFrame, **options: Any) -> DataFrame:
         """The query over a streaming frame; see wakeline.streaming.streams."""
         from wakeline.streaming import streams

@@ -24,8 +24,7 @@ from wakeline.sources.frames import ORD, TYPE
 class Processes:
     """Where process ids are, and what creates and ends them.
 
-    host: an expression that parts independent hosts; without it all events are one host, and
-    the order of its process events is found in one task (of two numbers a row).
+    host: an expression that parts independent hosts; without it all events are one host.
     """
 
     pid: str = "pid"
@@ -43,6 +42,34 @@ def _text(x: v.Value) -> Column:
     return v.text_of(x).col
 
 
+SHIFT = 22  # bits of the order in one window at most: four million rows of a host, whatever its length
+
+
+def _scan(rows: DataFrame, at: str, bits: int) -> DataFrame:
+    """rows(host, at, first, boots) with `after`, the least `first` at later places of the host, and `before`,
+    the sum of `boots` at earlier ones. Windows are over stretches of 2^SHIFT places; what lies beyond
+    comes from the stretches' own sums, scanned in the same way."""
+    top = bits <= SHIFT
+    group = [] if top else [f"{at}_"]
+    x = rows if top else rows.withColumn(f"{at}_", F.shiftright(at, SHIFT))
+    w = Window.partitionBy("host", *group).orderBy(at)
+    x = x.withColumn("after", F.min("first").over(w.rowsBetween(1, Window.unboundedFollowing)))
+    x = x.withColumn("before", F.coalesce(F.sum("boots").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    if top:
+        return x
+    sums = rows.groupBy("host", F.shiftright(at, SHIFT).alias(f"{at}_")).agg(F.min("first").alias("first"), F.sum("boots").alias("boots"))
+    beyond = _scan(sums, f"{at}_", bits - SHIFT).select("host", f"{at}_", F.col("after").alias("beyond"), F.col("before").alias("earlier"))
+    x = x.join(beyond, ["host", f"{at}_"])
+    return x.withColumns({"after": F.coalesce("after", "beyond"), "before": F.col("before") + F.col("earlier")}).drop("beyond", "earlier", f"{at}_")
+
+
+def along(slim: DataFrame) -> DataFrame:
+    """slim with `epoch`, the boots of a host up to each row, and for ended rows `next`, the process event after it."""
+    x = slim.withColumns({"first": F.when(F.col("process"), F.col("ord")), "boots": F.col("boot").cast("bigint")})
+    x = _scan(x, "ord", 64)
+    return x.withColumns({"epoch": F.col("before") + F.col("boots"), "next": F.when(F.col("ended"), F.col("after"))}).drop("first", "boots", "after", "before")
+
+
 def mark(df: DataFrame, compiler: Compiler, relation: t.Relation, processes: Processes, name: str) -> DataFrame:
     """df with a boolean column `name`: whether the relation holds at each row."""
     pid, ppid = _text(_value(compiler, processes.pid)), _text(_value(compiler, processes.ppid))
@@ -64,10 +91,7 @@ def mark(df: DataFrame, compiler: Compiler, relation: t.Relation, processes: Pro
         F.col(ORD).alias("ord"), F.coalesce(host, F.lit("")).alias("host"), pid.alias("pid"), ppid.alias("ppid"), hit.alias("hit"), no(is_process & create).alias("create"), ended.alias("ended"), boot.alias("boot"), no(is_process).alias("process")
     )
     # a boot clears all: count boots, and look no further back than the last
-    along = Window.partitionBy("host").orderBy("ord")
-    after = Window.partitionBy("host").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
-    slim = slim.withColumn("epoch", F.sum(F.col("boot").cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    slim = slim.withColumn("next", F.when(F.col("ended"), F.first(F.when(F.col("process"), F.col("ord")), ignorenulls=True).over(after)))
+    slim = along(slim)
     # rows of a timeline: clear (0) < look back (1) < mark (2) < look (3) at one arrival
     clears = slim.where("ended AND next IS NOT NULL").select("host", "pid", F.col("next").alias("ord"))
     epochs = slim.select("host", "ord", "epoch")
