@@ -63,7 +63,8 @@ def plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -
     t = targets(sizes, weights, cap)
     t = t.withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     t = t.withColumn("whole", F.floor("ratio").cast("long")).withColumn("quota", F.col("target") - F.col("whole") * F.col("source_size"))
-    t = cut(t.withColumn("buckets", F.ceil(F.col("docs") / BUCKET)).drop("ratio", "docs", "weight").withColumnRenamed("source", "plan_source"))
+    # written, so that its size is known: joins broadcast it while small, and else split a hot source
+    t = written(t.withColumn("buckets", F.ceil(F.col("docs") / BUCKET)).drop("ratio", "docs", "weight").withColumnRenamed("source", "plan_source"), "mixing-targets")
     rows = sizes.join(t, F.col("source").eqNullSafe(F.col("plan_source"))).withColumn("u", _hash(F.col("doc_id")))
     rows = rows.withColumn("bucket", bucket(F.col("u"), F.col("buckets")))
     sums = rows.groupBy("plan_source", "bucket", "quota").agg(F.sum("size").alias("n"))
@@ -107,7 +108,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     is joined on the source: broadcast while sources are few, split where one is hot.
     """
     slim = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")))
-    found = slim.join(plan(slim), F.col("source").eqNullSafe(F.col("plan_source"))).withColumn("times", _times(F.col("doc_id")))
+    found = slim.join(written(plan(slim), "mixing-plan"), F.col("source").eqNullSafe(F.col("plan_source"))).withColumn("times", _times(F.col("doc_id")))
     return found.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
 
 
