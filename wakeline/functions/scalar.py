@@ -9,9 +9,9 @@ from __future__ import annotations
 import ipaddress
 import re
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 from typing import Any
 
 from pyspark.sql import Column
@@ -115,11 +115,24 @@ for _name, _py, _f in (
     ("add", lambda a, b: a + b, lambda a, b, _: F.try_add(a, b)),
     ("subtract", lambda a, b: a - b, lambda a, b, _: F.try_subtract(a, b)),
     ("multiply", lambda a, b: a * b, lambda a, b, _: F.try_multiply(a, b)),
-    ("divide", _divide, lambda a, b, whole: floor_divide(a, b) if whole else F.try_divide(a, b)),
+    ("divide", _divide, lambda a, b, _: F.try_divide(a, b)),
     ("modulo", lambda a, b: None if b == 0 else a % b, lambda a, b, _: modulo(a, b)),
 ):
     _build, _fold = _arith(_py, _f)
     register(Function(_name, ((NUMBER,), (NUMBER,)), NUMBER, _build, _fold))
+
+
+def _divide_build(_: Context, args: list[Value]) -> Value:
+    """Mixed values are whole or not row by row."""
+    a, b, whole = _pair(*args)
+    if whole or all(x.kind != MIXED for x in args):
+        return Value(floor_divide(a, b) if whole else F.try_divide(a, b), NUMBER, integral=whole)
+    out = F.try_divide(a, b)
+    both = reduce(and_, (v.variant_whole(x.col) if x.kind == MIXED else F.lit(x.integral) for x in args))
+    return Value(F.when(both, F.floor(out).cast("double")).otherwise(out), NUMBER)
+
+
+register(replace(REGISTRY["divide"], build=_divide_build))
 OPERATORS = {"+": "add", "-": "subtract", "*": "multiply", "/": "divide", "%": "modulo"}
 
 

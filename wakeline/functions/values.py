@@ -83,6 +83,11 @@ def variant_kind(col: Column) -> Column:
     )
 
 
+def variant_whole(col: Column) -> Column:
+    """Whether a VARIANT is a whole number."""
+    return F.schema_of_variant(col) == "BIGINT"
+
+
 def as_kind(v: Value, kind: str) -> Value:
     """v if it is of a kind, null where it is not. Nothing is ever converted."""
     if v.kind == kind:

@@ -25,7 +25,7 @@ DATA = "__data"
 
 def into(value: Value, path: tuple[str | int, ...]) -> Value:
     """A value below another: fields of objects, places of arrays, `word` of a string is equality."""
-    for p in path:
+    for k, p in enumerate(path):
         d = value.dtype
         if isinstance(d, T.StructType) and isinstance(p, str) and p in d.fieldNames():
             value = v.typed(value.col.getField(p), d[p].dataType)
@@ -35,7 +35,11 @@ def into(value: Value, path: tuple[str | int, ...]) -> Value:
             value = v.typed(F.get(value.col, F.lit(p)), d.elementType)
         elif value.kind == v.MIXED or isinstance(d, T.VariantType):
             step = f"$[{p}]" if isinstance(p, int) else "$['" + p.replace("\\", "\\\\").replace("'", "\\'") + "']"
-            value = Value(F.try_variant_get(value.col, step, "variant"), v.MIXED, T.VariantType())
+            found = F.try_variant_get(value.col, step, "variant")
+            if k and k + 1 == len(path) and isinstance(p, str):
+                word = v.as_kind(Value(value.col, v.MIXED), v.STRING).col == p
+                found = F.coalesce(found, word.cast("variant"))
+            value = Value(found, v.MIXED, T.VariantType())
         elif value.kind == v.STRING and isinstance(p, str):
             value = Value(value.col == p, v.BOOLEAN)
         else:
