@@ -134,16 +134,19 @@ class Engine:
         return self
 
     def register_python(self, name: str, f: Callable[..., Any], returns: str = v.STRING) -> Engine:
-        """Add a plain Python function of values; it is not called where an argument is null."""
+        """Add a plain Python function of values; it is not called where an argument is null. Mixed values
+        and objects come as what their JSON holds."""
         kinds = {v.STRING: "string", v.NUMBER: "double", v.BOOLEAN: "boolean"}
 
-        def safe(*args: Any) -> Any:
-            return None if any(a is None for a in args) else f(*args)
+        def build(args: list[Value]) -> Value:
+            ready = [a.kind in (v.STRING, v.NUMBER, v.BOOLEAN, v.ARRAY) for a in args]
 
-        udf = F.udf(safe, kinds[returns], useArrow=True)
+            def safe(*given: Any) -> Any:
+                values = [x if x is None or plain else json.loads(x) for x, plain in zip(given, ready, strict=True)]
+                return None if any(x is None for x in values) else f(*values)
 
-        def build(args: list[Value]) -> Value:
-            return Value(udf(*(a.col if a.kind in (v.STRING, v.NUMBER, v.BOOLEAN, v.ARRAY) else v.text_of(a).col for a in args)), returns)
+            columns = [a.col if plain else F.lit(None).cast("string") if a.kind == v.NULL else F.to_json(a.col) for a, plain in zip(args, ready, strict=True)]
+            return Value(F.udf(safe, kinds[returns], useArrow=True)(*columns), returns)
 
         self.functions[name] = build
         return self

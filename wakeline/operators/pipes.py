@@ -140,12 +140,17 @@ def unique(flow: Flow, args: tuple[t.Node, ...]) -> Flow:
     return flow.with_df(first_of(df, names).drop(*names))
 
 
+def united(sets: Column) -> Column:
+    """Hosts in order; null where there is none, so that sinks leave them out."""
+    return F.when(F.size(sets) > 0, F.array_sort(sets)).alias("hosts")
+
+
 @register("count")
 def count(flow: Flow, args: tuple[t.Node, ...]) -> Flow:
     """One row a key, with its share and hosts, by count and key; without keys one row of totals."""
     host = flow.hosts()
     df = flow.df if host is None else flow.df.withColumn("__host", host)
-    hosts = [] if host is None else [F.array_sort(F.collect_set("__host")).alias("hosts")]
+    hosts = [] if host is None else [united(F.collect_set("__host"))]
     total_hosts = [] if host is None else [F.size("hosts").alias("total_hosts")]
     if not args:
         got = df.agg(F.count("*").alias("count"), *hosts)
@@ -172,16 +177,20 @@ def count(flow: Flow, args: tuple[t.Node, ...]) -> Flow:
 
 @register("unique_count")
 def unique_count(flow: Flow, args: tuple[t.Node, ...]) -> Flow:
-    """The first result of each key with count, percent and hosts; a count from before is summed."""
+    """The first result of each key with count, percent and hosts; counts and hosts from before are summed up."""
     _needed(args, "unique_count")
     df, names = _keys(flow, args)
-    earlier = v.as_kind(flow.compiler().value(t.Field("count")), v.NUMBER).col.cast("bigint")
-    host = flow.hosts()
+    c = flow.compiler()
+    earlier = v.as_kind(c.value(t.Field("count")), v.NUMBER).col.cast("bigint")
+    host, before = flow.hosts(), c.value(t.Field("hosts"))
     df = df.withColumn("__n", F.coalesce(earlier, F.lit(1).cast("bigint")))
     hosts = []
-    if host is not None:
-        df = df.withColumn("__host", host)
-        hosts = [F.array_sort(F.collect_set("__host")).alias("hosts")]
+    none = F.array().cast("array<string>")
+    had = F.coalesce(before.col.cast("array<string>"), none) if before.kind == v.ARRAY else none
+    if host is not None or before.kind == v.ARRAY:
+        own = F.lit(None).cast("string") if host is None else host
+        df = df.withColumn("__host", F.when(own != "", F.array(own)).otherwise(had))
+        hosts = [united(F.array_distinct(F.flatten(F.collect_set("__host"))))]
     new = ["count", "percent", *(["hosts", "total_hosts"] if hosts else [])]
     kept = [c for c in flow.df.columns if c not in new and not (hosts and not flow.several and c == flow.host)]
     first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in kept]), ORD)
@@ -195,7 +204,7 @@ def unique_count(flow: Flow, args: tuple[t.Node, ...]) -> Flow:
 def merge(partials: DataFrame, pipe: t.Pipe) -> DataFrame:
     """Rows of `count` from several engines as one: counts summed, hosts united, shares anew."""
     has = "hosts" in partials.columns
-    hosts = [F.array_sort(F.array_distinct(F.flatten(F.collect_list("hosts")))).alias("hosts")] if has else []
+    hosts = [united(F.array_distinct(F.flatten(F.collect_set("hosts"))))] if has else []
     if not pipe.args:
         got = partials.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("count"), *hosts).withColumn("key", F.lit("totals"))
         names = ["key", "count"]
