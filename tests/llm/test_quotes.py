@@ -48,3 +48,14 @@ def test_very_long_text(spark):
     text = "\n".join(f"> line {k}" for k in range(300)) + "\n" + "word " * 50_000
     got = rows(spark, [(1, 0, "user", "line 7"), (1, 1, "user", text)])
     assert got[1, 1].parent == 0 and got[1, 1].reply == text.rpartition("\n")[2].strip()
+
+
+def test_common_line_across_stretches(spark):
+    """Turns far apart, so that parents stand in other stretches at every level."""
+    turns = [0, 1, 5, 70_000, 70_001, 2**33, 2**33 + 1, 2**50, 2**50 + 9, -3]
+    data = [(c, t, "user", "ok") for c in (1, None) for t in turns[::2]] + [(c, t, "user", f"> ok\nreply {t}") for c in (1, None) for t in turns[1::2]]
+    got = rows(spark, data)
+    said = turns[::2]
+    for c in (1, None):
+        for t in turns[1::2]:
+            assert got[c, t].parent == max((x for x in said if x < t), default=None), t

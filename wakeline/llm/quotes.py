@@ -12,8 +12,9 @@ depth and turn, parents stand before their replies. Depths and roots come from p
 as many rounds as the longest chain has bits.
 
 Keys hold the conversation and the hash; for the latest earlier message the keys are ordered by
-turn in a window, so no pairs are made where a line is very common. A line that is common in one very
-long conversation is one key of that window; it is streamed and spilled, not held.
+turn in a window, so no pairs are made where a line is very common. Windows are over stretches of
+turns, and what stretches hold is looked through in the same way, so a line that is common in one very
+long conversation is dealt to many tasks.
 
 Defined results: a null text says nothing; a null conversation is a conversation of its own; null
 turns come first and are nobody's parent; rows that repeat a conversation and turn are all kept
@@ -84,6 +85,28 @@ def _quoted(parsed: DataFrame) -> DataFrame:
     return p.select("conv_id", "turn", F.col("p.level").alias("level"), "place", F.posexplode(texts).alias("part", "norm")).where("norm <> ''")
 
 
+#: Bits of the turn in one stretch: 65,536 turns of a line in a window at most.
+STRETCH = 16
+
+
+def _latest(rows: DataFrame, at: str, bits: int) -> DataFrame:
+    """rows(conv_id, h, norm, at, source, ..) with parent, the largest source at earlier places of the key.
+
+    Rows of one place stand together, so a message is not its own source: only earlier ones count.
+    """
+    key = ["conv_id", "h", "norm"]
+    top, group = bits <= STRETCH, f"{at}_"
+    x = rows if top else rows.withColumn(group, F.shiftright(at, STRETCH))
+    w = Window.partitionBy(*key, *([] if top else [group])).orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("parent", F.max("source").over(w))
+    if top:
+        return x.select(*rows.columns, "parent")
+    sums = rows.groupBy(*key, F.shiftright(at, STRETCH).alias(group)).agg(F.max("source").alias("source"))
+    before = _latest(sums, group, bits - STRETCH).toDF(*[f"b_{c}" for c in (*key, group, "source", "parent")])
+    both = x.join(before, F.col("conv_id").eqNullSafe(F.col("b_conv_id")) & (F.col("h") == F.col("b_h")) & (F.col("norm") == F.col("b_norm")) & F.col(group).eqNullSafe(F.col(f"b_{group}")), "left")
+    return both.select(*[F.col(c) for c in rows.columns], F.coalesce("parent", "b_parent").alias("parent"))
+
+
 def links(parsed: DataFrame) -> DataFrame:
     """conv_id, turn, parent, n_unlinked of the messages that quote.
 
@@ -101,9 +124,7 @@ def links(parsed: DataFrame) -> DataFrame:
     both = said.select("conv_id", "h", "norm", "turn", F.col("turn").alias("source"), *[v.alias(k) for k, v in none.items()]).union(
         asked.select("conv_id", "h", "norm", "turn", F.lit(None).cast("long"), "level", "place", "part")
     )
-    # rows of one turn stand together, so a message is not its own source: only earlier turns count
-    w = Window.partitionBy("conv_id", "h", "norm").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    found = both.withColumn("parent", F.max("source").over(w)).where("level IS NOT NULL")
+    found = _latest(both, "turn", 64).where("level IS NOT NULL")
     rank = F.struct(F.col("parent").isNull(), "level", "place", "part", "parent")
     # a passage is linked if it or one of its lines is
     by = found.groupBy("conv_id", "turn", "place").agg(F.min(rank).alias("best"))
