@@ -156,6 +156,6 @@ def test_shell(spark, tmp_path, capsys):
 
 
 def test_dialect_from_configuration(tmp_path):
-    (tmp_path / "c.json").write_text(json.dumps({"dialect": {"elastic": True}, "time_unit": 1000}))
+    (tmp_path / "c.json").write_text(json.dumps({"dialect": {"strict": True}, "time_unit": 1000}))
     config, _ = cli.config_of(str(tmp_path / "c.json"))
-    assert config.dialect == Dialect(elastic=True, implied_any=True, implied_base=True) and config.ticks == 1000
+    assert config.dialect == Dialect(strict=True, implied_any=True, implied_base=True) and config.ticks == 1000

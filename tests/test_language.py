@@ -13,8 +13,8 @@ from wakeline.plans.macros import Definitions
 from wakeline.plans.parser import Dialect
 from wakeline.plans.simplify import simplify
 
-ELASTIC = Dialect(elastic=True, allow_negation=True, allow_sample=True, allow_runs=True)
-ENDPOINT = Dialect(endpoint=True)
+STRICT = Dialect(strict=True, allow_negation=True, allow_sample=True, allow_runs=True)
+DOLLAR = Dialect(dollar=True)
 OPEN = Dialect(implied_any=True, implied_base=True)
 
 
@@ -45,17 +45,17 @@ def test_rejected(text):
 
 
 @pytest.mark.parametrize("text, dialect", [
-    ("any where a : (\"x*\", \"y\") and b like \"z\" and c like~ \"w\" and d regex~ \"r.*\"", ELASTIC), ("any where a in~ (1) and f~(?b.c) == 1", ELASTIC), ('any where a == """raw \\ text"""', ELASTIC), ("sequence [a where true]", ELASTIC), ("sequence [a where true] with runs=3 [b where true]", ELASTIC),
-    ("sequence with maxspan=1s [a where true] ![b where true] [c where true]", ELASTIC), ("sample by h [a where true] [b where true]", ELASTIC), ("any where arraySearch(a, $x, $x.y == 1)", ENDPOINT), ("sequence [a where true] as e1 [b where e1.x == y]", ENDPOINT), ("a == 1", OPEN), ("| count", OPEN), ("not a | head", OPEN),
+    ("any where a : (\"x*\", \"y\") and b like \"z\" and c like~ \"w\" and d regex~ \"r.*\"", STRICT), ("any where a in~ (1) and f~(?b.c) == 1", STRICT), ('any where a == """raw \\ text"""', STRICT), ("sequence [a where true]", STRICT), ("sequence [a where true] with runs=3 [b where true]", STRICT),
+    ("sequence with maxspan=1s [a where true] ![b where true] [c where true]", STRICT), ("sample by h [a where true] [b where true]", STRICT), ("any where arraySearch(a, $x, $x.y == 1)", DOLLAR), ("sequence [a where true] as e1 [b where e1.x == y]", DOLLAR), ("a == 1", OPEN), ("| count", OPEN), ("not a | head", OPEN),
 ])
 def test_dialects_accept(text, dialect):
     parser.query(text, dialect)
 
 
 @pytest.mark.parametrize("text", ["any where a = 1", "any where a == 'x'", "any where a == ?\"x\"", "join [a where true] ![b where true]", "sequence [a where true] ![b where true] [c where true]", "sequence with maxspan=1s ![a where true] ![b where true]", "sequence [a where true] with runs=1 [b where true]"])
-def test_elastic_rejects(text):
+def test_strict_rejects(text):
     with pytest.raises(ParseError):
-        parser.query(text, ELASTIC)
+        parser.query(text, STRICT)
 
 
 def test_fault_points_at_the_place():
@@ -65,7 +65,7 @@ def test_fault_points_at_the_place():
 
 
 def test_runs_make_steps():
-    assert len(parser.query("sequence [a where true] with runs=3 [b where true]", ELASTIC)[1].base.steps) == 4
+    assert len(parser.query("sequence [a where true] with runs=3 [b where true]", STRICT)[1].base.steps) == 4
 
 
 def test_shared_keys_come_first():
@@ -186,9 +186,9 @@ def test_schema_rejects(text, fault):
 
 
 def test_schema_flags():
-    check("process where ?nothing == 1".replace("?", "?"), Dialect(elastic=True))
+    check("process where ?nothing == 1".replace("?", "?"), Dialect(strict=True))
     with pytest.raises(SchemaFault):
-        check("process where ?nothing == 1", Dialect(elastic=True, validate_optional=True))
+        check("process where ?nothing == 1", Dialect(strict=True, validate_optional=True))
     check("process where nothing == 1", allow_missing=True)
     check("generic where nothing == 1", allow_generic=True)
     with pytest.raises(SchemaFault):

@@ -12,7 +12,7 @@ from wakeline.api import Config, Engine
 from wakeline.operators.patterns import Timing
 from wakeline.plans.parser import Dialect
 
-ELASTIC = Dialect(elastic=True, allow_negation=True, allow_sample=True, allow_runs=True)
+STRICT = Dialect(strict=True, allow_negation=True, allow_sample=True, allow_runs=True)
 CASES, LENGTH = 80, 40
 
 
@@ -38,7 +38,7 @@ def frame(spark, rows):
     return spark.createDataFrame([tuple(e[c.split()[0]] for c in FRAME.split(", ")) for e in rows], FRAME)
 
 
-def compare(spark, text, dialect=ELASTIC, seed=1, case_sensitive=False):
+def compare(spark, text, dialect=STRICT, seed=1, case_sensitive=False):
     rows = streams(seed)
     e = Engine(spark, Config(ticks=1, dialect=dialect, case_sensitive=case_sensitive))
     q = e.parse(text).base
@@ -86,7 +86,7 @@ def test_no_keys(spark):
     for k, e in enumerate(rows):
         e["__time"] = k // 3
     for text in ("sequence with maxspan=20s [a where x == 1] [b where true] [c where x == 2]", "join [a where true] [b where x == 1] until [c where x == 3]", "sample [a where x == 1] [b where true]"):
-        e = Engine(spark, Config(ticks=1, dialect=ELASTIC))
+        e = Engine(spark, Config(ticks=1, dialect=STRICT))
         q = e.parse(text).base
         extra = {"span": 20} if text.startswith("sequence") else {}
         want = [tuple(x["__ord"] for x in m) for m in getattr(machines, text.split()[0])(q, rows, **extra)]
@@ -97,7 +97,7 @@ def test_no_keys(spark):
 def test_one_shuffle_for_all_steps(spark):
     """A sequence of four steps is planned as one exchange and one sort."""
     text = "sequence by case, k with maxspan=9s [a where true] [b where true] [c where true] [a where x == 1] until [b where x == 3]"
-    plan = Engine(spark, Config(dialect=ELASTIC)).raw(text, frame(spark, streams(1)))._jdf.queryExecution().executedPlan().toString()
+    plan = Engine(spark, Config(dialect=STRICT)).raw(text, frame(spark, streams(1)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1 and "Python" not in plan
 
 

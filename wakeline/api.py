@@ -30,7 +30,7 @@ from wakeline.sources.frames import META, ORD
 
 @dataclass(frozen=True)
 class Config:
-    """host_key, pid_key, ppid_key: paths of fields. ticks: of a second. data_source "endgame": opcodes
+    """host_key, pid_key, ppid_key: paths of fields. ticks: of a second. data_source: the name of a source whose opcodes
     tell creations and ends of processes. host_partition: a field that parts hosts in ancestry."""
 
     case_sensitive: bool = False
@@ -173,7 +173,7 @@ class Engine:
         """df with a column for each relationship test of the query, inner ones first."""
         found: dict[t.Relation, Column] = {}
         nodes = [x for x in t.walk(q) if isinstance(x, t.Relation)]
-        processes = lineage.Processes(self.config.pid_key, self.config.ppid_key, self.config.data_source == "endgame", self.config.host_partition)
+        processes = lineage.Processes(self.config.pid_key, self.config.ppid_key, self.config.data_source is not None, self.config.host_partition)
         for x in reversed(nodes):
             if x in found:
                 continue

@@ -20,7 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 MICRO = Config(ticks=1_000_000, host_key="no_host")
-ELASTIC = Dialect(elastic=True, implied_any=True, implied_base=True, allow_negation=True, allow_sample=True, allow_runs=True)
+STRICT = Dialect(strict=True, implied_any=True, implied_base=True, allow_negation=True, allow_sample=True, allow_runs=True)
 SPAN = 6 * 3600 * 1_000_000
 
 
@@ -66,7 +66,7 @@ where("truthiness", "any where not (user_id % 4) and s", "user_id % 4 = 0 AND s
 where("wildcard_eq", 'any where event_type == "*IC*"', "lower(event_type) LIKE '%ic%'")
 where("wildcard_ne", 'any where s != "*r*"', "s NOT LIKE '%r%'")
 where("wildcard_multi", 'any where wildcard(event_type, "c*k", "S*", "%_")', "lower(event_type) LIKE 'c%k' OR lower(event_type) LIKE 's%'")
-where("like_elastic", 'any where event_type like~ ("CL*", "err*") or event_type : "sign*"', "event_type LIKE 'cl%' OR event_type LIKE 'err%' OR event_type LIKE 'sign%'", config=Config(ticks=1_000_000, dialect=ELASTIC))
+where("like_operator", 'any where event_type like~ ("CL*", "err*") or event_type : "sign*"', "event_type LIKE 'cl%' OR event_type LIKE 'err%' OR event_type LIKE 'sign%'", config=Config(ticks=1_000_000, dialect=STRICT))
 where("method_chain", 'any where event_type:substring(0, 3):length() == 3 and props:stringContains("1")', "length(substr(event_type, 1, 3)) = 3 AND contains(props, '1')")
 where("case_sensitive", 'any where event_type == "View" or event_type == "click"', "event_type = 'click'", config=Config(ticks=1_000_000, case_sensitive=True))
 where("fn_match", 'any where match(event_type, "[cv].*[kw]$", "SIGN(?P<x>up)")', "regexp_matches(event_type, '^(?:[cv].*[kw]$|sign(up))', 'is')")
@@ -181,8 +181,8 @@ match("seq_maxspan", "sequence by user_id with maxspan=6h [view where true] [cli
 match("seq3", "sequence by user_id [view where true] [any where value > 20] [purchase where true]", 3, sequence_sql(_steps(_V, "value > 20", _P), "user_id"))
 match("seq_until", "sequence by user_id with maxspan=2d [view where true] [click where true] [purchase where true] until [error where value > 10]", 3, sequence_sql(_steps(_V, _C, _P), "user_id", 48 * 3600 * 1_000_000, "event_type = 'error' AND value > 10"))
 match("seq_fork", "sequence by user_id [view where true] [click where true] fork=true", 2, sequence_sql(_steps(_V, _C), "user_id", fork=(1,)))
-match("seq_negated", "sequence by user_id with maxspan=2d [view where true] ![click where value > 30] [purchase where true]", 2, sequence_sql([(_V, "e0_id"), (f"{_C} AND value > 30", "x"), (_P, "e1_id")], "user_id", 48 * 3600 * 1_000_000, missing=(1,), types={1: _C}), Config(ticks=1_000_000, dialect=ELASTIC))
-match("seq_runs", "sequence by user_id [view where true] with runs=3 [purchase where true]", 4, sequence_sql(_steps(_V, _V, _V, _P), "user_id"), Config(ticks=1_000_000, dialect=ELASTIC))
+match("seq_negated", "sequence by user_id with maxspan=2d [view where true] ![click where value > 30] [purchase where true]", 2, sequence_sql([(_V, "e0_id"), (f"{_C} AND value > 30", "x"), (_P, "e1_id")], "user_id", 48 * 3600 * 1_000_000, missing=(1,), types={1: _C}), Config(ticks=1_000_000, dialect=STRICT))
+match("seq_runs", "sequence by user_id [view where true] with runs=3 [purchase where true]", 4, sequence_sql(_steps(_V, _V, _V, _P), "user_id"), Config(ticks=1_000_000, dialect=STRICT))
 match("seq_filter_events1", "sequence by user_id [view where true] [click where true] | filter events[1].value > 40 and value < 60", 2, f"SELECT x.* FROM ({sequence_sql(_steps(_V, _C), 'user_id')}) x JOIN events a ON a.event_id = e0_id JOIN events b ON b.event_id = e1_id WHERE b.value > 40 AND a.value < 60")
 add("seq_count", "sequence by user_id [view where true] [click where true] | count events[1].event_type, user_id", f"SELECT 'click' AS key0, user_id::VARCHAR AS key1, count(*) AS count FROM ({sequence_sql(_steps(_V, _C), 'user_id')}) x JOIN events ON event_id = e0_id GROUP BY user_id", "key[0] AS key0; key[1] AS key1; count")
 match("seq_head_tail", "sequence by user_id [view where true] [click where true] | tail 20 | unique user_id", 2, f"SELECT e0_id, e1_id FROM (SELECT x.*, user_id, row_number() OVER (PARTITION BY user_id ORDER BY e1_id) AS n FROM (SELECT * FROM ({sequence_sql(_steps(_V, _C), 'user_id')}) ORDER BY e1_id DESC LIMIT 20) x JOIN events ON event_id = e0_id) WHERE n = 1")
@@ -205,7 +205,7 @@ match("join2", "join by user_id [view where true] [purchase where true]", 2, joi
 match("join3", "join by user_id [view where true] [click where value > 10] [purchase where true]", 3, join_sql([_V, f"{_C} AND value > 10", _P], "user_id"))
 match("join_until", "join by user_id [view where true] [click where true] [any where value > 100] until [error where true]", 3, join_sql([_V, _C, "value > 100"], "user_id", "event_type = 'error'"))
 match("join_global", "join [view where value > 120] [signup where value > 120]", 2, join_sql([f"{_V} AND value > 120", "event_type = 'signup' AND value > 120"], "0"))
-match("sample2", "sample by user_id [view where true] [purchase where value > 5]", 2, f"WITH e AS ({_BASE}), r AS (SELECT o, user_id AS k, 1 AS r FROM e WHERE {_V} UNION ALL SELECT o, user_id, 0 FROM e WHERE {_P} AND value > 5), n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY o, r) - 1 AS n FROM r) SELECT min_by(o, n) AS e0_id, max_by(o, n) AS e1_id FROM n GROUP BY k, n // 2 HAVING count(*) = 2", Config(ticks=1_000_000, dialect=ELASTIC))
+match("sample2", "sample by user_id [view where true] [purchase where value > 5]", 2, f"WITH e AS ({_BASE}), r AS (SELECT o, user_id AS k, 1 AS r FROM e WHERE {_V} UNION ALL SELECT o, user_id, 0 FROM e WHERE {_P} AND value > 5), n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY o, r) - 1 AS n FROM r) SELECT min_by(o, n) AS e0_id, max_by(o, n) AS e1_id FROM n GROUP BY k, n // 2 HAVING count(*) = 2", Config(ticks=1_000_000, dialect=STRICT))
 
 # ancestry: processes derived from event ids
 
