@@ -1,15 +1,27 @@
-"""Cutting plans of iterative operators."""
+"""Cutting plans of iterative operators, and places that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster shares (a temporary one if none is set)."""
+    context = spark.sparkContext._jsc.sc()
+    if not context.getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wakeline-"))
+    return context.getCheckpointDir().get()
+
+
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder that the cluster shares (a temporary one if none is set)."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wakeline-"))
+    """df written to the shared folder: later plans start from those files."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

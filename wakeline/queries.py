@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wakeline.api import Analytic, Config, Engine
 from wakeline.functions.values import BOOLEAN, NUMBER
+from wakeline.operators.frames import shared_path
 from wakeline.plans.parser import Dialect
 from wakeline.sources import frames, sinks
 
@@ -300,9 +301,53 @@ def sink_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.get_json_object(sinks.as_json(got.select("event_id", "user_id")), "$.event_id").cast("bigint").alias("event_id"))
 
 
-QUERIES |= {f.__name__: f for f in (custom_fn, map_reduce_count, conversation_seq, orders_lineitem_join, sequence_flatten, analytics_shared, unique_on_variant, sink_csv_columns, sink_json)}
+def streamed(spark: SparkSession, sf_dir: str, text: str, complete: bool = False) -> DataFrame:
+    """A query over the events table as a stream, run to its end; what the sink has got."""
+    # a glob, as a stream's path may be a folder or a pattern but no single file
+    table = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    out = Engine(spark, MICRO).stream(text, frames.from_table(table, "event_type", "ts", "event_id"))
+    path = shared_path(spark, "stream")
+    w = out.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    if complete:
+        query = w.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/out")).start()
+    else:
+        query = w.format("parquet").start(f"{path}/out")
+    query.awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+def stream_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streamed(spark, sf_dir, "purchase where value > 20 | filter user_id != 3").select("event_id")
+
+
+def stream_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streamed(spark, sf_dir, "any where value > 20 | unique event_type, user_id").select("event_type", "user_id")
+
+
+def stream_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streamed(spark, sf_dir, "any where value > 20 | count event_type", complete=True).select("key", "count")
+
+
+def stream_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = streamed(spark, sf_dir, "sequence by user_id with maxspan=6h [view where true] [click where true] [purchase where true] until [error where value > 50]")
+    return got.select(*[F.get_json_object(F.col("events")[k], "$.event_id").cast("bigint").alias(f"e{k}_id") for k in range(3)])
+
+
+def post_process(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pipes of a query on matches found before."""
+    e = engine(spark, sf_dir)
+    found = e.raw("sequence by user_id [view where true] [click where true]")
+    return e.post_process(found, "| filter events[1].value > 40 and value < 60").select(*[F.col("events")[k]["event_id"].alias(f"e{k}_id") for k in range(2)])
+
+
+QUERIES |= {f.__name__: f for f in (stream_filter, stream_unique, stream_count, stream_sequence, post_process, custom_fn, map_reduce_count, conversation_seq, orders_lineitem_join, sequence_flatten, analytics_shared, unique_on_variant, sink_csv_columns, sink_json)}
 _PAIR = sequence_sql(_steps("event_type = 'view' AND value > 60", "event_type = 'purchase' AND value > 60"), "user_id")
 SQL |= {
+    "stream_filter": "SELECT event_id FROM events WHERE event_type = 'purchase' AND value > 20 AND user_id <> 3",
+    "stream_unique": "SELECT DISTINCT event_type, user_id FROM events WHERE value > 20",
+    "stream_count": "SELECT event_type AS key, count(*) AS count FROM events WHERE value > 20 GROUP BY 1",
+    "stream_sequence": sequence_sql(_steps(_V, _C, _P), "user_id", SPAN, "event_type = 'error' AND value > 50"),
+    "post_process": SQL["seq_filter_events1"],
     "custom_fn": "SELECT event_id FROM events WHERE event_type = 'view' AND abs(value - 40) < 5 OR value / 2 > 60",
     "map_reduce_count": "SELECT event_type AS key, count(*) AS count, count(*) / sum(count(*)) OVER () AS percent FROM events WHERE value > 5 GROUP BY 1",
     "conversation_seq": sequence_sql([(f"role = '{r}'", f"e{k}") for k, r in enumerate(("system", "user", "assistant"))], "conv_id").replace(_BASE, "SELECT conv_id * 100000 + turn AS o, conv_id * 100000 + turn AS t, conv_id, role FROM conversations"),
