@@ -140,6 +140,13 @@ def unique(flow: Flow, args: tuple[t.Node, ...]) -> Flow:
     return flow.with_df(first_of(df, names).drop(*names))
 
 
+def share(got: DataFrame) -> Column:
+    """Each row's part of all counts, by a subquery, so no task sees all keys. It names all columns,
+    so that it is planned over the same exchange as the rows and nothing below is run twice."""
+    every = got.agg(F.struct(F.sum("count").alias("sum"), *[F.any_value(f"`{c}`").alias(f"c{k}") for k, c in enumerate(got.columns)]).alias("s"))
+    return F.col("count") / every.scalar()["sum"]
+
+
 def united(sets: Column) -> Column:
     """Hosts in order; null where there is none, so that sinks leave them out."""
     return F.when(F.size(sets) > 0, F.array_sort(sets)).alias("hosts")
@@ -163,8 +170,7 @@ def count(flow: Flow, args: tuple[t.Node, ...]) -> Flow:
     # the first-seen spelling is shown
     shown_key = F.struct(ORD, *[f"__v{k}" for k in range(len(args))])
     got = df.groupBy(*names).agg(F.count("*").alias("count"), F.min(shown_key).alias("__first"), *hosts)
-    total = F.sum("count").over(Window.partitionBy())
-    got = got.withColumn("percent", F.col("count") / total)
+    got = got.withColumn("percent", share(got))
     kinds = {df.schema[f"__v{k}"].dataType.simpleString() for k in range(len(args))}
     parts = [F.col(f"__first.__v{k}") for k in range(len(args))]
     if len(args) == 1:
@@ -195,7 +201,7 @@ def unique_count(flow: Flow, args: tuple[t.Node, ...]) -> Flow:
     kept = [c for c in flow.df.columns if c not in new and not (hosts and not flow.several and c == flow.host)]
     first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in kept]), ORD)
     got = df.groupBy(*names).agg(first.alias("__first"), F.sum("__n").alias("count"), *hosts)
-    got = got.withColumn("percent", F.col("count") / F.sum("count").over(Window.partitionBy()))
+    got = got.withColumn("percent", share(got))
     if hosts:
         got = got.withColumn("total_hosts", F.size("hosts"))
     return flow.with_df(got.select("__first.*", *new))
@@ -212,7 +218,7 @@ def merge(partials: DataFrame, pipe: t.Pipe) -> DataFrame:
         texts = isinstance(partials.schema["key"].dataType, T.StringType)
         folded = F.lower("key") if texts else F.col("key")
         got = partials.groupBy(folded.alias("__k")).agg(F.sum("count").alias("count"), F.first("key").alias("key"), *hosts)
-        got = got.withColumn("percent", F.col("count") / F.sum("count").over(Window.partitionBy()))
+        got = got.withColumn("percent", share(got))
         names = ["key", "count", "percent"]
     if has:
         got = got.withColumn("total_hosts", F.size("hosts"))
