@@ -13,7 +13,8 @@ last sentence) and of its answer (the last) stand in the passage.
 
 Defined results: words are lower-cased letters and digits; null and empty texts match nothing;
 null items have no words and match nothing; equal items all match; a short question or answer
-is one shingle; repeated rows get equal results; an empty benchmark leaves everything clean.
+is one shingle; repeated rows get equal results; an empty benchmark leaves everything clean; very long
+texts are searched in bounded parts; clean() keeps all columns as they are.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ and so on) and the identifiers named by `SPDX-License-Identifier:` tags. The sco
 the evidence leaves the reader, 0 to 1: AND takes the lowest of its sides, OR the highest, WITH
 raises its licence by a quarter of what it lacks; notices count as AND; no evidence gives 0.
 Defined results: null and empty texts have no words, no label and score 0; a broken expression
-keeps the identifiers read before the fault; repeated rows get equal results.
+keeps the identifiers read before the fault; repeated rows get equal results; an empty table gives an
+empty table; other columns are not read.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ are ordered, and one bucket of a source is ever gathered. Reruns agree; no row i
 the mix itself.
 
 Defined results: a null text has size 0; a source of size 0 has target 0; rows that share an id,
-a source and a size are taken alike; an empty table gives an empty table.
+a source and a size are taken alike; an empty table gives an empty table; mixed() keeps all columns
+(names that start with two underscores are reserved). Sources are ordered in one task, a row each.
 """
 
 from __future__ import annotations

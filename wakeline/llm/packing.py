@@ -11,7 +11,8 @@ Packing is local to a stretch of a scan task's documents, bounded in tokens and
 nothing is shuffled and a lost task is redone alone; a few thousand pieces fill rows almost fully.
 
 Defined results: null and empty texts are documents of the end token alone; null ids are kept as
-null; repeated rows are packed as often as they stand; an empty table gives no rows.
+null; repeated rows are packed as often as they stand; very long texts become many pieces; ties in
+size keep the order of documents; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

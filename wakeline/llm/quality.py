@@ -4,7 +4,8 @@ Documents: features of the whole text and two base rules. Hosts: failures are su
 each host's failure rate is shrunk towards the corpus by a beta prior fitted to the hosts'
 rates (method of moments), and a host whose shrunk rate passes a threshold rejects its
 documents too. Defined results: a null text has no words and so fails; a null host is a host of
-its own; repeated rows count as often as they stand; an empty table gives an empty table.
+its own; repeated rows count as often as they stand; an empty table gives an empty table; keep_good()
+keeps all columns (names that start with two underscores are reserved).
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ long conversation is dealt to many tasks.
 Defined results: a null text says nothing; a null conversation is a conversation of its own; null
 turns come first and are nobody's parent; rows that repeat a conversation and turn are all kept
 and share the links of the first by text; a message that quotes nothing known is a root; quotes that
-find no message are dropped like others and counted in n_unlinked.
+find no message are dropped like others and counted in n_unlinked; an empty table gives an empty
+table; other columns are not read.
 """
 
 from __future__ import annotations

@@ -18,8 +18,10 @@ step 1, and their runs are dealt window by window, by a hash of the window, so n
 anchor's rows; which anchors are in that list changes where work is done, never the result.
 Equal runs and windows are merged in each batch before they are dealt.
 
-Defined results: null and short texts keep everything; a null id comes after all ids; of rows
-that share an id, the order is by the bucket and the hash of the row, and of equal rows one keeps its bytes.
+Defined results: null and short texts keep everything; texts of any length are taken in segments
+that overlap; a null id comes after all ids; of rows that share an id, the order is by the bucket and
+the hash of the row, and of equal rows one keeps its bytes; an empty table gives an empty table; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,10 @@ packed fingerprints; links are verified by counting bits, and each meeting emits
 forest, never all its pairs. Only distinct fingerprints are indexed; copies follow by a join.
 
 Defined results: null and empty texts have fingerprint 0 and are linked like any other;
-repeated rows and copies share a fingerprint; a null id never names a component.
+repeated rows and copies share a fingerprint; a null id never names a component while its group has
+another; an empty table gives an empty table; other columns are not read. one_of_each() keeps all
+columns (names that start with two underscores are reserved), counts null and empty texts as one
+group, and of repeated rows keeps one.
 """
 
 from __future__ import annotations

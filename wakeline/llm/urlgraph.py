@@ -14,7 +14,7 @@ blocked by rules, net of those allowed.
 
 Defined results: a null url, or one without `://`, has an empty host and path and is allowed
 unless a rule says otherwise; null ids and repeated rows are kept as they are; a null page has
-no links; an empty table gives an empty table.
+no links; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ passed over are logged as a gap with their offset, length and reason.
 
 Defined results: a null page is an empty payload; a null url leaves the target out; a null id is
 written as such, never first among equals while others have ids; rows that repeat the first's
-id are responses too.
+id are responses too; an empty table gives archives without records; an empty or hopeless file gives
+no record, and one gap if it has bytes; other columns are not read.
 """
 
 from __future__ import annotations
