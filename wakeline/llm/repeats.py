@@ -252,6 +252,8 @@ def fetched_contexts(docs: DataFrame, runs: DataFrame, n: int) -> DataFrame:
     def fetch(left: pa.Table, right: pa.Table) -> pa.Table:
         row, at, lead, windows = _joined(right.column("blob").to_pylist(), *_RUN)
         order = np.lexsort((at, row))
+        # equal rows found each run as often as they stand
+        order = order[np.concatenate(([True], (np.diff(row[order]) != 0) | (np.diff(at[order]) != 0)))] if len(order) else order
         row, at, lead, windows = row[order], at[order].tolist(), lead[order].tolist(), windows[order].tolist()
         seen: set[bytes] = set()
         seen_windows: set[bytes] = set()
