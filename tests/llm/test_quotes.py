@@ -1,6 +1,9 @@
 """Quotation linking on small conversations, against expected threads."""
 
-from wakeline.llm import quotes
+import random
+
+from tests.compare import check
+from wakeline.llm import queries, quotes
 
 SCHEMA = "conv_id long, turn long, role string, text string, reply string"
 
@@ -59,3 +62,28 @@ def test_common_line_across_stretches(spark):
     for c in (1, None):
         for t in turns[1::2]:
             assert got[c, t].parent == max((x for x in said if x < t), default=None), t
+
+
+def test_random_conversations_match_sql(spark, tmp_path):
+    """Nested, broken and repeated quotes of earlier messages, against the query's SQL."""
+    r = random.Random(3)
+    data = []
+    for c in [*range(40), None]:
+        said = []
+        for turn in range(r.randint(1, 14)):
+            lines = []
+            for _ in range(r.randint(0, 3)):
+                source = r.choice(said) if said and r.random() < 0.8 else "never said"
+                depth = r.choice([1, 1, 2, 3])
+                lines += [r.choice(["> ", ">", " > ", ">> "]) * depth + x.swapcase() for x in source.split("\n")] + [""] * r.randint(0, 2)
+            own = "\n".join(r.choice(["ok", "Thanks  a lot", "what is \t this?", "a > b", f"point {r.randint(0, 9)}", "", "  "]) for _ in range(r.randint(1, 4)))
+            lines.insert(r.randint(0, len(lines)), own)
+            text = r.choice(["\n", "\n", "\r\n"]).join(lines)
+            said.append(own)
+            data.append((c, turn * r.choice([1, 1, 70_000]) if r.random() < 0.97 else None, "user", r.choice([text] * 30 + [None])))
+    data = list({(c, t): (c, t, role, x) for c, t, role, x in data}.values())
+    spark.createDataFrame(data, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "raw"))
+    next((tmp_path / "raw").glob("part-*.parquet")).rename(tmp_path / "conversations.parquet")
+    assert check(spark, str(tmp_path), queries.op9_quotation_linking, queries.OP9_SQL) == len(data)
+    linked = [x for x in queries.op9_quotation_linking(spark, str(tmp_path)).collect() if x.parent is not None]
+    assert len(linked) > 60 and max(x.depth for x in linked) > 2

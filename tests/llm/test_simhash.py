@@ -146,3 +146,50 @@ def test_ones_counts_bits_of_many_hashes():
     h = np.random.default_rng(1).integers(0, 2**64, 255 * 300 + 17, dtype=np.uint64)
     want = [int((h >> np.uint64(b) & np.uint64(1)).sum()) for b in range(64)]
     assert simhash.ones(h).tolist() == want and simhash.ones(h[:3]).sum() == sum(int(x).bit_count() for x in h[:3])
+
+
+def test_met_pairs_match_all_pairs():
+    """Every pair whose segments on some lane differ in at most one bit and whose checks are close is connected, and no other."""
+    r = np.random.default_rng(7)
+    base = r.integers(0, 2**64, (12, 9), dtype=np.uint64)
+    rows = []
+    for x in base:
+        for _ in range(25):
+            y = x.copy()
+            for lane in range(9):
+                for b in r.choice(64, r.integers(0, 14), replace=False):
+                    y[lane] ^= np.uint64(1) << np.uint64(b)
+            rows.append(y)
+    rows += [base[0]] * 15
+    every = np.array(rows)
+    node = r.permutation(len(every)) * 3 - 100
+    most = 30
+
+    def segment_bits(i, j):
+        return min(bin((int(every[i, lane]) ^ int(every[j, lane])) >> a & ((1 << (z - a)) - 1)).count("1") for lane in range(6) for a, z in simhash.SEGMENTS)
+
+    near = {int(x): set() for x in node}
+    for i in range(len(every)):
+        for j in range(i):
+            if int(np.bitwise_count(every[i, 6:] ^ every[j, 6:]).sum()) <= most and segment_bits(i, j) <= 1:
+                near[int(node[i])].add(int(node[j])), near[int(node[j])].add(int(node[i]))
+    want = grouped([int(x) for x in node], lambda a, b: b in near[a])
+    segs, routes, places = [], [], []
+    for k, (lane, s, _) in enumerate(simhash.ROUTES):
+        a, z = simhash.SEGMENTS[s]
+        segs.append((every[:, lane] >> np.uint64(a) & np.uint64((1 << (z - a)) - 1)).astype(np.uint32))
+        routes.append(np.full(len(every), k, np.uint8)), places.append(np.arange(len(every)))
+    at = np.concatenate(places)
+    edges = simhash.met_pairs(np.concatenate(segs), np.concatenate(routes), node[at], every[at, 6:], most)
+    linked = {x: set() for x in near}
+    for a, b in edges.tolist():
+        linked[a].add(b), linked[b].add(a)
+    assert grouped([int(x) for x in node], lambda a, b: b in linked[a]) == want and len(edges) == len(near) - len(set(want.values())) and len(set(want.values())) > 1
+
+
+def test_routes_reach_every_variant():
+    """Each single bit of each segment is left out by exactly one route, whose kept bits do not hold it."""
+    for lane in range(simhash.LANES):
+        for s, (a, z) in enumerate(simhash.SEGMENTS):
+            found = [int(b) for k, (x, y, kept) in enumerate(simhash.ROUTES) if (x, y) == (lane, s) for b in simhash.LEFT_OUT[k] if b and not int(b) & kept]
+            assert sorted(found) == [1 << i for i in range(z - a)]

@@ -152,5 +152,40 @@ FROM r LEFT JOIN b2 ON r.source IS NOT DISTINCT FROM b2.source LEFT JOIN took ON
 """
 
 
+OP9_SQL = r"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+q AS (SELECT *, regexp_matches(text, '(?m)^[ \t]*>') AS quoted FROM m),
+l0 AS (SELECT rid, conv_id, turn, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT *, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM q WHERE quoted)),
+l1 AS (SELECT *, CASE WHEN regexp_matches(line, '^[ \t]*>') THEN regexp_extract(line, '^[ \t>]*') ELSE '' END AS mark FROM l0),
+l2 AS (SELECT rid, conv_id, turn, i, length(mark) - length(replace(mark, '>', '')) AS level, substr(line, length(mark) + 1) AS rest FROM l1),
+own AS (SELECT rid, string_agg(rest, chr(10) ORDER BY i) FILTER (WHERE level = 0) AS x FROM l2 GROUP BY rid),
+r AS (
+  SELECT q.*, CASE WHEN quoted THEN regexp_replace(regexp_replace(coalesce(x, ''), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') ELSE text END AS reply
+  FROM q LEFT JOIN own USING (rid)),
+said AS (
+  SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(x), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS norm
+  FROM (SELECT conv_id, turn, unnest(list_concat([reply], list_concat(regexp_split_to_array(reply, '\n[ \t]*\n'), string_split(reply, chr(10))))) AS x FROM r) WHERE turn IS NOT NULL),
+s0 AS (SELECT *, trim(rest) = '' AS blank, lag(trim(rest) = '') OVER w AS was_blank, lag(level) OVER w AS was FROM l2 WINDOW w AS (PARTITION BY rid ORDER BY i)),
+s1 AS (SELECT *, sum(CASE WHEN NOT blank AND (was IS NULL OR was_blank OR was <> level) THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) AS place FROM s0),
+p AS (SELECT rid, conv_id, turn, place, any_value(level) AS level, list(rest ORDER BY i) AS ls FROM s1 WHERE NOT blank GROUP BY rid, conv_id, turn, place),
+a0 AS (SELECT conv_id, turn, place, level, unnest(xs) AS x, generate_subscripts(xs, 1) AS part FROM (SELECT *, list_concat([array_to_string(ls, chr(10))], ls) AS xs FROM p WHERE level > 0)),
+asked AS (SELECT *, trim(regexp_replace(lower(x), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS norm FROM a0),
+found AS (
+  SELECT a.conv_id, a.turn, a.place, a.level, a.part, max(s.turn) AS parent
+  FROM asked a LEFT JOIN said s ON a.norm = s.norm AND a.conv_id IS NOT DISTINCT FROM s.conv_id AND s.turn < a.turn WHERE a.norm <> '' GROUP BY ALL),
+b0 AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, place ORDER BY parent IS NULL, level, part, parent) AS k FROM found),
+b1 AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY parent IS NULL, level, place, part, parent) AS best, sum((parent IS NULL)::INT) OVER (PARTITION BY conv_id, turn)::BIGINT AS n_unlinked FROM b0 WHERE k = 1),
+link AS (SELECT conv_id, turn, parent, n_unlinked FROM b1 WHERE best = 1),
+up AS (
+  SELECT conv_id, turn, parent AS root, 1::BIGINT AS depth FROM link WHERE parent IS NOT NULL
+  UNION ALL
+  SELECT up.conv_id, up.turn, link.parent, depth + 1 FROM up JOIN link ON up.conv_id IS NOT DISTINCT FROM link.conv_id AND up.root = link.turn WHERE link.parent IS NOT NULL),
+deep AS (SELECT conv_id, turn, arg_max(root, depth) AS root, max(depth) AS depth FROM up GROUP BY ALL)
+SELECT r.conv_id, r.turn, role, reply, parent, coalesce(root, r.turn) AS root, coalesce(depth, 0) AS depth, coalesce(n_unlinked, 0) AS n_unlinked
+FROM r LEFT JOIN link ON r.conv_id IS NOT DISTINCT FROM link.conv_id AND r.turn IS NOT DISTINCT FROM link.turn
+LEFT JOIN deep ON r.conv_id IS NOT DISTINCT FROM deep.conv_id AND r.turn IS NOT DISTINCT FROM deep.turn
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_round_trip": OP3_SQL, "op4_source_mixing": OP4_SQL, "op6_url_filter": OP6_SQL, "op8_quality_rules": OP8_SQL}
+    return {"op3_warc_round_trip": OP3_SQL, "op4_source_mixing": OP4_SQL, "op6_url_filter": OP6_SQL, "op8_quality_rules": OP8_SQL, "op9_quotation_linking": OP9_SQL}

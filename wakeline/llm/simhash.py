@@ -183,8 +183,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 LANES = 6
 CHECKS = 3  # further lanes, of which similarity is read
 _LANE = np.random.default_rng(5).integers(0, 2**64, LANES + CHECKS, dtype=np.uint64)
-#: Each of a lane's three segments with one bit left out.
-_VARIANTS = np.array([((1 << b) - (1 << a)) & ~(1 << k) for a, b in ((0, 21), (21, 42), (42, 64)) for k in range(a, b)], np.uint64)
+SEGMENTS = ((0, 21), (21, 42), (42, 64))
+
+
+def _routes() -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """(lane, segment, bits kept) of each route, and the single bits (0: none) that its variants leave out.
+
+    A segment is cut in three blocks; a route keeps two of them and leaves out one bit of the third in turn.
+    """
+    routes, bits = [], []
+    for lane in range(LANES):
+        for k, (a, b) in enumerate(SEGMENTS):
+            blocks = np.array_split(np.arange(b - a), 3)
+            for third in range(3):
+                routes.append((lane, k, sum(1 << int(i) for j in range(3) if j != third for i in blocks[j])))
+                bits.append([1 << int(i) for i in blocks[third]] + [0] * (8 - len(blocks[third])))
+    return routes, np.array(bits, np.uint32)
+
+
+ROUTES, LEFT_OUT = _routes()
+_SMALL = 9  # entries of a meeting up to which all its pairs are compared at once
 
 
 def lanes(raw: bytes, size: int) -> bytes:
@@ -203,73 +221,112 @@ def most_bits(similarity: float) -> int:
     return int(n * p + np.sqrt(n * p * (1 - p)))
 
 
+def met_pairs(seg: np.ndarray, route: np.ndarray, node: np.ndarray, check: np.ndarray, most: int) -> np.ndarray:
+    """Edges (least node, node) of a spanning forest of the links among entries: segments of one route
+    that are equal but for one bit left out, and check lanes that differ in at most `most` bits."""
+    names, at = np.unique(node, return_inverse=True)
+    parent = np.arange(len(names))
+    label = parent.copy()
+    close = lambda x, y: np.bitwise_count(check[x] ^ check[y]).sum(axis=-1, dtype=np.int64) <= most
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    def unite(x: np.ndarray, y: np.ndarray) -> None:
+        for i, j in zip(at[x].tolist(), at[y].tolist(), strict=True):
+            i, j = find(i), find(j)
+            if i != j:
+                parent[max(i, j)] = min(i, j)
+
+    for v in range(LEFT_OUT.shape[1]):
+        bit = LEFT_OUT[route, v]
+        use = np.flatnonzero(bit)
+        key = route[use].astype(np.uint64) << np.uint64(32) | (seg[use] & ~bit[use])
+        order = np.argsort(key, kind="stable")
+        key, use = key[order], use[order]
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        sizes = np.diff([*starts, len(key)])
+        small = np.repeat(sizes <= _SMALL, sizes)
+        for d in range(1, _SMALL):
+            i = np.flatnonzero((key[d:] == key[:-d]) & small[d:])
+            if not len(i):
+                break
+            x, y = use[i], use[i + d]
+            apart = label[at[x]] != label[at[y]]
+            x, y = x[apart], y[apart]
+            near = close(x, y)
+            unite(x[near], y[near])
+        for i, m in zip(starts[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist(), strict=True):
+            left, queue = use[i : i + m], deque()
+            if (label[at[left]] == label[at[left[0]]]).all():
+                continue
+            while len(left):
+                if not queue:
+                    queue.append(left[0])
+                    left = left[1:]
+                here = queue.popleft()
+                hit = close(left, here)
+                if hit.any():
+                    unite(left[hit], np.full(int(hit.sum()), here))
+                    queue.extend(left[hit].tolist())
+                    left = left[~hit]
+        while (parent[parent] != parent).any():
+            parent[:] = parent[parent]
+        label = parent.copy()
+    linked = np.flatnonzero(parent != np.arange(len(parent)))
+    return np.stack([names[parent[linked]], names[linked]], 1)
+
+
 def similar_links(prints: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) that connect the nodes of prints(node, lanes) whose check lanes differ in most_bits() at most.
 
     Texts of similarity 0.8 differ in about 15 % of the bits, far beyond what segments of one
     fingerprint find for certain, so each of six lanes is cut in three and each segment indexed with
     one bit left out: one of the 18 segments differs by at most one bit in 94 % of the pairs at
-    0.8, 99 % at 0.85. What meets is compared by three further lanes and leaves a spanning forest.
+    0.8, 99 % at 0.85. The variants of a segment travel together: the bit left out lies in one of three
+    blocks, so an entry for each pair of blocks (54 a text) reaches all meetings of the 378 variants,
+    which are formed where the entries arrive. What meets is compared by three further lanes, and each bucket
+    leaves a spanning forest.
     """
     n = 2 * parts(prints.sparkSession)
-    kinds = LANES * len(_VARIANTS)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             every = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u8").reshape(-1, LANES + CHECKS)
             node = b.column(0).to_numpy()
-            keys = np.empty((len(every), kinds), np.uint64)
+            segs = np.empty((len(every), len(ROUTES)), np.uint32)
+            bucket = np.empty((len(every), len(ROUTES)), np.int64)
             with np.errstate(over="ignore"):
-                for k in range(kinds):
-                    lane, variant = divmod(k, len(_VARIANTS))
-                    keys[:, k] = mix((every[:, lane] & _VARIANTS[variant]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1))
-            place = np.repeat(np.arange(len(every), dtype=np.uint16), kinds)
-            keys = keys.reshape(-1)
-            bucket = (keys % np.uint64(n)).astype(np.int64)
+                for r, (lane, k, kept) in enumerate(ROUTES):
+                    a, z = SEGMENTS[k]
+                    seg = every[:, lane] >> np.uint64(a) & np.uint64((1 << (z - a)) - 1)
+                    segs[:, r] = seg
+                    bucket[:, r] = mix((seg & np.uint64(kept)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(r + 1)) % np.uint64(n)
+            place = np.repeat(np.arange(len(every), dtype=np.uint16), len(ROUTES))
+            route = np.tile(np.arange(len(ROUTES), dtype=np.uint8), len(every))
+            bucket, segs = bucket.reshape(-1), segs.reshape(-1)
             order = np.argsort(bucket, kind="stable")
-            bucket, keys, place = bucket[order], (keys[order] >> np.uint64(32)).astype(np.uint32), place[order]
+            bucket, segs, place, route = bucket[order], segs[order], place[order], route[order]
             cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
             checks = [every[:, LANES + k].copy() for k in range(CHECKS)]
             out = []
             for i, j in zip(cuts, cuts[1:], strict=False):
                 if i < j:
                     used, own = np.unique(place[i:j], return_inverse=True)
-                    out.append((int(bucket[i]), pack(node[used], *(c[used] for c in checks)), pack(keys[i:j], own.astype(np.uint16))))
+                    out.append((int(bucket[i]), pack(node[used], *(c[used] for c in checks)), pack(segs[i:j], route[i:j], own.astype(np.uint16))))
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "nodes", "blob"])
 
     def meet(table: pa.Table) -> pa.Table:
-        keys, nodes, checks = [], [], []
+        segs, routes, nodes, checks = [], [], [], []
         for t, blob in zip(table.column("nodes").to_pylist(), table.column("blob").to_pylist(), strict=True):
             node, *check = unpack(t, "<i8", *["<u8"] * CHECKS)
-            key, place = unpack(blob, "<u4", "<u2")
-            keys.append(key), nodes.append(node[place]), checks.append(np.stack(check, 1)[place])
-        key, node, check = np.concatenate(keys), np.concatenate(nodes), np.concatenate(checks)
-        close = lambda x, y: np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= most
-        order = np.argsort(key)
-        key, node, check = key[order], node[order], check[order]
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        sizes = np.diff([*starts, len(key)])
-        two = starts[sizes == 2]
-        near = close(check[two], check[two + 1])
-        a, b = [node[two][near]], [node[two + 1][near]]
-        for i, m in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            # the least nodes first, so that the runs of one group share their edges
-            left, queue = i + np.argsort(node[i : i + m]), deque()
-            while len(left):
-                if not queue:
-                    queue.append(left[0])
-                    left = left[1:]
-                at = queue.popleft()
-                hit = close(check[left], check[at])
-                if hit.any():
-                    found = left[hit]
-                    a.append(np.full(len(found), node[at])), b.append(node[found])
-                    queue.extend(found.tolist())
-                    left = left[~hit]
-        x, y = np.concatenate(a), np.concatenate(b)
-        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-        pairs = pairs[pairs[:, 0] < pairs[:, 1]]
-        return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
+            seg, route, place = unpack(blob, "<u4", "u1", "<u2")
+            segs.append(seg), routes.append(route), nodes.append(node[place]), checks.append(np.stack(check, 1)[place])
+        edges = met_pairs(*(np.concatenate(x) for x in (segs, routes, nodes, checks)), most)
+        return pa.table({"a": edges[:, 0].copy(), "b": edges[:, 1].copy()})
 
     most = most_bits(similarity)
     small_batches(prints.sparkSession, 16_384)
