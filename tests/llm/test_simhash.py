@@ -193,3 +193,23 @@ def test_routes_reach_every_variant():
         for s, (a, z) in enumerate(simhash.SEGMENTS):
             found = [int(b) for k, (x, y, kept) in enumerate(simhash.ROUTES) if (x, y) == (lane, s) for b in simhash.LEFT_OUT[k] if b and not int(b) & kept]
             assert sorted(found) == [1 << i for i in range(z - a)]
+
+
+def test_one_of_each_is_an_exact_join_at_the_threshold(spark):
+    """Pairs close to 0.8 on both sides, of long and short texts: groups are those of all pairs by exact Jaccard."""
+    r = random.Random(12)
+    rows = []
+    for i in range(150):
+        n = r.choice([5, 6, 9, 14, 40, 120, 204])
+        text = [f"v{r.randrange(10**6)}" for _ in range(n)]
+        rows.append((10 * i, " ".join(text)))
+        cut_ = round(0.8 * (n - 4)) + 4  # all but a tail of the shingles: about 0.8, on either side
+        for k, keep in enumerate((cut_ - 1, cut_, cut_ + 1, round(0.75 * (n - 4)) + 4)):
+            if 5 <= keep < n:
+                rows.append((10 * i + 1 + k, " ".join(text[n - keep :] if k % 2 else text[:keep])))
+    text = dict(rows)
+    sims = {(a, b): jaccard(text[a], text[b]) for a in text for b in text if a // 10 == b // 10}
+    assert sum(0.8 <= s < 0.85 for s in sims.values()) > 50 < sum(0.7 < s < 0.8 for s in sims.values())
+    want = set(grouped(text, lambda a, b: sims.get((a, b), 0) >= 0.8).values())
+    df = spark.createDataFrame([(i, t, "f", "h", "s") for i, t in rows], SCHEMA)
+    assert {x.doc_id for x in simhash.one_of_each(df).collect()} == want

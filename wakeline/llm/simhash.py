@@ -19,6 +19,7 @@ group, and of repeated rows keeps one.
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Iterator
 
@@ -202,12 +203,17 @@ def _routes() -> tuple[list[tuple[int, int, int]], np.ndarray]:
 
 
 ROUTES, LEFT_OUT = _routes()
+SAMPLE, COMMON = 20_000, 50_000  # texts whose common shingles come last in prefixes; such shingles, at most
 _SMALL = 9  # entries of a meeting up to which all its pairs are compared at once
 
 
 def lanes(raw: bytes, size: int) -> bytes:
     """Nine independent SimHash fingerprints of the set of a text's shingles, 72 bytes."""
-    h = np.unique(shingle_hashes(raw, size))
+    return lanes_of(np.unique(shingle_hashes(raw, size)))
+
+
+def lanes_of(h: np.ndarray) -> bytes:
+    """lanes() of a set of shingle hashes."""
     return b"".join(majority(mix(h ^ k)).to_bytes(8, "little") for k in _LANE)
 
 
@@ -334,27 +340,165 @@ def similar_links(prints: DataFrame, similarity: float) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
+def prefix_length(n: int, similarity: float) -> int:
+    """Of n shingles in an order that all texts share, the first so many: of two texts of the given
+    Jaccard similarity or more, these have one in common."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def node_of(h: np.ndarray) -> int:
+    """A signed long that names a set of shingle hashes."""
+    return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).view(np.int64))
+
+
+def common_shingles(texts: DataFrame, rows: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that several of some 20,000 distinct texts hold, and in how many; bounded."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.unique(shingle_hashes(x, size)) for x in as_bytes(b.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], names=["s"])
+
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(max(1, rows // SAMPLE))) == 0).distinct()
+    found = some.mapInArrow(each, "s long").groupBy("s").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "s").limit(COMMON).toArrow()
+    s, n = found.column("s").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(s)
+    return s[order], n[order]
+
+
+def shared_prefixes(texts: DataFrame, rows: int, size: int, similarity: float) -> DataFrame:
+    """(g, node, n): groups of distinct texts, of n shingles each, that share a shingle of their prefixes.
+
+    Any two texts of the similarity share a group: a prefix filter, exact for whatever order. The order
+    has shingles that are common in a sample last, so that few others meet. Keys are cut to 48 bits,
+    which only adds meetings; groups of the same texts are one.
+    """
+    buckets = 2 * parts(texts.sparkSession)
+    sent = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, rows, size))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, times = sent.value
+        nodes: dict[int, int] = {}
+        keys: list[np.ndarray] = []
+        entries = 0
+
+        def flush() -> pa.RecordBatch:
+            node, n = np.fromiter(nodes, np.int64, len(nodes)), np.fromiter(nodes.values(), np.uint32, len(nodes))
+            place = np.repeat(np.arange(len(keys), dtype=np.uint32), [len(k) for k in keys])
+            key = np.concatenate(keys)
+            bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((key, bucket))
+            key, place, bucket = key[order], place[order], bucket[order]
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            out = []
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                used, own = np.unique(place[i:j], return_inverse=True)
+                out.append((int(bucket[i]), pack(node[used], n[used]), pack((key[i:j] & np.uint64(2**32 - 1)).astype(np.uint32), (key[i:j] >> np.uint64(32)).astype(np.uint16), own.astype(np.uint32))))
+            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "nodes", "blob"])
+
+        for b in batches:
+            for raw in as_bytes(b.column(0)):
+                h = np.unique(shingle_hashes(raw, size))
+                if not len(h) or (node := node_of(h)) in nodes:
+                    continue
+                at = np.minimum(np.searchsorted(common, h), max(0, len(common) - 1))
+                seen = np.where(common[at] == h, times[at], 0) if len(common) else np.zeros(len(h), np.int64)
+                nodes[node] = len(h)
+                keys.append(h[np.argsort(seen, kind="stable")[: prefix_length(len(h), similarity)]] & np.uint64(2**48 - 1))
+                entries += len(keys[-1])
+                if entries > 1 << 20:
+                    yield flush()
+                    nodes, keys, entries = {}, [], 0
+        if keys:
+            yield flush()
+
+    def meet(table: pa.Table) -> pa.Table:
+        nodes, sizes, keys = [], [], []
+        for t, blob in zip(table.column("nodes").to_pylist(), table.column("blob").to_pylist(), strict=True):
+            (node, n), (low, high, place) = unpack(t, "<i8", "<u4"), unpack(blob, "<u4", "<u2", "<u4")
+            nodes.append(node[place]), sizes.append(n[place]), keys.append(high.astype(np.uint64) << np.uint64(32) | low)
+        node, n, key = np.concatenate(nodes), np.concatenate(sizes), np.concatenate(keys)
+        order = np.lexsort((node, key))
+        node, n, key = node[order], n[order], key[order]
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
+        node, n, key = node[new], n[new], key[new]
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        count = np.diff([*starts, len(key)])
+        g = np.add.reduceat(mix(node.view(np.uint64)), starts)
+        _, first = np.unique(g, return_index=True)
+        stay = np.zeros(len(starts), bool)
+        stay[first] = True
+        stay = np.repeat(stay & (count > 1), count)
+        return pa.table({"g": np.repeat(g, count)[stay].view(np.int64), "node": node[stay], "n": n[stay].astype(np.int64)})
+
+    dealt = texts.mapInArrow(deal, "bucket long, nodes binary, blob binary")
+    return dealt.groupBy("bucket").applyInArrow(meet, "g long, node long, n long").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The rows of pairs(a, b, ...) whose texts(node, text) have the Jaccard similarity of shingle sets, by counting."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            last: dict[bytes, np.ndarray] = {}
+            stay = []
+            for x, y in zip(as_bytes(b.column("x")), as_bytes(b.column("y")), strict=True):
+                for raw in (x, y):
+                    if raw not in last:
+                        if len(last) >= 256:
+                            last.pop(next(iter(last)))
+                        last[raw] = np.unique(shingle_hashes(raw, size))
+                p, q = last.get(x), last[y]
+                p = np.unique(shingle_hashes(x, size)) if p is None else p
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                stay.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
+            yield b.select(names).filter(pa.array(stay, pa.bool_()))
+
+    names = pairs.columns
+    found = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select(*names, "x", "y")
+    return found.mapInArrow(rows, pairs.schema)
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, all columns, but one of each group of copies and near copies: that of the
     smallest id (null last); of repeated rows one stays.
 
-    Groups are what links of the given similarity connect. Texts are shuffled once, in the join
-    that takes out the other rows; it is on the id and a hash of the text.
+    Groups are what links connect, a link being a Jaccard similarity of shingle sets of the given or
+    more: every such link counts, and no other. Fingerprints propose links first, which join most
+    copies; then all pairs that share a prefix and are not joined yet are compared. Each link is verified by its
+    shingles. Whole texts are shuffled twice, in the join that fetches what is to be compared and in that which takes
+    out the other rows; both are on the id and a hash of the text.
     """
     spark = docs.sparkSession
     small_batches(spark)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = pa.array([lanes(x, size) for x in as_bytes(b.column(2))], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), found], names=["doc_id", "h", "lanes"])
+            sets = [np.unique(shingle_hashes(x, size)) for x in as_bytes(b.column(2))]
+            found = pa.array([lanes_of(x) for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), found, pa.array([node_of(x) for x in sets], pa.int64())], names=["doc_id", "h", "lanes", "node"])
 
     h = F.xxhash64(F.col(text_col).cast("string"))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), h.alias("h"), F.col(text_col).cast("string").alias("text"))
-    slim = written(slim.mapInArrow(rows, "doc_id long, h long, lanes binary").withColumn("node", F.xxhash64("lanes")), "simhash-lanes")
+    slim = written(slim.mapInArrow(rows, "doc_id long, h long, lanes binary, node long"), "simhash-lanes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
     own = written(slim.groupBy("node").agg(F.first("lanes").alias("lanes"), first.alias("first"), F.count("*").alias("n")), "simhash-nodes")
-    root = components(similar_links(own, similarity)).toDF("node", "root")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    shared = written(shared_prefixes(docs.select(text.alias("text")), slim.count(), size, similarity), "simhash-prefixes")
+    wanted = own.join(shared.select("node").distinct(), "node").select("node", F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h"))
+    found = docs.select(F.col(id_col).cast("long").alias("id"), h.alias("h"), text.alias("text")).join(wanted, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")))
+    texts = written(found.groupBy("node").agg(F.first("text").alias("text")), "simhash-texts")
+    proposed = cut(similar_links(own, similarity))
+    small_batches(spark)
+    joined = components(verified(proposed, texts, size, similarity)).toDF("node", "root")
+    at = shared.join(joined, "node", "left").select("g", "node", "n", F.coalesce("root", "node").alias("root"))
+    x, y = at.toDF("g", "a", "an", "ar"), at.toDF("g", "b", "bn", "br")
+    near = (F.col("an") >= F.col("bn") * similarity - 1e-9) & (F.col("bn") >= F.col("an") * similarity - 1e-9)
+    rest = cut(x.join(y, "g").where((F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & near).select("a", "b", "ar", "br").distinct())
+    # what is left are links between groups
+    further = components(verified(rest, texts, size, similarity).select(F.col("ar").alias("a"), F.col("br").alias("b"))).toDF("root", "further")
+    root = own.select("node").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    root = root.join(further, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
     group = own.join(root, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     stay = group.select(F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h")).distinct()
     small_batches(spark)
