@@ -116,3 +116,46 @@ def test_very_long_text():
     text = say(r, 150_000, 2)
     whole = text + " " + its[3][1] + " " + text
     assert 3 in {i for _, i, *_ in decontam.matches([whole], decontam.Index(its))}
+
+
+def test_edited_and_truncated_copies():
+    """Copies with one changed word, or cut short, that hold 0.8 of an item's shingles or words are found."""
+    r = random.Random(21)
+    its = [(k, " ".join(f"u{r.randrange(9000)}" for _ in range(r.randint(30, 60))) + "? " + " ".join(f"u{r.randrange(9000)}" for _ in range(r.choice([1, 2, 3, 4, 5, 8, 14]))) + ".") for k in range(60)]
+    index = decontam.Index(its)
+    for k, text in its:
+        w = text.split()
+        copies = [[*w[:i], "changed", *w[i + 1 :]] for i in range(len(w))]
+        copies += [w[: len(w) - round(0.15 * (len(w) - 4))], [*w[:9], *w[10:]], [*w[:9], "more", *w[9:]]]
+        for copy in copies:
+            grams = decontam.shingles(decontam.words_of(text))
+            assert len(grams & decontam.shingles(decontam.words_of(" ".join(copy)))) >= 0.8 * len(grams)
+        got = {i for i, item, *_ in decontam.matches([say(r, 30) + " " + " ".join(c) + " " + say(r, 30) for c in copies], index) if item == k}
+        assert got == set(range(len(copies))), (k, set(range(len(copies))) - got)
+
+
+def test_short_parts_tolerate_edits_but_not_other_words():
+    its = [(1, "Which animal of the northern seas grows largest of all? The great blue whale indeed."), (2, "Who was it that first saw the far moon? Galileo Galilei.")]
+    texts = [
+        "Which animal of the northern seas grows biggest of all? The great blue whale indeed.", "Which animal of the northern seas grows largest of all? The great blue shark indeed.",
+        "Who was it that first saw the far moon? Tycho Brahe.", "Who was it that first saw the far moon? Galileo Galilej.", "The great blue whale indeed.", "Who was it that first saw a far moon? Galileo Galilei.",
+        "Whose cat was it that sang under the moon? Johannes Kepler.",
+    ]
+    assert {(k, i) for k, i, *_ in decontam.matches(texts, decontam.Index([(i, t) for i, t in its]))} == {(0, 0), (1, 0), (3, 1), (5, 1)}
+
+
+def plain_edits(part, passage):
+    row = [0] * (len(passage) + 1)
+    for i, x in enumerate(part, 1):
+        new = [i]
+        for j, y in enumerate(passage, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
+def test_least_edits_match_the_plain_table():
+    r = random.Random(5)
+    for _ in range(1500):
+        part, passage = [r.choice("abc") for _ in range(r.randint(1, 70))], [r.choice("abc") for _ in range(r.randint(0, 40))]
+        assert decontam.least_edits(part, passage) == plain_edits(part, passage)

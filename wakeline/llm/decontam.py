@@ -8,11 +8,13 @@ threshold serves all items. Search is block-max WAND: postings in item order wit
 the list and of each block of postings. Before it, the block maxima of all
 passages of a batch are summed at once; a passage whose sum for every block of items stays under the threshold cannot
 pass and is not searched. Both bounds are upper bounds, so all matches are found. A match is
-verified by its words: at least 0.8 of the five-word shingles of the item's question (all but its
-last sentence) and of its answer (the last) stand in the passage.
+verified by its words: at least 0.8 of the five-word shingles of the whole item stand in the passage, or else 0.8
+of the item's question (all but its last sentence) and of its answer (the last), each by its shingles or by
+its words in order, of which edits may change the rest. A question or answer of under five words may differ
+by edits of a fifth of its letters.
 
 Defined results: words are lower-cased letters and digits; null and empty texts match nothing;
-null items have no words and match nothing; equal items all match; a short question or answer
+null items have no words and match nothing; equal items all match; an item of under five words
 is one shingle; repeated rows get equal results; an empty benchmark leaves everything clean; very long
 texts are searched in bounded parts; clean() keeps all columns as they are.
 """
@@ -22,7 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Hashable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -64,13 +66,50 @@ def question_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     return w[: len(w) // 2], w[len(w) // 2 :]
 
 
+def least_edits(part: Sequence[Hashable], passage: Sequence[Hashable]) -> int:
+    """The fewest edits (one put in, left out or changed) from part to some stretch of passage, by
+    Myers' bit vectors."""
+    m = len(part)
+    places: dict[Hashable, int] = {}
+    for i, x in enumerate(part):
+        places[x] = places.get(x, 0) | 1 << i
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, now, best = full, 0, m, m
+    for x in passage:
+        eq = places.get(x, 0)
+        xv = eq | down
+        xh = ((eq & up) + up) ^ up | eq
+        more, less = down | ~(xh | up) & full, up & xh
+        if more & top:
+            now += 1
+        elif less & top:
+            now -= 1
+            best = min(best, now)
+        more, less = more << 1 & full, less << 1 & full
+        up, down = less | ~(xv | more) & full, more & xv
+    return best
+
+
+def edit_share(part: list[bytes], passage: list[bytes], joined: bytes, overlap: float) -> float:
+    """How much of a part stands in a passage but for edits: of words, or of letters if it has under five; 0 if
+    too few of its words do for the overlap."""
+    if len(part) < SHINGLE:
+        text = b" ".join(part)
+        return max(0.0, 1 - least_edits(b" " + text + b" ", joined) / len(text))
+    if sum((Counter(part) & Counter(passage)).values()) < overlap * len(part) - 1e-9:
+        return 0.0
+    return 1 - least_edits(part, passage) / len(part)
+
+
 class Index:
     """Inverted index of items with BM25 weights, an item's own score being 1."""
 
     def __init__(self, items: list[tuple[int | None, str]]) -> None:
         self.ids = [i for i, _ in items]
-        self.parts = [tuple(map(shingles, question_answer(t))) for _, t in items]
+        self.parts = [question_answer(t) for _, t in items]
+        self.grams = [tuple(map(shingles, x)) for x in self.parts]
         words = [words_of(t) for _, t in items]
+        self.whole = [shingles(x) for x in words]
         self.longest = max([1, *map(len, words)])
         average = max(1.0, sum(map(len, words)) / max(1, len(words)))
         df = Counter(w for x in words for w in set(x))
@@ -181,8 +220,15 @@ class Index:
         return np.flatnonzero((sums + self.common >= THRESHOLD - 1e-9).any(axis=1))
 
 
-def matches(texts: list[str], index: Index, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[tuple[int, int, float, float, float]]:
-    """(text, item, score, question overlap, answer overlap) of verified matches, the best passage of each."""
+def share(grams: set[bytes], own: set[bytes], joined: bytes) -> float:
+    """The share of shingles that a passage holds; less than a shingle is looked for as words."""
+    if len(grams) == 1:
+        return float(b" " + next(iter(grams)) + b" " in joined)
+    return len(grams & own) / len(grams) if grams else 1.0
+
+
+def matches(texts: list[str], index: Index, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[tuple[int, int, float, float, float, float]]:
+    """(text, item, score, question overlap, answer overlap, item overlap) of verified matches, the best passage of each."""
     step, found = index.longest, {}
     most = max(1, (4 << 20) // max(1, index.blocks))  # segments at once
     lookup = index.term.get
@@ -205,20 +251,20 @@ def matches(texts: list[str], index: Index, threshold: float = THRESHOLD, overla
             if not hits:
                 continue
             own = shingles(passage)
-            joined = None
+            joined = b" " + b" ".join(passage) + b" "
             for item, score in hits:
-                shares = []
-                for part_ in index.parts[item]:
-                    short = [g for g in part_ if g.count(b" ") < SHINGLE - 1]
-                    if short:  # less than a shingle: looked for as words
-                        joined = joined or b" " + b" ".join(passage) + b" "
-                        shares.append(float(b" " + short[0] + b" " in joined))
-                    else:
-                        shares.append(len(part_ & own) / len(part_) if part_ else 1.0)
-                if min(shares) >= overlap:
+                whole = share(index.whole[item], own, joined)
+                shares = [share(g, own, joined) for g in index.grams[item]]
+                if whole < overlap - 1e-9:
+                    for i in sorted((0, 1), key=lambda i: -shares[i]):  # the other is not looked at if this fails
+                        if shares[i] < overlap:
+                            shares[i] = max(shares[i], edit_share(index.parts[item][i], passage, joined, overlap))
+                        if shares[i] < overlap - 1e-9:
+                            break
+                if whole >= overlap - 1e-9 or min(shares) >= overlap - 1e-9:
                     best = found.get((text, item))
                     if best is None or score > best[0]:
-                        found[text, item] = (score, *shares)
+                        found[text, item] = (score, *shares, whole)
 
     part, segments = [], 0
     for k, text in enumerate(texts):
@@ -255,13 +301,13 @@ def _texts(column: pa.Array) -> list[str]:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, score, question_overlap, answer_overlap) of each row of docs and item that match; no shuffle.
+    """(doc_id, item_id, score, question_overlap, answer_overlap, item_overlap) of each row of docs and item that match; no shuffle.
 
     Each block of items is one pass over the documents.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    kinds = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+    kinds = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, item_overlap double"
     out = None
     for block in item_blocks(benchmark):
         sent = spark.sparkContext.broadcast(block)
@@ -271,8 +317,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             for b in batches:
                 ids = b.column(0).to_pylist()
                 found = [(ids[k], index.ids[i], *x) for k, i, *x in matches(_texts(b.column(1)), index)]
-                kinds_ = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], t) for c, t in enumerate(kinds_)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                kinds_ = (pa.int64(), pa.int64(), *[pa.float64()] * 4)
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], t) for c, t in enumerate(kinds_)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "item_overlap"])
 
         slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         found = slim.mapInArrow(rows, kinds)
