@@ -121,3 +121,19 @@ def test_gaps_reach_the_table(spark, tmp_path):
     assert sorted(r.kind for r in got) == ["gap", "record", "record"]
     (gap,) = (r for r in got if r.kind == "gap")
     assert (gap.offset, gap.length, gap.reason) == (len(members[0]), 10, "no gzip member") and gap.path.endswith("a.warc.gz")
+
+
+def test_gzip_payloads_in_a_plain_archive():
+    """Payloads that are gzip members do not cut the plain records that hold them."""
+
+    def record(k, block):
+        return f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:x:{k}>\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    blocks = [gzip.compress(b"first" * 50), b"plain", gzip.compress(b"third" * 50), b"last"]
+    content = b"".join(record(k, b) for k, b in enumerate(blocks))
+    got = list(warc.salvage(content))
+    assert [x["kind"] for x in got] == ["record"] * 4 and [x["payload"] for x in got] == blocks
+    assert [x["offset"] + x["length"] for x in got] == [x["offset"] for x in got[1:]] + [len(content)]
+    # a gzip member after the plain records is still told apart
+    got = list(warc.salvage(content + gzip.compress(record(9, b"member"))))
+    assert [x["payload"] for x in got] == [*blocks, b"member"]

@@ -199,6 +199,25 @@ def _plain(data: bytes, base: int | None = None) -> Iterator[dict[str, Any]]:
             at = next_
 
 
+def _next(content: bytes, data: memoryview, at: int) -> int:
+    """The first offset from here on of a valid member or record, else the end."""
+    n = len(content)
+    while at < n:
+        member, plain = content.find(MAGIC, at), _VERSION.search(content, at)
+        at = min([x for x in (member, plain.start() if plain else -1) if x >= 0], default=n)
+        if at == n:
+            break
+        try:
+            if at == member:
+                _member(data, at)
+            else:
+                _record(content, at)
+            break
+        except Bad:
+            at += 1
+    return at
+
+
 def salvage(content: bytes) -> Iterator[dict[str, Any]]:
     """Records and gaps of an archive, gzip members or plain, in order.
 
@@ -207,38 +226,23 @@ def salvage(content: bytes) -> Iterator[dict[str, Any]]:
     data, at, n = memoryview(content), 0, len(content)
     while at < n:
         if _VERSION.match(content, at):
-            # plain records up to the next valid member, if any
-            stop = content.find(MAGIC, at)
-            while stop >= 0:
-                try:
-                    _member(data, stop)
-                    break
-                except Bad:
-                    stop = content.find(MAGIC, stop + 1)
-            stop = n if stop < 0 else stop
-            for x in _plain(content[at:stop]):
-                yield x | {"offset": x["offset"] + at}
-            at = stop
+            # a record is tried against all that follows: its payload may itself hold members
+            try:
+                found, end = _record(content, at)
+                yield found | {"offset": at, "length": end - at}
+                at = end
+                continue
+            except Bad as bad:
+                begin, reason = at, str(bad)
+            at = _next(content, data, begin + 1)
+            yield _gap(begin, at - begin, reason)
             continue
         try:
             found, end = _member(data, at)
             yield from (x | {"length": end - at} if x["kind"] == "record" else x for x in _plain(found, at))
             at = end
         except Bad as bad:
-            begin, at = at, at + 1
-            while at < n:
-                member, plain = content.find(MAGIC, at), _VERSION.search(content, at)
-                at = min([x for x in (member, plain.start() if plain else -1) if x >= 0], default=n)
-                if at == n:
-                    break
-                try:
-                    if at == member:
-                        _member(data, at)
-                    else:
-                        _record(content, at)
-                    break
-                except Bad:
-                    at += 1
+            begin, at = at, _next(content, data, at + 1)
             yield _gap(begin, at - begin, str(bad))
 
 
