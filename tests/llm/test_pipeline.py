@@ -113,3 +113,15 @@ def test_empty_and_null_documents(spark, tmp_path):
         for name, stage in corpus_pipeline.STAGES:
             got = stage(spark, rows, SF_DIR)
             assert got.count() <= 3, name
+
+
+def test_no_item_is_left_and_clean_documents_stay(spark, stages):
+    """Documents that hold an item's words in order are in before decontamination and gone after; those without any shingle of an item stay."""
+    its = [b" ".join(decontam.words_of(r.text or "")) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
+    its = [b" " + x + b" " for x in its if x]
+    grams_ = {g for x in its for g in decontam.shingles(x.split())}
+    words = [decontam.words_of(r.text or "") for r in stages[2]]
+    holds = {r.doc_id for r, w in zip(stages[2], words, strict=True) if any(x in b" " + b" ".join(w) + b" " for x in its)}
+    free = {r.doc_id for r, w in zip(stages[2], words, strict=True) if not grams_ & decontam.shingles(w)}
+    left = {r.doc_id for r in stages[3]}
+    assert holds and free and not holds & left and free <= left
