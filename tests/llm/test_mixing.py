@@ -3,8 +3,12 @@
 import random
 import re
 
+import pyarrow.parquet as pq
 import pytest
-from wakeline.llm import mixing
+from pyspark.sql import functions as F
+from wakeline.llm import mixing, queries
+
+from tests.compare import check
 
 SCHEMA = "doc_id long, text string, source string, target string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -77,3 +81,50 @@ def test_repeats_nulls_and_empty(spark):
     got = [(r.doc_id, r.size, r.source_size, r.target, r.taken) for r in mixing.mix(df).collect()]
     assert sorted(got, key=str) == sorted([(None, 3, 7, 7.0, 3), (1, 2, 7, 7.0, 2), (1, 2, 7, 7.0, 2), (2, 0, 0, 0.0, 0)], key=str)
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mixed(df.limit(0)).count() == 0
+
+
+def near_target(rows, slack):
+    """Whether each source's taken words are within slack of its target, and no row is beyond three times its size."""
+    by = {}
+    for r in rows:
+        by.setdefault(r.source, []).append(r)
+    for xs in by.values():
+        assert abs(sum(x.taken for x in xs) - xs[0].target) <= slack, (xs[0].source, sum(x.taken for x in xs), xs[0].target)
+        assert all(0 <= x.taken <= 3 * x.size for x in xs)
+
+
+@pytest.mark.parametrize("ident", [7, None])
+def test_rows_of_one_id_are_taken_one_by_one(spark, ident):
+    ten = "w " * 10
+    rows = [(ident, ten, "a", "")] * 1000 + [(i, ten, "b", "") for i in range(1000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = mixing.mix(df).collect()
+    assert len(got) == 2000
+    near_target(got, 10)
+    mixed = {r.source: r["count"] for r in mixing.mixed(df).groupBy("source").count().collect()}
+    assert mixed == {"a": 666, "b": 1333}
+
+
+@pytest.mark.parametrize("ident", [7, None])
+def test_different_texts_of_one_id(spark, ident, monkeypatch):
+    monkeypatch.setattr(mixing, "CROWD", 64)  # so that the crowded bucket is cut
+    rows = [(ident, f"t{i} " * (1 + i % 7), "a", "") for i in range(1500)] + [(i, "x y z", "b", "") for i in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = mixing.mix(df).collect()
+    near_target(got, 8)
+    taken = sorted((r.source, r.size, r.taken) for r in got)
+    assert taken == sorted((r.source, r.size, r.taken) for r in mixing.mix(df.repartition(6)).collect())
+    mixed = {r.source: r["count"] for r in mixing.mixed(df).groupBy("source").count().collect()}
+    assert mixed == {s: sum(r.times for r in got if r.source == s) for s in ("a", "b")}
+
+
+def test_sql_on_repeated_and_null_ids(spark, tmp_path):
+    r = random.Random(3)
+    rows = [(r.choice([7, None, i]), "w " * r.choice([0, 3, 10]) + r.choice("xyz"), r.choices(["a", "b", None], [6, 3, 1])[0]) for i in range(6000)]
+    pq.write_table(spark.createDataFrame(rows, "doc_id long, text string, source string").toArrow(), tmp_path / "documents.parquet")
+    assert check(spark, str(tmp_path), queries.op4_source_mixing, queries.OP4_SQL) == 6000
+
+
+def test_bucket_does_not_overflow(spark):
+    x = spark.range(1).select(mixing.bucket(F.lit((1 << 40) - 1), F.lit(1 << 40)).alias("b"), mixing.bucket(F.lit(123_456_789_012), F.lit(9_999_999_999)).alias("c")).first()
+    assert (x.b, x.c) == ((1 << 40) - 1, 123_456_789_012 * 9_999_999_999 >> 40)

@@ -119,7 +119,8 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN '
 OP4_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 10))::BIGINT AS u
+    ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))), 1, 10))::BIGINT AS u,
+    ('0x' || substr(md5(coalesce(text, '')), 1, 10))::BIGINT AS v, row_number() OVER () AS rid
   FROM documents),
 s0 AS (SELECT source, count(*) AS docs, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
 t0 AS (SELECT sum(source_size)::DOUBLE AS total FROM s0),
@@ -135,20 +136,23 @@ s1 AS (SELECT s0.*, capped[row_number() OVER (ORDER BY source NULLS LAST)] AS c
 s2 AS (SELECT *, CASE WHEN c THEN 3.0::DOUBLE * source_size ELSE ((total - sum(CASE WHEN c THEN 3 * source_size ELSE 0 END) OVER ()) / sum(CASE WHEN c THEN 0 ELSE weight END) OVER ()) * weight END AS target FROM s1, t0),
 s3 AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole, ceil(docs / 1024)::BIGINT AS buckets FROM s2),
 s4 AS (SELECT *, target - whole * source_size AS quota FROM s3),
-r AS (SELECT doc_id, d.source, size, u, source_size, target, whole, quota, (u * buckets) // 1099511627776 AS b FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source),
-b0 AS (SELECT source, b, quota, sum(size) AS n FROM r GROUP BY ALL),
+r AS (SELECT rid, doc_id, d.source, size, u, v, source_size, target, whole, quota, ((u::HUGEINT * buckets) // 1099511627776)::BIGINT AS b FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source),
+b0 AS (SELECT source, b, quota, sum(size) AS n, count(*) AS docs FROM r GROUP BY ALL),
 b1 AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY b) - n AS before FROM b0),
-b2 AS (SELECT source, b AS last_b, quota - before AS room FROM b1 WHERE before <= quota AND before + n > quota),
-q AS (SELECT r.source, room, u, size, row_number() OVER (PARTITION BY r.source ORDER BY u, size, doc_id) AS k FROM r JOIN b2 ON r.source IS NOT DISTINCT FROM b2.source AND b = last_b),
+b2 AS (SELECT source, b AS last_b, quota - before AS room, ceil(docs / 4096)::BIGINT AS subs FROM b1 WHERE before <= quota AND before + n > quota),
+p AS (SELECT rid, r.source, room, u, v, size, doc_id, ((v::HUGEINT * subs) // 1099511627776)::BIGINT AS s FROM r JOIN b2 ON r.source IS NOT DISTINCT FROM b2.source AND b = last_b),
+p0 AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY s) - n AS before FROM (SELECT source, s, room, sum(size) AS n FROM p GROUP BY ALL)),
+p1 AS (SELECT source, s AS last_s, room - before AS room FROM p0 WHERE before <= room AND before + n > room),
+q AS (SELECT rid, p.source, size, row_number() OVER (PARTITION BY p.source ORDER BY u, size, doc_id NULLS FIRST, v, rid) AS k FROM p JOIN p1 ON p.source IS NOT DISTINCT FROM p1.source AND s = last_s),
 walk AS (
-  SELECT source, 0::BIGINT AS k, NULL::BIGINT AS u, room, false AS took FROM b2
+  SELECT source, 0::BIGINT AS k, NULL::BIGINT AS rid, room, false AS took FROM p1
   UNION ALL
-  SELECT q.source, q.k, q.u, CASE WHEN size > 0 AND size <= walk.room THEN walk.room - size ELSE walk.room END, size > 0 AND size <= walk.room
+  SELECT q.source, q.k, q.rid, CASE WHEN size > 0 AND size <= walk.room THEN walk.room - size ELSE walk.room END, size > 0 AND size <= walk.room
   FROM walk JOIN q ON q.source IS NOT DISTINCT FROM walk.source AND q.k = walk.k + 1),
-took AS (SELECT DISTINCT source, u FROM walk WHERE took)
+took AS (SELECT rid FROM walk WHERE took UNION ALL SELECT rid FROM p JOIN p1 ON p.source IS NOT DISTINCT FROM p1.source AND s < last_s)
 SELECT doc_id, size, source_size, target,
-  CASE WHEN source_size = 0 THEN 0 ELSE size * (whole + (CASE WHEN last_b IS NULL THEN quota > 0 ELSE b < last_b OR took.u IS NOT NULL END)::INT) END::BIGINT AS taken
-FROM r LEFT JOIN b2 ON r.source IS NOT DISTINCT FROM b2.source LEFT JOIN took ON r.source IS NOT DISTINCT FROM took.source AND r.u = took.u
+  CASE WHEN source_size = 0 THEN 0 ELSE size * (whole + (CASE WHEN last_b IS NULL THEN quota > 0 ELSE b < last_b OR took.rid IS NOT NULL END)::INT) END::BIGINT AS taken
+FROM r LEFT JOIN b2 ON r.source IS NOT DISTINCT FROM b2.source LEFT JOIN took ON r.rid = took.rid
 """
 
 
