@@ -2,6 +2,9 @@
 
 import math
 
+import numpy as np
+import pytest
+
 from wakeline.llm import urlgraph
 
 SCHEMA = "page_id long, url string, html string, host string"
@@ -67,3 +70,39 @@ def test_links_carry_verdicts(spark):
 def test_empty_and_repeated(spark):
     assert urlgraph.judge(pages(spark, [])).count() == 0
     assert urlgraph.judge(pages(spark, [(1, "http://a.net/", "")] * 3)).count() == 3
+
+
+def settled(spark, seeds, edges):
+    seeds = spark.createDataFrame([(h, *s) for h, s in seeds.items()], "host string, trust double, distrust double")
+    got = urlgraph.propagate(seeds, spark.createDataFrame(edges, "src string, dst string, n long"), rounds=None)
+    return {r.host: (r.trust, r.distrust) for r in got.collect()}
+
+
+def test_cycle_is_the_linear_systems_solution(spark):
+    # x = 0.15 s + 0.85 A x, where a and b give all to each other and c gives a quarter to a
+    names, d = ["a", "b", "c", "d"], 0.85
+    edges = [("a", "b", 2), ("b", "a", 1), ("c", "a", 1), ("c", "d", 3)]
+    flow = np.zeros((4, 4))
+    flow[1, 0] = flow[0, 1] = 1
+    flow[0, 2], flow[3, 2] = 0.25, 0.75
+    back = np.zeros((4, 4))
+    back[0, 1] = back[2, 3] = 1
+    back[1, 0] = 0.5
+    back[2, 0] = 0.5
+    trust = np.linalg.solve(np.eye(4) - d * flow, 0.15 * np.array([1, 0, 0.5, 0]))
+    distrust = np.linalg.solve(np.eye(4) - d * back, 0.15 * np.array([0, 1, 0, 0.25]))
+    got = settled(spark, {"a": (1.0, 0.0), "b": (0.0, 1.0), "c": (0.5, 0.0), "d": (0.0, 0.25)}, edges)
+    for k, h in enumerate(names):
+        assert math.isclose(got[h][0], trust[k], abs_tol=2e-5) and math.isclose(got[h][1], distrust[k], abs_tol=2e-5), h
+
+
+def test_scores_reach_hosts_beyond_twenty_links(spark):
+    edges = [(f"h{k:02}", f"h{k + 1:02}", 1) for k in range(40)]
+    got = settled(spark, {"h00": (1.0, 0.0)}, edges)
+    assert math.isclose(got["h30"][0], 0.15 * 0.85**30, rel_tol=1e-3)
+
+
+def test_a_walk_that_never_settles_raises(spark, monkeypatch):
+    monkeypatch.setattr(urlgraph, "MOST_ROUNDS", 10)
+    with pytest.raises(RuntimeError, match="still move"):
+        settled(spark, {"a": (1.0, 0.0)}, [("a", "b", 1), ("b", "a", 1)])

@@ -29,9 +29,11 @@ from wakeline.llm.common import cut, written
 #: (host and path, verdict)
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 DAMPING = 0.85
-ROUNDS = 20
+ROUNDS = 20  # of a walk of fixed length
 #: Iterations stop when no score moves by more than this.
 TOLERANCE = 1e-6
+#: A guard, not a cut: 0.85 to this power, times all hosts there are, is far below the tolerance.
+MOST_ROUNDS = 300
 THRESHOLD = (1 - DAMPING) / 2
 CUT_EVERY = 5
 
@@ -73,9 +75,12 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return found.where("src <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """host, trust, distrust from seeds(host, trust, distrust) and edges(src, dst, n).
 
+    rounds: the walk's length at most; None goes on until no score moves by more than the tolerance between
+    two cuts (about 85 rounds on a cycle), and raises if that never comes.
+
     Both flows run as one: a flow's kind is part of the key. A round joins the shares of the links
     with the scores and sums what flows in, before the shuffle as far as it can; the plan is cut
     every few rounds. A host with very many links is one key of that join, which Spark splits.
@@ -90,18 +95,22 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     if share.isEmpty():
         score = seed
     else:
-        seed = score = cut(seed)
-        for k in range(1, rounds + 1):
+        seed = score = last = cut(seed)
+        for k in range(1, (rounds or MOST_ROUNDS) + 1):
             flow = share.join(score.withColumnRenamed("host", "from"), ["kind", "from"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
             new = flow.union(seed).groupBy("kind", "host").agg(F.sum("score").alias("score"))
             if k % CUT_EVERY == 0 or k == rounds:
-                old, new = score, cut(new)
-                moved = new.join(old.withColumnRenamed("score", "old"), ["kind", "host"], "left").where(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))) > tolerance)
-                score = new
+                # against the last cut, so that no round is computed twice
+                new = cut(new)
+                moved = new.join(last.withColumnRenamed("score", "old"), ["kind", "host"], "left").where(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))) > tolerance)
+                score = last = new
                 if moved.isEmpty():
                     break
             else:
                 score = new
+        else:
+            if rounds is None:
+                raise RuntimeError(f"scores still move after {MOST_ROUNDS} rounds")
     return score.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0)).alias("distrust"))
 
 
@@ -112,7 +121,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold:
     slim = slim.select("page_id", "host", "path", F.col("m.rule").alias("rule"), F.col("m.verdict").alias("ruled"))
     of = lambda v: F.avg(F.coalesce((F.col("ruled") == v).cast("double"), F.lit(0.0)))
     seeds = slim.where("host <> ''").groupBy("host").agg(of("allow").alias("trust"), of("block").alias("distrust"))
-    scores = written(propagate(seeds, host_edges(pages, url_col, html_col)), "host-scores").withColumnRenamed("host", "scored")
+    scores = written(propagate(seeds, host_edges(pages, url_col, html_col), rounds=None), "host-scores").withColumnRenamed("host", "scored")
     net = F.coalesce(F.col("distrust"), F.lit(0.0)) - F.coalesce(F.col("trust"), F.lit(0.0))
     verdict = F.coalesce(F.col("ruled"), F.when(net > threshold, F.lit("block")).otherwise(F.lit("allow")))
     return slim.join(scores, F.col("host") == F.col("scored"), "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
