@@ -1,11 +1,15 @@
 """URL rules and trust over links, against a plain implementation."""
 
 import math
+import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
-from wakeline.llm import urlgraph
+from wakeline.llm import queries, urlgraph
+
+from tests.compare import check
 
 SCHEMA = "page_id long, url string, html string, host string"
 
@@ -106,3 +110,12 @@ def test_a_walk_that_never_settles_raises(spark, monkeypatch):
     monkeypatch.setattr(urlgraph, "MOST_ROUNDS", 10)
     with pytest.raises(RuntimeError, match="still move"):
         settled(spark, {"a": (1.0, 0.0)}, [("a", "b", 1), ("b", "a", 1)])
+
+
+def test_sql_on_a_made_graph(spark, tmp_path):
+    r = random.Random(4)
+    hosts = [f"h{k}.{r.choice(['net', 'org', 'com', 'io'])}" for k in range(12)]
+    link = lambda: f'<a href="http://{r.choice(hosts)}/x">l</a>'
+    rows = [(k, f"http://{r.choice(hosts)}/{r.choice(['fr/', 'en/', ''])}", "".join(link() for _ in range(r.randrange(4)))) for k in range(60)]
+    pq.write_table(spark.createDataFrame(rows, "page_id long, url string, html string").toArrow(), tmp_path / "pages.parquet")
+    assert check(spark, str(tmp_path), queries.op6_url_filter, queries.OP6_SQL) == 60

@@ -79,7 +79,7 @@ start AS (SELECT 't' AS kind, host, 0.15 * t AS s FROM seed UNION ALL SELECT 'd'
 walk AS (
   SELECT 0 AS k, kind, host, s FROM start
   UNION ALL
-  SELECT k + 1, kind, host, sum(s) FROM (SELECT walk.k, walk.kind, b AS host, 0.85 * w * s AS s FROM walk JOIN flow ON walk.kind = flow.kind AND walk.host = flow.a WHERE walk.k < 20) GROUP BY ALL),
+  SELECT k + 1, kind, host, sum(s) FROM (SELECT walk.k, walk.kind, b AS host, 0.85 * w * s AS s FROM walk JOIN flow ON walk.kind = flow.kind AND walk.host = flow.a WHERE walk.k < 100) GROUP BY ALL),
 score AS (SELECT host, sum(CASE kind WHEN 't' THEN s ELSE 0 END) AS trust, sum(CASE kind WHEN 'd' THEN s ELSE 0 END) AS distrust FROM walk GROUP BY host)
 SELECT page_id, r.host, path, m.rule AS rule, coalesce(m.verdict, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) > 0.075 THEN 'block' ELSE 'allow' END) AS verdict
 FROM r LEFT JOIN score ON r.host = score.host
