@@ -1,9 +1,14 @@
-"""Ancestry: `event of`, `child of`, `descendant of`, as windows over process ids.
+"""Ancestry: `event of`, `child of`, `descendant of`, over the lives of process ids.
 
-State changes are rows of a timeline: a pid is marked by a match (or by its creation under a marked
-parent), and cleared at the process event after its termination or at a boot. A test looks at the
-last change before it. Timelines are partitioned by host (if given) and pid and ordered by
-arrival; descendants repeat the step until no creation changes.
+A pid is marked by a match (or by its creation under a marked parent), and cleared at the process
+event after its termination or at a boot. What lies between two clears of a pid is a life. A life has one
+number, the first place at which it is marked, and a test at a place holds if that is not later. So
+descendants are an earliest arrival: a creation links the life of its parent to the life of its child at
+its place, and passes a mark on if the parent's life is marked before it. Lives that a round
+improved are all that the next round looks at.
+
+Events that share a place in the order are simultaneous: each sees the matches of all of them, and a
+creation does not see those of its own place. Rows with equal places are never multiplied.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from pyspark.sql import functions as F
 
 from wakeline.functions import values as v
 from wakeline.operators.events import condition_of
+from wakeline.operators.frames import settle
 from wakeline.plans import tree as t
 from wakeline.plans.compiler import Compiler
 from wakeline.sources.frames import ORD, TYPE
@@ -47,14 +53,14 @@ SHIFT = 22  # bits of the order in one window at most: four million rows of a ho
 
 def _scan(rows: DataFrame, at: str, bits: int) -> DataFrame:
     """rows(host, at, first, boots) with `after`, the least `first` at later places of the host, and `before`,
-    the sum of `boots` at earlier ones. Windows are over stretches of 2^SHIFT places; what lies beyond
+    the sum of `boots` at earlier places. Windows are over stretches of 2^SHIFT places; what lies beyond
     comes from the stretches' own sums, scanned in the same way."""
     top = bits <= SHIFT
     group = [] if top else [f"{at}_"]
     x = rows if top else rows.withColumn(f"{at}_", F.shiftright(at, SHIFT))
     w = Window.partitionBy("host", *group).orderBy(at)
-    x = x.withColumn("after", F.min("first").over(w.rowsBetween(1, Window.unboundedFollowing)))
-    x = x.withColumn("before", F.coalesce(F.sum("boots").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    x = x.withColumn("after", F.min("first").over(w.rangeBetween(1, Window.unboundedFollowing)))
+    x = x.withColumn("before", F.coalesce(F.sum("boots").over(w.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     if top:
         return x
     sums = rows.groupBy("host", F.shiftright(at, SHIFT).alias(f"{at}_")).agg(F.min("first").alias("first"), F.sum("boots").alias("boots"))
@@ -64,10 +70,71 @@ def _scan(rows: DataFrame, at: str, bits: int) -> DataFrame:
 
 
 def along(slim: DataFrame) -> DataFrame:
-    """slim with `epoch`, the boots of a host up to each row, and for ended rows `next`, the process event after it."""
-    x = slim.withColumns({"first": F.when(F.col("process"), F.col("ord")), "boots": F.col("boot").cast("bigint")})
-    x = _scan(x, "ord", 64)
-    return x.withColumns({"epoch": F.col("before") + F.col("boots"), "next": F.when(F.col("ended"), F.col("after"))}).drop("first", "boots", "after", "before")
+    """slim with `epoch`, the boots of a host before each place and at it, and for ended rows `next`, the place of the
+    process event after it. One row a place is scanned, and nothing where nothing boots or ends."""
+    r = slim.agg(F.min("ord").alias("low"), F.max("ord").alias("high"), F.max("boot").alias("boots"), F.max("ended").alias("ends")).first()
+    if r.low is None or not (r.boots or r.ends):
+        return slim.withColumns({"epoch": F.lit(0).cast("bigint"), "next": F.lit(None).cast("bigint")})
+    places = slim.groupBy("host", (F.col("ord") - r.low).alias("at")).agg(F.min(F.when(F.col("process"), F.col("ord"))).alias("first"), F.sum(F.col("boot").cast("bigint")).alias("boots"))
+    x = _scan(places, "at", (r.high - r.low).bit_length()).select("host", (F.col("at") + r.low).alias("ord"), (F.col("before") + F.col("boots")).alias("epoch"), "after")
+    return slim.join(x, ["host", "ord"]).withColumn("next", F.when(F.col("ended"), F.col("after"))).drop("after")
+
+
+LIFE = ["host", "epoch", "pid", "since"]
+HOPS = 4  # links that marks pass between two cuts
+
+
+def _lives(slim: DataFrame) -> DataFrame:
+    """Rows (what, host, epoch, pid, since, ord, other): clears apart, all that happens to a pid, by its life.
+
+    what: birth (of a child `other` of this pid), made (this pid, by the parent `other`), hit, look.
+    """
+    row = lambda what, pid, other, rank: F.struct(F.lit(what).alias("what"), pid.alias("pid"), other.cast("string").alias("other"), F.lit(rank).alias("rank"), F.col("ord").alias("ord"))
+    pid, ppid, none = F.col("pid"), F.col("ppid"), F.lit(None)
+    parts = [
+        F.when(F.col("create"), row("birth", ppid, pid, 1)), F.when(F.col("create"), row("made", pid, ppid, 2)), F.when(F.col("hit"), row("hit", pid, none, 2)), row("look", pid, none, 3),
+        # the next process event is of the same epoch or a boot, which clears all anyway
+        F.when(F.col("next").isNotNull(), row("clear", pid, none, 0).withField("ord", F.col("next"))),
+    ]
+    x = slim.select("host", "epoch", F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("p")).select("host", "epoch", "p.*")
+    line = Window.partitionBy("host", "epoch", "pid").orderBy("ord", "rank")
+    since = F.last(F.when(F.col("what") == "clear", F.col("ord")), ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    return x.withColumn("since", F.coalesce(since, F.lit(-(1 << 63)))).where("what <> 'clear'").select("what", *LIFE, "ord", "other")
+
+
+def _passed(edges: DataFrame, marks: DataFrame) -> DataFrame:
+    """Lives (LIFE, t) of the children that creations after their parents' marks(LIFE, t) make."""
+    m = marks.toDF(*(f"m_{c}" for c in LIFE), "t")
+    same = F.col("ord") > F.col("t")
+    for c in LIFE:
+        same &= F.col(f"p_{c}") == F.col(f"m_{c}")
+    return edges.join(m, same).groupBy(*LIFE).agg(F.min("ord").alias("t"))
+
+
+def _marks(lives: DataFrame, kind: str) -> DataFrame:
+    """(LIFE, t): the first place at which each life is marked."""
+    hits = lives.where("what = 'hit'").groupBy(*LIFE).agg(F.min("ord").alias("t"))
+    if kind == "event":
+        return hits
+    births = lives.where("what = 'birth'").select(*[F.col(c).alias(f"p_{c}") for c in LIFE], "ord", F.col("other").alias("child"))
+    made = lives.where("what = 'made'").select(*LIFE, F.col("ord").alias("o"), "other")
+    same = (F.col("p_host") == F.col("host")) & (F.col("p_epoch") == F.col("epoch")) & (F.col("ord") == F.col("o")) & (F.col("child") == F.col("pid")) & (F.col("p_pid") == F.col("other"))
+    edges = births.join(made, same).select(*[f"p_{c}" for c in LIFE], *LIFE, "ord")
+    if kind == "child":
+        return _passed(edges, hits)
+    edges = settle(edges.distinct(), "ancestry-links")
+    known = None
+    fresh = settle(_passed(edges, hits), "ancestry-marks")
+    while not fresh.isEmpty():
+        known = fresh if known is None else settle(known.union(fresh).groupBy(*LIFE).agg(F.min("t").alias("t")), "ancestry-marks")
+        hop = found = _passed(edges, fresh)
+        for _ in range(1, HOPS):
+            hop = _passed(edges, hop)
+            found = found.union(hop)
+        best = found.groupBy(*LIFE).agg(F.min("t").alias("t"))
+        old = known.withColumnRenamed("t", "old")
+        fresh = settle(best.join(old, LIFE, "left").where("old IS NULL OR t < old").select(*LIFE, "t"), "ancestry-marks")
+    return fresh if known is None else known
 
 
 def mark(df: DataFrame, compiler: Compiler, relation: t.Relation, processes: Processes, name: str) -> DataFrame:
@@ -87,48 +154,17 @@ def mark(df: DataFrame, compiler: Compiler, relation: t.Relation, processes: Pro
     host = _text(_value(compiler, processes.host)) if processes.host else F.lit("")
     hit = no(condition_of(compiler, relation.query)) & able
     ended = no(is_process & end) & (~boot if relation.kind == "event" else F.lit(True))
+    named = lambda x: F.coalesce(F.concat(F.lit("="), x), F.lit(""))  # noqa: E731  # a missing id is an id of its own
     slim = df.select(
-        F.col(ORD).alias("ord"), F.coalesce(host, F.lit("")).alias("host"), pid.alias("pid"), ppid.alias("ppid"), hit.alias("hit"), no(is_process & create).alias("create"), ended.alias("ended"), boot.alias("boot"), no(is_process).alias("process")
+        F.col(ORD).alias("ord"), F.coalesce(host, F.lit("")).alias("host"), named(pid).alias("pid"), named(ppid).alias("ppid"), hit.alias("hit"), no(is_process & create).alias("create"), ended.alias("ended"), boot.alias("boot"), no(is_process).alias("process")
     )
-    # a boot clears all: count boots, and look no further back than the last
-    slim = along(slim)
-    # rows of a timeline: clear (0) < look back (1) < mark (2) < look (3) at one arrival
-    clears = slim.where("ended AND next IS NOT NULL").select("host", "pid", F.col("next").alias("ord"))
-    epochs = slim.select("host", "ord", "epoch")
-    clears = clears.join(epochs, ["host", "ord"]).select("host", "epoch", "pid", "ord", F.lit(0).alias("rank"), F.lit(False).alias("state"), F.lit(None).cast("bigint").alias("asked"))
-    marks = slim.where("hit").select("host", "epoch", "pid", "ord", F.lit(2).alias("rank"), F.lit(True).alias("state"), F.lit(None).cast("bigint").alias("asked"))
-    line = Window.partitionBy("host", "epoch", "pid").orderBy("ord", "rank").rowsBetween(Window.unboundedPreceding, 0)
-
-    def states(changes: DataFrame, asks: DataFrame) -> DataFrame:
-        x = changes.unionByName(asks).withColumn("held", F.coalesce(F.last("state", ignorenulls=True).over(line), F.lit(False)))
-        return x.where("asked IS NOT NULL").select("asked", "held")
-
-    unknown = F.lit(None).cast("boolean").alias("state")
-    births = slim.where("create").select("host", "epoch", F.col("ppid").alias("pid"), "ord", F.lit(1).alias("rank"), unknown, F.col("ord").alias("asked"))
-    own = slim.where("create").select("host", "epoch", "pid", "ord")
-
-    def children(changes: DataFrame) -> DataFrame:
-        """Creations whose parent is marked just before."""
-        good = states(changes, births).where("held")
-        return own.join(good, own.ord == good.asked, "left_semi").select("host", "epoch", "pid", "ord", F.lit(2).alias("rank"), F.lit(True).alias("state"), F.lit(None).cast("bigint").alias("asked"))
-
-    if relation.kind == "event":
-        changes = clears.union(marks)
-    elif relation.kind == "child":
-        changes = clears.union(children(clears.union(marks)))
-    else:
-        from wakeline.operators.frames import settle
-
-        found = settle(children(clears.union(marks)))
-        size = found.count()
-        while size:
-            more = settle(children(clears.union(marks).union(found)))
-            grown = more.count()
-            found, stable = more, grown == size
-            size = grown
-            if stable:
-                break
-        changes = clears.union(found)
-    looks = slim.select("host", "epoch", "pid", "ord", F.lit(3).alias("rank"), unknown, F.col("ord").alias("asked"))
-    held = states(changes, looks).withColumnsRenamed({"asked": "__asked", "held": name})
-    return df.join(held, F.col(ORD) == F.col("__asked"), "left").drop("__asked")
+    # all that follows starts from these few columns
+    slim = settle(slim, "ancestry")
+    lives = settle(_lives(along(slim)), "ancestry-lives")
+    marks = _marks(lives, relation.kind).toDF(*LIFE, "t")
+    held = lives.where("what = 'look'").join(marks, LIFE).where("t <= ord").select(F.col("ord").alias("__o"), F.col("host").alias("__h"), F.col("pid").alias("__p")).distinct()
+    # only what holds is joined back: where that is little, no event body is shuffled
+    held = settle(held.withColumn("__held", F.lit(True)), "ancestry-held")
+    out = df.withColumns({"__host": F.coalesce(host, F.lit("")), "__pid": named(pid)})
+    out = out.join(held, (F.col(ORD) == F.col("__o")) & (F.col("__host") == F.col("__h")) & (F.col("__pid") == F.col("__p")), "left")
+    return out.withColumn(name, F.coalesce("__held", F.lit(False))).drop("__o", "__h", "__p", "__held", "__host", "__pid")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.operators.events import condition_of, step_key
+from wakeline.operators.frames import body_hash
 from wakeline.plans import tree as t
 from wakeline.plans.compiler import Compiler
 from wakeline.sources.frames import ORD, TIME, TYPE
@@ -103,38 +104,50 @@ def join(df: DataFrame, compiler: Compiler, q: t.Join) -> DataFrame:
     """Matches of one event for each slot: the first that comes, in slot order, then the key starts anew.
 
     Whether a slot is free depends on all that came before, so a key's rows are folded in order. Rows
-    (key, ord, slot) without event bodies are dealt by key, sorted, and streamed; a key's state is
-    one arrival for each slot, whatever the key's size. The bodies are joined back by ord.
+    (key, ord, hash, slot) without event bodies are dealt by key, sorted, and streamed; a key's state is
+    one arrival for each slot, whatever the key's size. Bodies are then joined to the arrivals that matches hold,
+    by place and hash: events that share a place are told apart, and copies of one event there are one arrival's body.
+    Only events that some slot wants are read for it; where matches are few, they are sent to the events.
     """
     rows, names = _rows(df, compiler, q.steps, q.until, reverse=False)
     n = len(q.steps)
-    slim = rows.select(F.xxhash64(*names, F.lit(0)).alias("h"), F.to_json(F.struct(F.lit(0).alias("z"), *names), {"ignoreNullFields": "false"}).alias("key"), "ord", "rank", "pos")
-    dealt = slim.repartition("h").sortWithinPartitions("h", "key", "ord", "rank")
+    slim = rows.select(F.xxhash64(*names, F.lit(0)).alias("h"), F.to_json(F.struct(F.lit(0).alias("z"), *names), {"ignoreNullFields": "false"}).alias("key"), "ord", _tie(df, "event").alias("tie"), "rank", "pos")
+    dealt = slim.repartition("h").sortWithinPartitions("h", "key", "ord", "tie", "rank")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: str | None = None
-        slots: list[int | None] = [None] * n
+        slots: list[tuple[int, int] | None] = [None] * n
+        number = 0  # of a key's matches
         for b in batches:
-            done, place, held = [], [], []
-            for key, at, pos in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True):
+            done, place, held, ties = [], [], [], []
+            for key, at, tie, pos in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(5).to_pylist(), strict=True):
                 if key != now:
-                    now, slots = key, [None] * n
+                    now, slots, number = key, [None] * n, 0
                 if pos == CLOSE:
                     slots = [None] * n
                 elif slots[pos] is None:
-                    slots[pos] = at
+                    slots[pos] = at, tie
                     if None not in slots:
-                        done += [f"{at}|{key}"] * n
+                        done += [f"{at}|{number}|{key}"] * n
                         place += range(n)
-                        held += slots
-                        slots = [None] * n
-            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string()), pa.array(place, pa.int32()), pa.array(held, pa.int64())], names=["match", "place", "held"])
+                        held += [x[0] for x in slots]  # type: ignore[index]
+                        ties += [x[1] for x in slots]  # type: ignore[index]
+                        slots, number = [None] * n, number + 1
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string()), pa.array(place, pa.int32()), pa.array(held, pa.int64()), pa.array(ties, pa.int64())], names=["match", "place", "held", "held_tie"])
 
-    matches = dealt.mapInArrow(fold, "match string, place int, held long")
-    bodies = df.select(F.col(ORD).alias("o"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("event"))
-    got = matches.join(bodies, matches.held == bodies.o).groupBy("match").agg(F.array_sort(F.collect_list(F.struct("place", "held", "event")), lambda a, b: a["place"] - b["place"]).alias("x"))
+    matches = dealt.mapInArrow(fold, "match string, place int, held long, held_tie long")
+    event = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    wanted = reduce(or_, [F.coalesce(condition_of(compiler, s.query), F.lit(False)) for s in q.steps])
+    bodies = df.where(wanted).select(F.col(ORD).alias("o"), event.alias("event")).withColumn("tie", _tie(df, "event"))
+    both = matches.join(bodies, (matches.held == bodies.o) & (matches.held_tie == bodies.tie))
+    got = both.groupBy("match").agg(*[F.any_value(F.when(F.col("place") == k, F.col("event")), ignoreNulls=True).alias(f"e{k}") for k in range(n)])
     done = F.split_part("match", F.lit("|"), F.lit(1)).cast("bigint")
-    return got.select(F.transform("x", lambda e: e["event"]).alias("events"), done.alias(ORD))
+    return got.select(F.array(*[F.col(f"e{k}") for k in range(n)]).alias("events"), done.alias(ORD))
+
+
+def _tie(df: DataFrame, event: str) -> Column:
+    """What tells apart events of one place: nothing where places are known to be unique, else a hash of the event."""
+    return F.lit(0).cast("bigint") if df.schema[ORD].metadata.get("unique") else body_hash(df, event)
 
 
 def sample(df: DataFrame, compiler: Compiler, q: t.Sample) -> DataFrame:

@@ -31,7 +31,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def engine(spark: SparkSession, sf_dir: str, config: Config = MICRO, **extra: Column) -> Engine:
     df = read(spark, sf_dir, "events")
-    return Engine(spark, config).load(df.withColumns(extra) if extra else df, type="event_type", time="ts", order="event_id")
+    return Engine(spark, config).load(df.withColumns(extra) if extra else df, type="event_type", time="ts", order="event_id", unique=True)
 
 
 def add(name: str, text: str, sql: str | None, columns: str = "event_id", config: Config = MICRO, **extra: Column | str) -> None:
@@ -222,7 +222,7 @@ l AS (SELECT o, pid, coalesce((SELECT max(n) FROM u WHERE u.pid = p.pid AND n <=
 def _ancestry(name: str, kind: str, sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = read(spark, sf_dir, "events").withColumns({k: F.expr(x) for k, x in _PROC.items()})
-        e = Engine(spark, MICRO).load(df, type="kind", time="ts", order="event_id")
+        e = Engine(spark, MICRO).load(df, type="kind", time="ts", order="event_id", unique=True)
         return e.run(f'any where {kind} of [process where event_type == "signup" and value > 60]').select("event_id")
 
     QUERIES[name] = run
@@ -234,6 +234,28 @@ _GOOD = "g AS (SELECT o, pid FROM c WHERE EXISTS (SELECT 1 FROM m WHERE m.pid =
 _ancestry("child_of", "child", f"WITH {_DSQL}, {_GOOD} SELECT o AS event_id FROM l WHERE EXISTS (SELECT 1 FROM g WHERE g.pid = l.pid AND g.o BETWEEN l.su AND l.o)")
 _ancestry("descendant_of", "descendant", f"WITH RECURSIVE {_DSQL}, {_GOOD}, d AS (SELECT o, pid FROM g UNION SELECT c.o, c.pid FROM c JOIN d ON d.pid = c.ppid AND d.o >= c.pu AND d.o < c.o) SELECT o AS event_id FROM l WHERE EXISTS (SELECT 1 FROM d WHERE d.pid = l.pid AND d.o BETWEEN l.su AND l.o)")
 
+# places in the order that four events share
+
+
+def _shared(spark: SparkSession, sf_dir: str) -> Engine:
+    df = read(spark, sf_dir, "events").withColumns({k: F.expr(x) for k, x in _PROC.items()} | {"place": F.expr("event_id DIV 4")})
+    return Engine(spark, MICRO).load(df, type="kind", time="ts", order="place")
+
+
+def ties_ancestry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shared(spark, sf_dir).run('any where not descendant of [process where event_type == "signup" and value > 60]').select("event_id")
+
+
+def ties_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _shared(spark, sf_dir).run('join by event_id % 4 [any where event_type == "view"] [any where event_type == "purchase" and value > 20]')
+    return got.selectExpr("events[0].event_id AS e0_id", "events[1].event_id AS e1_id")
+
+
+_TIES = _DSQL.replace("SELECT event_id AS o,", "SELECT event_id, event_id // 4 AS o,", 1).replace("l AS (SELECT o, pid,", "l AS (SELECT event_id, o, pid,")
+SQL["ties_ancestry"] = f"WITH RECURSIVE {_TIES}, {_GOOD}, d AS (SELECT o, pid FROM g UNION SELECT c.o, c.pid FROM c JOIN d ON d.pid = c.ppid AND d.o >= c.pu AND d.o < c.o) SELECT event_id FROM l WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.pid = l.pid AND d.o BETWEEN l.su AND l.o)"
+SQL["ties_join"] = join_sql([_V, f"{_P} AND value > 20"], "o % 4")
+QUERIES |= {"ties_ancestry": ties_ancestry, "ties_join": ties_join}
+
 # the rest of the surface
 
 
