@@ -213,3 +213,44 @@ def test_one_of_each_is_an_exact_join_at_the_threshold(spark):
     want = set(grouped(text, lambda a, b: sims.get((a, b), 0) >= 0.8).values())
     df = spark.createDataFrame([(i, t, "f", "h", "s") for i, t in rows], SCHEMA)
     assert {x.doc_id for x in simhash.one_of_each(df).collect()} == want
+
+
+def test_components_of_contracted_graphs(spark, monkeypatch):
+    """Contraction down to what one task may take leaves the same groups as that task alone."""
+    r = random.Random(8)
+    edges = [(r.randrange(2000), r.randrange(2000)) for _ in range(1200)] + [(3000 + k, 3001 + k) for k in range(100)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    groups = []
+    for bound in (1 << 20, 40, 0):
+        monkeypatch.setattr(graph, "AT_ONCE", bound)
+        by = {}
+        for x in graph.components(df).collect():
+            by.setdefault(x.root, set()).add(x.node)
+        groups.append(sorted(map(sorted, by.values())))
+    linked = {x: set() for e in edges if e[0] != e[1] for x in e}
+    for a, b in edges:
+        if a != b:
+            linked[a].add(b), linked[b].add(a)
+    root = grouped(sorted(linked), lambda a, b: b in linked[a])
+    want = {}
+    for x, y in root.items():
+        want.setdefault(y, []).append(x)
+    assert groups[0] == groups[1] == groups[2] == sorted(map(sorted, want.values()))
+
+
+def test_large_groups_are_cut_in_blocks(spark, monkeypatch):
+    """Families of texts just above and just below 0.8, compared in many blocks, leave the groups of all pairs."""
+    monkeypatch.setattr(simhash, "MEET", 8)
+    r = random.Random(21)
+    rows = []
+    for f in range(3):
+        base = [f"b{f}x{k}" for k in range(120)]
+        for i in range(30):
+            text = list(base)
+            for p in r.sample(range(0, 115, 5), r.choice([1, 2, 3, 4])):
+                text[p] = f"e{r.randrange(40)}"
+            rows.append((100 * f + i, " ".join(text)))
+    text = dict(rows)
+    want = set(grouped(text, lambda a, b: a // 100 == b // 100 and jaccard(text[a], text[b]) >= 0.8).values())
+    df = spark.createDataFrame([(i, t, "f", "h", "s") for i, t in rows], SCHEMA)
+    assert {x.doc_id for x in simhash.one_of_each(df).collect()} == want and 3 < len(want) < 90
