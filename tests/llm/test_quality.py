@@ -67,3 +67,9 @@ def test_repeats_and_empty(spark):
     df = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(30)), "s", "")] * 3, SCHEMA)
     assert quality.judge(df).count() == 3 and quality.keep_good(df).count() == 3
     assert quality.judge(df.limit(0)).count() == 0 and quality.keep_good(df.limit(0)).count() == 0
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{k}" for k in range(300_000))
+    got = quality.judge(spark.createDataFrame([(1, text, "s", ""), (2, text + " " + text, "s", "")], SCHEMA)).collect()
+    assert {r.doc_id: (r.n_words, r.n_repeat_words, r.base_failed) for r in got} == {1: (300_000, 0, False), 2: (600_000, 600_000, True)}

@@ -16,12 +16,15 @@ WS = r"\x20\x09-\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one set here (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else one made here where all runs in this
+    process (tests). On a cluster that has none it raises."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = have.get() if have.isDefined() else None
     if not found:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="wakeline-checkpoints-")
         spark.sparkContext.setCheckpointDir(found)
     elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -48,6 +51,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_bytes(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
+    """Rows of docs and the bytes of their texts."""
+    r = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0)).alias("b")).first()
+    return r.n, r.b
+
+
 def parts(spark: SparkSession) -> int:
     """Shuffle partitions of the session; packed stages use it as their number of buckets."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

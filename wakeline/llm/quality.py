@@ -92,9 +92,9 @@ def host_verdicts(rules: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFram
         .withColumn("k", F.when(F.col("s2") <= 0, F.lit(1e6)).otherwise(F.greatest(F.lit(1.0), F.least(F.lit(1e6), F.col("m") * (1 - F.col("m")) / F.col("s2") - 1))))
         .select("m", "k")
     )
-    # prior is one row, an aggregate without keys
-    rate = (F.col("failed") + F.col("m") * F.col("k")) / (F.col("host_docs") + F.col("k"))
-    return by.join(F.broadcast(prior)).select("host", "host_docs", rate.alias("host_rate"), (rate > max_rate).alias("host_rejected"))
+    one = prior.select(F.struct("m", "k").alias("p")).scalar()
+    rate = (F.col("failed") + one["m"] * one["k"]) / (F.col("host_docs") + one["k"])
+    return by.select("host", "host_docs", rate.alias("host_rate")).withColumn("host_rejected", F.col("host_rate") > max_rate)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
