@@ -70,3 +70,10 @@ def test_tags_and_notices(spark):
     assert len(x) == 2 and x[0] == x[1]
     assert set(x[0].labels.split(",")) >= {"apache-2.0", "gpl-2.0-or-later", "bsd-3-clause", "all-rights-reserved"} and x[0].score == 0.0
     assert lic.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_tags_anywhere_in_very_long_texts_and_clashing_columns(spark):
+    far = "x " * 200_000 + "SPDX-License-Identifier : (MIT OR Foo-1.0) \n" + "é " * 50_000 + "spdx-LICENSE-identifier:GPL-2.0 AND MIT\nspdx license identifier: BSD"
+    df = spark.createDataFrame([(1, far, "c", "d"), (None, None, "c", "d"), (2, "", "c", "d"), (1, far, "c", "d")], "doc_id long, text string, labels string, n_words string")
+    got = sorted(((x.doc_id or 0, x.labels, x.score) for x in lic.scan_licenses(df).collect()))
+    assert got == [(0, "", 0.0), (1, "foo-1.0,gpl-2.0,mit", 0.5), (1, "foo-1.0,gpl-2.0,mit", 0.5), (2, "", 0.0)]

@@ -50,6 +50,7 @@ NOTICES = {
     "released into the public domain": "public-domain",
 }
 TAG = "spdx license identifier"
+TAG_TEXT = "spdx-license-identifier"
 #: How free a licence leaves its reader, by the longest prefix of its label that is listed.
 FREEDOM = {
     "mit": 1.0, "isc": 1.0, "bsd": 1.0, "0bsd": 1.0, "unlicense": 1.0, "public-domain": 1.0, "cc0": 1.0, "zlib": 1.0, "apache": 0.95, "cc-by": 0.9,
@@ -60,7 +61,7 @@ UNKNOWN = 0.5
 #: Bytes that end a word become spaces, A-Z become a-z.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else (c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32) for c in range(256))
 _PARTS = re.compile(rb"\(|\)|[A-Za-z0-9.+:-]+|\S")
-_TAG_LINE = re.compile(rb"spdx-license-identifier\s*:[ \t]*([^\n\r]*)", re.IGNORECASE)
+_AFTER_TAG = re.compile(rb"\s*:[ \t]*([^\n\r]*)")
 
 
 def freedom(label: str) -> float:
@@ -135,6 +136,14 @@ def automaton() -> ahocorasick.Automaton:
     return found
 
 
+def tag_automaton() -> ahocorasick.Automaton:
+    """The tag's own spelling, over text with A-Z lower-cased, a byte a character."""
+    found = ahocorasick.Automaton()
+    found.add_word(TAG_TEXT, len(TAG_TEXT))
+    found.make_automaton()
+    return found
+
+
 def scan(raw: bytes, phrases: ahocorasick.Automaton) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score of one text."""
     words = raw.translate(_FOLD).split(b" ")
@@ -155,7 +164,10 @@ def scan(raw: bytes, phrases: ahocorasick.Automaton) -> tuple:
             scores.append(freedom(notice))
         tagged |= tag
     if tagged:
-        for m in _TAG_LINE.finditer(raw):
+        for end, _ in _TAGS.iter(raw.lower().decode("latin-1")):
+            m = _AFTER_TAG.match(raw, end + 1)
+            if not m:
+                continue
             found, score = evaluate(m[1])
             labels |= found
             if score is not None:
@@ -163,6 +175,8 @@ def scan(raw: bytes, phrases: ahocorasick.Automaton) -> tuple:
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), min(scores, default=0.0)
 
 
+_TAGS = tag_automaton()
+
 KINDS = {"n_words": "long", "n_base": "long", "first_word": "long", "last_word": "long", "base_labels": "string", "labels": "string", "score": "double"}
 _ARROW = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
 
