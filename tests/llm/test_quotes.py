@@ -87,3 +87,11 @@ def test_random_conversations_match_sql(spark, tmp_path):
     assert check(spark, str(tmp_path), queries.op9_quotation_linking, queries.OP9_SQL) == len(data)
     linked = [x for x in queries.op9_quotation_linking(spark, str(tmp_path)).collect() if x.parent is not None]
     assert len(linked) > 60 and max(x.depth for x in linked) > 2
+
+
+def test_a_common_line_of_one_turn_without_conversations(spark):
+    """Very many equal messages of one turn and of no conversation: each quote finds the latest turn before it."""
+    data = [(None, 0, "user", "ok")] * 400 + [(None, 1, "user", "> ok\nfine")] * 400 + [(None, None, "user", "> ok")] * 5 + [(3, 1, "user", "> ok")]
+    df = spark.createDataFrame([(*x, "clash") for x in data], SCHEMA)
+    got = quotes.reply_order(df).groupBy("conv_id", "turn", "parent", "root", "depth").count().collect()
+    assert {(r.conv_id, r.turn, r.parent, r.root, r.depth): r["count"] for r in got} == {(None, 0, None, 0, 0): 400, (None, 1, 0, 0, 1): 400, (None, None, None, None, 0): 5, (3, 1, None, 1, 0): 1}

@@ -12,9 +12,9 @@ depth and turn, parents stand before their replies. Depths and roots come from p
 as many rounds as the longest chain has bits.
 
 Keys hold the conversation and the hash; for the latest earlier message the keys are ordered by
-turn in a window, so no pairs are made where a line is very common. Windows are over stretches of
-turns, and what stretches hold is looked through in the same way, so a line that is common in one very
-long conversation is dealt to many tasks.
+turn in a window, so no pairs are made where a line is very common. Windows hold a row for each turn, and are over
+stretches of turns; what stretches hold is looked through in the same way. So a line that is common in one very
+long conversation, or in very many messages of one turn, is dealt to many tasks.
 
 Defined results: a null text says nothing; a null conversation is a conversation of its own; null
 turns come first and are nobody's parent; rows that repeat a conversation and turn are all kept
@@ -121,11 +121,12 @@ def links(parsed: DataFrame) -> DataFrame:
     said = _said(parsed).withColumn("h", F.xxhash64("norm"))
     keys = asked.select(F.col("conv_id").alias("kc"), F.col("h").alias("kh")).distinct()
     said = said.join(keys, F.col("conv_id").eqNullSafe(F.col("kc")) & (F.col("h") == F.col("kh")), "left_semi").where("turn IS NOT NULL")
-    none = {c: F.lit(None).cast(t) for c, t in (("level", "int"), ("place", "int"), ("part", "int"))}
-    both = said.select("conv_id", "h", "norm", "turn", F.col("turn").alias("source"), *[v.alias(k) for k, v in none.items()]).union(
-        asked.select("conv_id", "h", "norm", "turn", F.lit(None).cast("long"), "level", "place", "part")
-    )
-    found = _latest(both, "turn", 64).where("level IS NOT NULL")
+    # a row for each turn that says or asks for a text, however often it does, so a stretch of turns bounds a window
+    said = said.groupBy("conv_id", "h", "norm", "turn").agg(F.max("turn").alias("source"), F.lit(False).alias("asks"))
+    turns = asked.groupBy("conv_id", "h", "norm", "turn").agg(F.lit(None).cast("long").alias("source"), F.lit(True).alias("asks"))
+    latest = _latest(said.union(turns), "turn", 64).where("asks").select(*[F.col(c).alias(f"l_{c}") for c in ("conv_id", "h", "norm", "turn")], "parent")
+    same = F.col("conv_id").eqNullSafe(F.col("l_conv_id")) & (F.col("h") == F.col("l_h")) & (F.col("norm") == F.col("l_norm")) & F.col("turn").eqNullSafe(F.col("l_turn"))
+    found = asked.join(latest, same).select("conv_id", "turn", "level", "place", "part", "parent")
     rank = F.struct(F.col("parent").isNull(), "level", "place", "part", "parent")
     # a passage is linked if it or one of its lines is
     by = found.groupBy("conv_id", "turn", "place").agg(F.min(rank).alias("best"))
