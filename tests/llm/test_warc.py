@@ -137,3 +137,15 @@ def test_gzip_payloads_in_a_plain_archive():
     # a gzip member after the plain records is still told apart
     got = list(warc.salvage(content + gzip.compress(record(9, b"member"))))
     assert [x["payload"] for x in got] == [*blocks, b"member"]
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 2000)
+    r = random.Random(2)
+    bodies = {k: "".join(r.choice("abcdefghij") for _ in range(4000 if k == 7 else 300)) for k in range(30)}
+    path = str(tmp_path / "w")
+    warc.write_archives(spark.createDataFrame([(k, "u", x, "") for k, x in bodies.items()], SCHEMA).coalesce(1), path)
+    sizes = sorted(f.stat().st_size for f in (tmp_path / "w").glob("*.warc.gz"))
+    assert len(sizes) > 5 and all(x <= 2000 + len(warc.EMPTY_MEMBER) for x in sizes[:-1])
+    got = {x.record_id: bytes(x.payload).decode() for x in warc.read_archives(spark, path).where("kind = 'record'").collect()}
+    assert got == {f"<urn:page:{k}>": x for k, x in bodies.items()}

@@ -3,8 +3,9 @@
 Writing: a record a page. Payloads of 100 bytes or more that are equal leave one response, that of
 the smallest page id; the others are revisits that name it and carry the HTTP header with the
 full length and the digest, so nothing about a page is lost. Records are gzip members, written
-by Spark's text sink (raw bytes; its line separator is an empty member, which gzip allows between
-members), so files are committed, retried and stored as any Spark output is.
+by Spark's text sink (raw bytes, an archive a line and a line a file; its line separator is an empty member, which
+gzip allows), so files are committed, retried and stored as any Spark output is. Archives are bounded by
+bytes, so the reader, which takes a file whole, is too.
 
 Reading: a file's members, or the records of a plain file, are checked one after another: gzip's
 own sums, version line, header lines, lengths, trailer, block and payload digests. After a failed
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from wakeline.llm.common import as_bytes, shared_path, small_batches, written
 
 MIN_REVISIT = 100
-RECORDS_PER_FILE = 10_000
+FILE_BYTES = 1 << 25  # of an archive's members; a larger record has a file of its own
 DATE = "2000-01-01T00:00:00Z"
 EMPTY_MEMBER = bytes.fromhex("1f8b080000000000000303000000000000000000")
 MAGIC = b"\x1f\x8b\x08"
@@ -80,18 +81,28 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     p = p.join(twice, p.digest == twice.again, "left").select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = lambda x: pa.RecordBatch.from_arrays([pa.array([b"".join(x)], pa.binary())], names=["archive"])
+        out: list[bytes] = []
+        size = 0
         for b in batches:
             ids, urls, digests, refers = (b.column(k).to_pylist() for k in (0, 1, 3, 4))
-            out = [gzip_member(record(*x)) for x in zip(ids, urls, as_bytes(b.column(2)), digests, refers, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
-
-    out = p.mapInArrow(members, "member binary").select(F.col("member").cast("string"))  # a cast keeps the bytes
-    out.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+            for x in zip(ids, urls, as_bytes(b.column(2)), digests, refers, strict=True):
+                member = gzip_member(record(*x))
+                if out and size + len(member) > FILE_BYTES:
+                    yield whole(out)
+                    out, size = [], 0
+                out.append(member)
+                size += len(member)
+        if out:
+            yield whole(out)
+
+    out = p.mapInArrow(members, "archive binary").select(F.col("archive").cast("string"))  # a cast keeps the bytes
+    out.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
     _named(spark, path)
 
 
 def _named(spark: SparkSession, path: str) -> None:
-    """Give the files of the text sink the ending .warc.gz (a rename each, no data)."""
+    """Give the files of the text sink the ending .warc.gz: a rename for each FILE_BYTES, no data in a file system."""
     jvm = spark._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
