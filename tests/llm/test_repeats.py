@@ -107,3 +107,14 @@ def test_segments_of_very_long_texts(monkeypatch):
     for _, at, lead, n, h in repeats.text_runs([data]):
         cut |= {(int(a) + k, int(a) + int(x), int(y)) for a, x, m, y in zip(at, lead, n, h, strict=True) for k in range(int(m))}
     assert {(p, h) for p, _, h in whole} == {(p, h) for p, _, h in cut} and {p for p, *_ in whole} == set(range(4901))
+
+
+def test_rows_of_one_hash_are_told_apart(spark, monkeypatch):
+    """Different texts whose rows have one hash are not taken for repeated rows."""
+    monkeypatch.setattr(repeats.F, "xxhash64", lambda *c: repeats.F.lit(5).cast("long"))
+    r = random.Random(3)
+    a, b = ("".join(r.choice("abcdef") for _ in range(400)) for _ in range(2))
+    rows = [(1, a), (1, b), (2, a[:200] + b), (None, b)]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in rows], SCHEMA)
+    got = sorted((x.doc_id or 99, x.n_bytes, x.n_removed) for x in repeats.remove_repeats(df).collect())
+    assert got == [(1, 400, 0), (1, 400, 0), (2, 600, 600), (99, 400, 400)]

@@ -19,8 +19,8 @@ anchor's rows; which anchors are in that list changes where work is done, never
 Equal runs and windows are merged in each batch before they are dealt.
 
 Defined results: null and short texts keep everything; texts of any length are taken in segments
-that overlap; a null id comes after all ids; of rows that share an id, the order is by the bucket and
-the hash of the row, and of equal rows one keeps its bytes; an empty table gives an empty table; other
+that overlap; a null id comes after all ids; of rows that share an id, the order is by the bucket, the
+hash of the row and its text, and of equal rows (by id and text, not by hash alone) one keeps its bytes; an empty table gives an empty table; other
 columns are not read, whatever their names.
 """
 
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import as_bytes, mix, pack, parts, small_batches, unpack
+from wakeline.llm.common import as_bytes, mix, pack, parts, small_batches, text_bytes, unpack
 
 LENGTH = 100
 GRAM = 32
@@ -44,6 +44,7 @@ SPREAD = LENGTH - GRAM + 1  # places of a gram in a window
 POSITION_BITS = 22
 CHUNK = 1 << 18  # bytes hashed at once: its arrays stay in cache
 SEGMENT = 1 << 21  # longer texts are hashed in segments that overlap by a window
+BUCKET_BYTES = 1 << 23  # bytes of texts in one bucket, about
 HOT_SAMPLE = 20_000  # documents in the sample for hot anchors
 HOT_DOCS = 20  # an anchor of that many of them is hot
 HOT_MOST = 50_000  # anchors in the list at most: 400 KB in a task's closure
@@ -179,9 +180,9 @@ _SPAN = ("<u4", "<u4", "<u4", "<u4")  # bucket and place of the document in it,
 _CONTEXT = ("<i8", "<u4", "<u4", "<u4", "u1", "u1")  # id, bucket, place, offset, anchor - offset (255: a hot window), windows
 
 
-def hot_anchors(rows: DataFrame) -> np.ndarray:
-    """Sorted hashes of anchors that many documents of a bounded sample share."""
-    every = max(1, rows.count() // HOT_SAMPLE)
+def hot_anchors(rows: DataFrame, count: int) -> np.ndarray:
+    """Sorted hashes of anchors that many documents of a bounded sample of the `count` rows share."""
+    every = max(1, count // HOT_SAMPLE)
     sample = rows.where(F.pmod(F.xxhash64("row", F.lit("hot")), F.lit(every)) == 0).select("text")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +233,7 @@ def recurring_runs(rows: DataFrame, hot: np.ndarray, n: int) -> DataFrame:
         out = [(i, pack(*x)) for i, x in _dealt(run[0] % n, *run)]
         return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "blob": pa.array([x[1] for x in out], pa.binary())})
 
-    dealt = rows.select("row", "text").mapInArrow(anchors, "kind int, bucket long, blob binary")
+    dealt = rows.select("row", "text").mapInArrow(anchors, "kind int, bucket long, blob binary").repartition(n, "bucket")
     return dealt.groupBy("bucket").applyInArrow(met, "bucket long, blob binary")
 
 
@@ -240,7 +241,7 @@ def _documents(table: pa.Table) -> list[tuple[int, int, bytes, int | None]]:
     """(id, null last; row; text; id) of a group's rows, in document order."""
     ids, rows = table.column("doc_id").to_pylist(), table.column("row").to_pylist()
     docs = [(_LAST if i is None else i, r, x, i) for i, r, x in zip(ids, rows, as_bytes(table.column("text")), strict=True)]
-    return sorted(docs, key=lambda d: d[:2])
+    return sorted(docs, key=lambda d: d[:3])
 
 
 _DEALT = {"kind": pa.int32(), "bucket": pa.int64(), "blob": pa.binary(), "data": pa.binary()}
@@ -262,12 +263,15 @@ def fetched_contexts(docs: DataFrame, runs: DataFrame, n: int) -> DataFrame:
         own = left.column("bucket")[0].as_py() if len(left) else 0
         before = None
         for place, (order_id, r, text, _) in enumerate(_documents(left)):
-            if r == before:
+            if (order_id, text) == before:
                 continue  # a row equal to the last: remove() takes it whole
-            before = r
+            before = order_id, text
             i, j = np.searchsorted(row, (r, r + 1)) if r < _LAST else (np.searchsorted(row, r), len(row))
             for k in range(i, j):
-                a, w = at[k], windows[k] & 127
+                a = at[k]
+                w = min(windows[k] & 127, len(text) - LENGTH + 1 - a)
+                if w < 1:
+                    continue  # the run of another text with this hash
                 context = text[a : a + w - 1 + LENGTH]
                 if context in seen:
                     spans.append((own, place, a, a + len(context)))
@@ -292,7 +296,7 @@ def fetched_contexts(docs: DataFrame, runs: DataFrame, n: int) -> DataFrame:
             out.append((0, i, blob, pack(np.frombuffer(b"".join(data), np.uint8))))
         return pa.table({k: pa.array([x[c] for x in out], t) for c, (k, t) in enumerate(_DEALT.items())})
 
-    return docs.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(fetch, "kind int, bucket long, blob binary, data binary")
+    return docs.groupBy("bucket").cogroup(runs.repartition(n, "bucket").groupBy("bucket")).applyInArrow(fetch, "kind int, bucket long, blob binary, data binary")
 
 
 def copied_spans(contexts: DataFrame, n: int) -> DataFrame:
@@ -343,7 +347,7 @@ def copied_spans(contexts: DataFrame, n: int) -> DataFrame:
         out = [(i, pack(*x)) for i, x in _dealt(home, home, place, start, end)]
         return pa.table({"bucket": pa.array([x[0] for x in out], pa.int64()), "blob": pa.array([x[1] for x in out], pa.binary())})
 
-    return contexts.groupBy("bucket").applyInArrow(meet, "bucket long, blob binary")
+    return contexts.repartition(n, "bucket").groupBy("bucket").applyInArrow(meet, "bucket long, blob binary")
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -365,15 +369,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """RESULT for each row of docs, with kept (the remaining bytes) if asked for.
 
     Texts are shuffled once (two steps read the same exchange); anchors, contexts and spans travel
-    as packed blobs. The number of buckets follows spark.sql.shuffle.partitions.
+    as packed blobs. The number of buckets follows the bytes of all texts, so a task's share does not grow with them.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    n = 2 * parts(spark)
+    count, size = text_bytes(docs, text_col)
+    n = max(2 * parts(spark), size // BUCKET_BYTES + 1)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
-    runs = recurring_runs(rows, hot_anchors(rows), n)
-    placed = rows.withColumn("bucket", F.pmod(F.col("row"), F.lit(n)))
+    runs = recurring_runs(rows, hot_anchors(rows, count), n)
+    placed = rows.withColumn("bucket", F.pmod(F.col("row"), F.lit(n))).repartition(n, "bucket")
     spans = copied_spans(fetched_contexts(placed, runs, n), n)
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -381,13 +386,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         order = np.argsort(places, kind="stable")
         places, start, end = places[order], start[order], end[order]
         out, kept, before = [], [], None
-        for place, (_, r, text, ident) in enumerate(_documents(left)):
-            if r == before:
+        for place, (order_id, _, text, ident) in enumerate(_documents(left)):
+            if (order_id, text) == before:
                 found = [(0, len(text))] if len(text) >= LENGTH else []
             else:
                 i, j = np.searchsorted(places, place, "left"), np.searchsorted(places, place, "right")
                 found = merged(start[i:j], end[i:j])
-            before = r
+            before = order_id, text
             edges = [0, *(x for s in found for x in s), len(text)]
             left_over = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if found else text
             out.append({"doc_id": ident, "n_bytes": len(text), "n_removed": len(text) - len(left_over), "n_spans": len(found), "kept_sha256": hashlib.sha256(left_over).hexdigest(), "spans": [{"start": a, "end": b} for a, b in found]})
@@ -395,4 +400,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         table = pa.Table.from_pylist(out, _RESULT)
         return table.append_column("kept", pa.array(kept, pa.binary())) if with_kept else table
 
-    return placed.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(remove, RESULT + ", kept binary" * with_kept)
+    return placed.groupBy("bucket").cogroup(spans.repartition(n, "bucket").groupBy("bucket")).applyInArrow(remove, RESULT + ", kept binary" * with_kept)
