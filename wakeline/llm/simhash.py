@@ -37,6 +37,9 @@ SEED = 42
 BITS = 4
 
 
+KEYS_PER_BUCKET = 4_000_000  # keys of a bucket, nine bytes each, about
+
+
 def _masks() -> np.ndarray:
     """The kept bits of each of the 183 kinds of key."""
     span = lambda a, b: sum(1 << i for i in range(a, b))
@@ -128,10 +131,11 @@ def _keys(fps: np.ndarray, kinds: np.ndarray) -> np.ndarray:
 
 def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """Edges (a, b) that link the distinct fingerprints of fps(fp) as far as all pairs within
-    `bits` (4 or fewer) bits would: a spanning forest of each meeting."""
+    `bits` (4 or fewer) bits would: a spanning forest of each meeting. Buckets follow the number of
+    fingerprints, so what one task holds does not grow with them."""
     if bits > BITS:
         raise ValueError(f"the keys are complete up to {BITS} bits")
-    n = 4 * parts(fps.sparkSession)
+    n = max(4 * parts(fps.sparkSession), fps.count() * len(MASKS) // KEYS_PER_BUCKET + 1)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -167,7 +171,7 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
         x = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
         return pa.table({"a": x[:, 0].copy().view(np.int64), "b": x[:, 1].copy().view(np.int64)})
 
-    dealt = fps.mapInArrow(deal, "bucket long, blob binary")
+    dealt = fps.mapInArrow(deal, "bucket long, blob binary").repartition(n, "bucket")
     return dealt.groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
