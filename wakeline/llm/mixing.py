@@ -62,9 +62,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     by = by.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).cast("long"))
     by = by.withColumn("cap", F.col("source_size") * cap)
     order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    upto, from_here = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    total = F.sum("source_size").over(Window.partitionBy())
-    level = (total - F.coalesce(F.sum("cap").over(upto), F.lit(0))) / F.sum("weight").over(from_here)
+    upto, every = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    before = lambda c: F.coalesce(F.sum(c).over(upto), F.lit(0))
+    # what is from here on is what there is less what was before: frames that reach ahead take a square of the time
+    level = (F.sum("source_size").over(every) - before("cap")) / (F.sum("weight").over(every) - before("weight"))
     by = by.withColumn("level", level)
     # the level at which this source and all after it are filled; it holds from the first source that fits
     fits = F.col("level") * F.col("weight") <= F.col("cap")
