@@ -266,24 +266,23 @@ register(Function("between", ((STRING,), (STRING,), (STRING,), (BOOLEAN,)), STRI
 def _number(_: Context, args: list[Value]) -> Value:
     s = v.as_kind(args[0], STRING).col
     base = args[1].value if len(args) > 1 else None
-    sign = F.when(s.startswith("-"), F.lit(-1)).otherwise(F.lit(1)).cast("bigint")
-    bare = F.regexp_replace(s, "^[+-]", "")
+    sign = F.when(s.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
+    bare = F.lower(F.regexp_replace(s, "^[+-]", ""))
     digits = "0123456789abcdefghijklmnopqrstuvwxyz"
 
     def whole(text: Column, b: int) -> Column:
-        ok = F.lower(text).rlike(f"^[{digits[:b]}]+$")
-        return F.when(ok, text.cast("bigint") if b == 10 else F.conv(text, b, 10).cast("bigint"))
-
-    if base not in (None, 10, 16):
-        return Value(sign * whole(bare, base), NUMBER, integral=True)
-    hexed = F.when(F.lower(bare).startswith("0x"), whole(F.substring(bare, 3, F.length(bare)), 16))
-    if base == 16:
-        return Value(sign * F.coalesce(hexed, whole(bare, 16)), NUMBER, integral=True)
-    decimal = F.when(s.rlike(r"^[+-]?\d*\.\d+$"), s.try_cast("double"))
-    plain = sign * F.when(F.length(bare) < 19, whole(bare, 10))
-    if base is None:
-        plain = F.coalesce(plain, sign * hexed)
-    return Value(F.coalesce(decimal, plain.cast("double")), NUMBER)
+        """Digits of a base as a decimal of 38 places; null beyond those."""
+        grow = lambda acc, c: F.try_add(F.try_multiply(acc, F.lit(b).cast("decimal(38,0)")), (F.instr(F.lit(digits), c) - 1).cast("decimal(38,0)")).cast("decimal(38,0)")
+        each = F.regexp_extract_all(F.regexp_replace(text, "^0+", ""), F.lit("."), F.lit(0))
+        value = F.aggregate(each, F.lit(0).cast("decimal(38,0)"), grow)
+        return F.when(text.rlike(f"^[{digits[:b]}]+$"), value)
+
+    signed = lambda x: F.when(sign < 0, -x).otherwise(x)
+    hexed = F.when(bare.startswith("0x"), whole(F.substring(bare, 3, F.length(bare)), 16))
+    if base not in (None, 10):
+        return Value(signed(F.coalesce(hexed, whole(bare, 16)) if base == 16 else whole(bare, base)), NUMBER, integral=True)
+    plain = F.when(s.rlike(r"^[+-]?(\d*\.\d+|\d+)$"), s.try_cast("double"))
+    return Value(plain if base == 10 else F.coalesce(plain, signed(hexed).cast("double")), NUMBER)
 
 
 def py_number(_: Context, s: Any, base: Any = None) -> Any:

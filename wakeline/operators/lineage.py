@@ -52,15 +52,17 @@ SHIFT = 22  # bits of the order in one window at most: four million rows of a ho
 
 
 def _scan(rows: DataFrame, at: str, bits: int) -> DataFrame:
-    """rows(host, at, first, boots) with `after`, the least `first` at later places of the host, and `before`,
+    """rows(host, at, first, boots), one a place, with `after`, the least `first` at later places of the host, and `before`,
     the sum of `boots` at earlier places. Windows are over stretches of 2^SHIFT places; what lies beyond
     comes from the stretches' own sums, scanned in the same way."""
     top = bits <= SHIFT
     group = [] if top else [f"{at}_"]
     x = rows if top else rows.withColumn(f"{at}_", F.shiftright(at, SHIFT))
-    w = Window.partitionBy("host", *group).orderBy(at)
-    x = x.withColumn("after", F.min("first").over(w.rangeBetween(1, Window.unboundedFollowing)))
-    x = x.withColumn("before", F.coalesce(F.sum("boots").over(w.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # each place is one row; looking ahead is looking back in falling order, as frames that reach ahead take a square of the time
+    back = Window.partitionBy("host", *group).orderBy(F.desc(at)).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("after", F.min("first").over(back))
+    w = Window.partitionBy("host", *group).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("before", F.coalesce(F.sum("boots").over(w), F.lit(0)))
     if top:
         return x
     sums = rows.groupBy("host", F.shiftright(at, SHIFT).alias(f"{at}_")).agg(F.min("first").alias("first"), F.sum("boots").alias("boots"))

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from wakeline.api import Analytic, Config, Engine
 from wakeline.functions.values import BOOLEAN, NUMBER
+from wakeline.operators import pipes
 from wakeline.operators.frames import shared_path
+from wakeline.plans import tree
 from wakeline.plans.parser import Dialect
 from wakeline.sources import frames, sinks
 
@@ -78,6 +80,13 @@ where("safe_missing", "any where safe(length(none)) == null and safe(value) > 12
 where("macro_const", "const LIMIT = 80 macro BIG(x, y) x > LIMIT and y == \"P*\" any where BIG(value, event_type)", "value > 80 AND event_type LIKE 'p%'")
 where("arith_condition", "any where -value + 2 * user_id > 3 - event_id % 4", "-value + 2 * user_id > 3 - event_id % 4")
 
+where("regex_operator", 'any where event_type regex~ ("cl.*k", "[ep].*") or props regex """\\{.*5.*"""', "regexp_matches(event_type, '^(?:cl.*k|[ep].*)', 'is') OR regexp_matches(props, '^\\{.*5.*', 'is')", config=Config(ticks=1_000_000, dialect=STRICT))
+where("in_tilde", 'any where event_type in~ ("CLICK", "Error") and endsWith~(event_type, "K")', "event_type = 'click'", config=Config(ticks=1_000_000, dialect=STRICT))
+where("fn_match_lite", 'any where matchLite(event_type, "p.*e", "s")', "regexp_matches(event_type, '^(?:p.*e|s)', 'is')")
+where("null_order", "any where not (null < value) or not (s > null) or value > 130", "value > 130")
+where("optional_field", 'any where ?missing.name == null and ?value > 125', "value > 125", config=Config(ticks=1_000_000, dialect=STRICT))
+add("seq_single", "sequence by user_id [purchase where value > 60]", "SELECT event_id FROM events WHERE event_type = 'purchase' AND value > 60", config=Config(ticks=1_000_000, dialect=STRICT))
+
 # functions: one row an event, results as columns
 
 
@@ -99,6 +108,7 @@ def scalars(name: str, expressions: dict[str, tuple[str, str]], **extra: str) ->
 
 _DUCK = {
     "fn_cidr": {"ip": "'10.' || (event_id % 4) || '.' || (event_id % 256) || '.' || (event_id % 100)"},
+    "fn_number_long": {"t": "CASE event_id % 4 WHEN 0 THEN repeat('0', 30) || event_id WHEN 1 THEN repeat('f', 20) WHEN 2 THEN '0x' || repeat('f', 16) ELSE '-1234567890123456789' || event_id END"},
     "fn_number": {"t": "CASE event_id % 5 WHEN 0 THEN '0x' || printf('%x', event_id) WHEN 1 THEN '-' || event_id WHEN 2 THEN event_id || '.25' WHEN 3 THEN 'x1' END"},
     "arr_functions": {"a": "string_split(event_type || ',A,' || (event_id % 3), ',')"},
 }
@@ -114,6 +124,10 @@ scalars("fn_string_parts", {
     "g": ("string(user_id)", "user_id::VARCHAR"), "h": ('between(event_type, "I", "u")', f"CASE WHEN regexp_matches({_S}, 'i.*u') THEN regexp_extract({_S}, 'i(.*?)u', 1) END"),
 })
 scalars("fn_number", {"n": ("number(t)", "CASE event_id % 5 WHEN 0 THEN event_id::DOUBLE WHEN 1 THEN -event_id::DOUBLE WHEN 2 THEN event_id + 0.25::DOUBLE END"), "h": ("number(\"ff\", 16)", "255::BIGINT")}, t="CASE event_id % 5 WHEN 0 THEN concat('0x', lower(hex(event_id))) WHEN 1 THEN concat('-', event_id) WHEN 2 THEN concat(event_id, '.25') WHEN 3 THEN 'x1' END")
+scalars("fn_number_long", {
+    "n": ("number(t)", "CASE event_id % 4 WHEN 0 THEN event_id::DOUBLE WHEN 2 THEN 18446744073709551615::DOUBLE WHEN 3 THEN ('-1234567890123456789' || event_id)::DOUBLE END"),
+    "h": ("number(t, 16) > 18446744073709551615", "CASE event_id % 4 WHEN 1 THEN true ELSE false END"), "b": ("number(t, 36) == null", "event_id % 4 = 3 AND false"),
+}, t="CASE event_id % 4 WHEN 0 THEN concat(repeat('0', 30), event_id) WHEN 1 THEN repeat('f', 20) WHEN 2 THEN concat('0x', repeat('f', 16)) ELSE concat('-1234567890123456789', event_id) END")
 scalars("fn_math", {
     "a": ("(user_id - 9) / 4", "floor((user_id - 9) / 4.0)::BIGINT"), "b": ("(user_id - 9) % 4", "(((user_id - 9) % 4 + 4) % 4)::BIGINT"), "c": ("(user_id - 9) % -4", "(user_id - 9 - (-4) * floor((user_id - 9) / -4.0))::BIGINT"),
     "d": ("value / 2", "value / 2"), "e": ("user_id / 0", "NULL::BIGINT"), "f": ("user_id / 2.0", "user_id / 2.0::DOUBLE"), "g": ("add(user_id, multiply(2, 3)) - subtract(event_id, 1)", "(user_id + 6 - (event_id - 1))::BIGINT"), "h": ("modulo(user_id, 0)", "NULL::BIGINT"),
@@ -132,7 +146,7 @@ add("pipe_count_total", "purchase where true | count", "SELECT 'totals' AS key,
 add("pipe_count_by", "any where true | count event_type", "SELECT event_type AS key, count(*) AS count, count(*) / sum(count(*)) OVER () AS percent FROM events GROUP BY event_type", "key; count; percent")
 add("pipe_count_by2", "any where value > 20 | count event_type, user_id", "SELECT event_type AS key0, user_id::VARCHAR AS key1, count(*) AS count, count(*) / sum(count(*)) OVER () AS percent FROM events WHERE value > 20 GROUP BY 1, 2", "key[0] AS key0; key[1] AS key1; count; percent")
 add("pipe_count_hosts", "any where value > 50 | count event_type", "SELECT event_type AS key, count(*) AS count, count(DISTINCT user_id) AS total_hosts, array_to_string(list_sort(list(DISTINCT user_id::VARCHAR)), ',') AS hosts FROM events WHERE value > 50 GROUP BY 1", "key; count; CAST(total_hosts AS BIGINT) AS total_hosts; array_join(hosts, ',') AS hosts", config=Config(ticks=1_000_000, host_key="user_id"))
-add("pipe_percent_filter", "any where true | count user_id | filter percent > 0.01", "SELECT user_id AS key, count FROM (SELECT user_id, count(*) AS count, count(*) / sum(count(*)) OVER () AS p FROM events GROUP BY user_id) WHERE p > 0.01", "key; count")
+add("pipe_percent_filter", "any where true | count event_type | filter percent > 0.2", "SELECT event_type AS key, count FROM (SELECT event_type, count(*) AS count, count(*) / sum(count(*)) OVER () AS p FROM events GROUP BY event_type) WHERE p > 0.2", "key; count")
 add("pipe_unique", "any where true | unique user_id, event_type", "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1")
 add("pipe_unique_count", "any where value > 5 | unique_count user_id", "SELECT event_id, count, percent FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS count, count(*) OVER (PARTITION BY user_id) / count(*) OVER () AS percent, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE value > 5) WHERE n = 1", "event_id; count; percent")
 add("pipe_head", "click where true | head 7", "SELECT event_id FROM events WHERE event_type = 'click' ORDER BY event_id LIMIT 7")
@@ -362,6 +376,67 @@ def post_process(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.post_process(found, "| filter events[1].value > 40 and value < 60").select(*[F.col("events")[k]["event_id"].alias(f"e{k}_id") for k in range(2)])
 
 
+@pipes.register("every")
+def every(flow: pipes.Flow, args: tuple[tree.Node, ...]) -> pipes.Flow:
+    """A pipe of one's own: each n-th result by its place in the order."""
+    n = pipes.amount(args, "every")
+    return flow.with_df(flow.df.where(F.pmod(F.col(frames.ORD), F.lit(n)) == 0))
+
+
+def custom_pipe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir).run("any where value > 20 | every 7 | filter user_id < 30").select("event_id")
+
+
+def python_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir).macro("twice", lambda args: tree.Arith("*", args[0], tree.Literal(2)))
+    return e.run("any where twice(value) > 150 and twice(user_id) < 40").select("event_id")
+
+
+def _written(spark: SparkSession, sf_dir: str, ending: str) -> str:
+    """The events table as files of a text format, in the shared folder."""
+    df = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("timestamp"))
+    path = f"{shared_path(spark, 'events')}.{ending}"
+    text = F.to_json(F.struct("*"))
+    if ending.startswith("jsonl"):
+        lines = df.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select(F.when(F.col("event_id") % 100 == 0, F.concat(F.lit("# a comment\n"), text)).otherwise(text))
+    else:  # one array a file
+        arrays = df.groupBy(F.expr("event_id DIV 1000")).agg(F.array_sort(F.collect_list(F.struct("event_id", text.alias("t")))).alias("x"))
+        lines = arrays.select(F.concat(F.lit("["), F.array_join(F.transform("x", lambda e: e["t"]), ",\n"), F.lit("]")))
+        lines = lines.repartition(arrays.count())
+    w = lines.write.option("maxRecordsPerFile", 1 if ending.startswith("json.") or ending == "json" else 0).option("encoding", "UTF-8")
+    (w.option("compression", "gzip") if ending.endswith("gz") else w).text(path)
+    return path
+
+
+def _from_files(ending: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        frame = frames.read(spark, _written(spark, sf_dir, ending), ending)
+        got = Engine(spark, MICRO).run("sequence by user_id [view where true] [click where value > 10] | tail 300", frame)
+        return got.select(*[F.try_variant_get(F.col("events")[k]["__data"], "$.event_id", "bigint").alias(f"e{k}_id") for k in range(2)])
+
+    return run
+
+
+def source_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines in UTF-16."""
+    lines = read(spark, sf_dir, "events").where("event_id < 500").select(F.to_json(F.struct("event_id", "event_type", "value")).alias("j"))
+    path = shared_path(spark, "utf16")
+    whole = lines.agg(F.encode(F.array_join(F.collect_list("j"), "\n"), "UTF-16BE").cast("string"))  # a cast keeps the bytes
+    whole.write.option("encoding", "ISO-8859-1").option("lineSep", "\0\n").text(path)
+    frame = frames.read(spark, path, "jsonl", "UTF-16BE")
+    return Engine(spark, MICRO).run("any where value > 40", frame).select(F.try_variant_get(F.col("__data"), "$.event_id", "bigint").alias("event_id"))
+
+
+_TAIL = f"SELECT e0_id, e1_id FROM ({sequence_sql([(_V, 'e0_id'), (f'{_C} AND value > 10', 'e1_id')], 'user_id')}) ORDER BY e1_id DESC LIMIT 300"
+for _ending in ("json", "json.gz", "jsonl", "jsonl.gz"):
+    QUERIES["source_" + _ending.replace(".", "_")] = _from_files(_ending)
+    SQL["source_" + _ending.replace(".", "_")] = _TAIL
+QUERIES |= {f.__name__: f for f in (custom_pipe, python_macro, source_encoding)}
+SQL |= {
+    "custom_pipe": "SELECT event_id FROM events WHERE value > 20 AND event_id % 7 = 0 AND user_id < 30",
+    "python_macro": "SELECT event_id FROM events WHERE value * 2 > 150 AND user_id * 2 < 40",
+    "source_encoding": "SELECT event_id FROM events WHERE event_id < 500 AND value > 40",
+}
 QUERIES |= {f.__name__: f for f in (stream_filter, stream_unique, stream_count, stream_sequence, post_process, custom_fn, map_reduce_count, conversation_seq, orders_lineitem_join, sequence_flatten, analytics_shared, unique_on_variant, sink_csv_columns, sink_json)}
 _PAIR = sequence_sql(_steps("event_type = 'view' AND value > 60", "event_type = 'purchase' AND value > 60"), "user_id")
 SQL |= {

@@ -98,8 +98,7 @@ def from_variant(df: DataFrame, data: Column, order: Column | None = None, uniqu
 
 def read_json(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """Files that each hold one JSON array of events (.json, .json.gz)."""
-    r = spark.read.option("wholetext", True)
-    text = r.text(path) if encoding is None else _decoded(spark, path, encoding)
+    text = spark.read.text(path, wholetext=True) if encoding is None else _decoded(spark, path, encoding)
     each = text.select(F.explode(F.try_variant_get(F.parse_json(F.col("value")), "$", "array<variant>")).alias("e"), F.col("_metadata"))
     return from_variant(each, F.col("e"))
 
