@@ -84,7 +84,7 @@ where("regex_operator", 'any where event_type regex~ ("cl.*k", "[ep].*") or prop
 where("in_tilde", 'any where event_type in~ ("CLICK", "Error") and endsWith~(event_type, "K")', "event_type = 'click'", config=Config(ticks=1_000_000, dialect=STRICT))
 where("fn_match_lite", 'any where matchLite(event_type, "p.*e", "s")', "regexp_matches(event_type, '^(?:p.*e|s)', 'is')")
 where("null_order", "any where not (null < value) or not (s > null) or value > 130", "value > 130")
-where("optional_field", 'any where ?missing.name == null and ?value > 125', "value > 125", config=Config(ticks=1_000_000, dialect=STRICT))
+where("field_optional", 'any where ?missing.name == null and ?value > 125', "value > 125", config=Config(ticks=1_000_000, dialect=STRICT))
 add("seq_single", "sequence by user_id [purchase where value > 60]", "SELECT event_id FROM events WHERE event_type = 'purchase' AND value > 60", config=Config(ticks=1_000_000, dialect=STRICT))
 
 # functions: one row an event, results as columns
