@@ -149,3 +149,24 @@ def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
     assert len(sizes) > 5 and all(x <= 2000 + len(warc.EMPTY_MEMBER) for x in sizes[:-1])
     got = {x.record_id: bytes(x.payload).decode() for x in warc.read_archives(spark, path).where("kind = 'record'").collect()}
     assert got == {f"<urn:page:{k}>": x for k, x in bodies.items()}
+
+
+def test_records_before_a_fault_in_a_member_are_kept():
+    """A file gzipped as a whole and cut or damaged near its end leaves the records before that."""
+    r = random.Random(9)
+    bodies = ["".join(r.choice("abcdefghijklmnop") for _ in range(30_000)).encode() for _ in range(6)]
+    plain = b"".join(warc.record(k, "u", x, hashlib.sha256(x).hexdigest(), None) for k, x in enumerate(bodies))
+    whole, after = warc.gzip_member(plain), archive()[0]
+    for bad in (whole[:-20_000] + after, whole[:-4] + b"\xff\xff\xff\xff" + after):
+        found = list(warc.salvage(bad))
+        kept = [x["record_id"] for x in found if x["kind"] == "record"]
+        gap = next(x for x in found if x["kind"] == "gap")
+        assert kept[:4] == [f"<urn:page:{k}>" for k in range(4)] and len(kept) >= 5 and found[-1]["kind"] == "record"
+        assert (gap["offset"], gap["length"]) == (0, len(bad) - len(after)) and gap["inner_offset"]
+
+
+def test_sha1_payload_digests_are_checked():
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    record = lambda body, digest: b"WARC/1.0\r\nWARC-Type: response\r\nContent-Type: application/http\r\nWARC-Payload-Digest: " + digest.encode() + f"\r\nContent-Length: {len(http + body)}\r\n\r\n".encode() + http + body + b"\r\n\r\n"
+    good, bad = record(b"body", warc._digest(b"body")), record(b"b0dy", warc._digest(b"body"))
+    assert [x["kind"] for x in warc.salvage(good + bad + good)] == ["record", "gap", "record"]

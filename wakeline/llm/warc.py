@@ -10,7 +10,8 @@ bytes, so the reader, which takes a file whole, is too.
 Reading: a file's members, or the records of a plain file, are checked one after another: gzip's
 own sums, version line, header lines, lengths, trailer, block and payload digests. After a failed
 check the reader searches for the next valid member (or version line) and goes on; the bytes it
-passed over are logged as a gap with their offset, length and reason.
+passed over are logged as a gap with their offset, length and reason. Of a damaged member the whole records before
+the fault are kept if their own digests prove them; its gap then says how far into its content they reach.
 
 Defined results: a null page is an empty payload; a null url leaves the target out; a null id is
 written as such, never first among equals while others have ids; rows that repeat the first's
@@ -113,7 +114,11 @@ def _named(spark: SparkSession, path: str) -> None:
 
 
 class Bad(Exception):
-    """A failed check; its text is the reason logged."""
+    """A failed check; its text is the reason logged. partial: what a member held before the fault."""
+
+    def __init__(self, reason: str, partial: bytes = b"") -> None:
+        super().__init__(reason)
+        self.partial = partial
 
 
 def _member(data: memoryview, at: int) -> tuple[bytes, int]:
@@ -127,14 +132,14 @@ def _member(data: memoryview, at: int) -> tuple[bytes, int]:
             out.append(d.decompress(piece))
             pos += len(piece)
     except zlib.error as e:
-        raise Bad(f"gzip: {e}") from e
+        raise Bad(f"gzip: {e}", b"".join(out)) from e
     if not d.eof:
-        raise Bad("truncated member")
+        raise Bad("truncated member", b"".join(out))
     return b"".join(out), pos - len(d.unused_data)
 
 
-def _record(data: bytes, at: int) -> tuple[dict[str, Any], int]:
-    """The record at an offset and its end, all checks passed."""
+def _record(data: bytes, at: int, digested: bool = False) -> tuple[dict[str, Any], int]:
+    """The record at an offset and its end, all checks passed; digested: only if a digest is one of them."""
     m = _VERSION.match(data, at)
     if not m:
         raise Bad("no version line")
@@ -164,7 +169,8 @@ def _record(data: bytes, at: int) -> tuple[dict[str, Any], int]:
         if stop < len(data):
             raise Bad("no trailer")
     want = head.get("warc-block-digest", "")
-    if want.lower().startswith("sha1:") and want[5:].upper() != _digest(block)[5:]:
+    checked = want.lower().startswith("sha1:")
+    if checked and want[5:].upper() != _digest(block)[5:]:
         raise Bad("block digest")
     http, gap, payload = block.partition(b"\r\n\r\n")
     if not head.get("content-type", "").startswith("application/http") or not gap:
@@ -173,8 +179,17 @@ def _record(data: bytes, at: int) -> tuple[dict[str, Any], int]:
     if kind == "revisit":
         found = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", http)
         length = int(found[1]) if found else None
-    elif digest.lower().startswith("sha256:") and digest[7:].lower() != hashlib.sha256(payload).hexdigest():
-        raise Bad("payload digest")
+    elif digest.lower().startswith("sha256:"):
+        checked = True
+        if digest[7:].lower() != hashlib.sha256(payload).hexdigest():
+            raise Bad("payload digest")
+    elif digest.lower().startswith("sha1:") and not checked and not re.search(rb"(?im)^transfer-encoding:", http):
+        # writers differ on whether a transfer encoding counts; a block digest has proved the bytes already
+        checked = True
+        if digest[5:].upper() != _digest(payload)[5:]:
+            raise Bad("payload digest")
+    if digested and not checked:
+        raise Bad("no digest")
     return {
         "kind": "record", "record_type": kind, "record_id": head.get("warc-record-id"), "target_uri": head.get("warc-target-uri"), "date": head.get("warc-date"), "refers_to": head.get("warc-refers-to"),
         "payload_bytes": length, "payload_digest": digest.rpartition(":")[2].lower() or (hashlib.sha256(payload).hexdigest() if kind != "revisit" else None), "payload": None if kind == "revisit" else payload,
@@ -253,8 +268,17 @@ def salvage(content: bytes) -> Iterator[dict[str, Any]]:
             yield from (x | {"length": end - at} if x["kind"] == "record" else x for x in _plain(found, at))
             at = end
         except Bad as bad:
-            begin, at = at, _next(content, data, at + 1)
-            yield _gap(begin, at - begin, str(bad))
+            begin, inner = at, 0
+            # whole records before the fault are kept if their own digests prove them
+            while inner < len(bad.partial):
+                try:
+                    found, end = _record(bad.partial, inner, digested=True)
+                except Bad:
+                    break
+                yield found | {"offset": begin, "length": None, "inner_offset": inner}
+                inner = end
+            at = _next(content, data, at + 1)
+            yield _gap(begin, at - begin, str(bad), inner or None)
 
 
 _SCHEMA = {
