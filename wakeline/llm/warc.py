@@ -121,6 +121,17 @@ class Bad(Exception):
         self.partial = partial
 
 
+def _until_fault(data: memoryview, at: int) -> bytes:
+    """What a damaged member gives before its fault, in small pieces as a fault takes its piece with it."""
+    d, out = zlib.decompressobj(31), []
+    try:
+        for pos in range(at, len(data), 256):
+            out.append(d.decompress(data[pos : pos + 256]))
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
 def _member(data: memoryview, at: int) -> tuple[bytes, int]:
     """The content and the end of the gzip member at an offset, its checksum verified."""
     if data[at : at + 3] != MAGIC:
@@ -132,7 +143,7 @@ def _member(data: memoryview, at: int) -> tuple[bytes, int]:
             out.append(d.decompress(piece))
             pos += len(piece)
     except zlib.error as e:
-        raise Bad(f"gzip: {e}", b"".join(out)) from e
+        raise Bad(f"gzip: {e}", _until_fault(data, at)) from e
     if not d.eof:
         raise Bad("truncated member", b"".join(out))
     return b"".join(out), pos - len(d.unused_data)
