@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -11,6 +12,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:  # of the C library, where it is glibc
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):
+    _TRIM = None
+
 #: White space that separates words in every contract: space and \t \n \v \f \r.
 WS = r"\x20\x09-\x0D"
 
@@ -77,6 +83,14 @@ def n_words(text: Column) -> Column:
     return F.when(t == "", F.lit(0)).otherwise(pieces - lead - tail).cast("long")
 
 
+def release() -> None:
+    """Give memory that is free back to the system: Python workers are used again by later stages, and keep what they
+    once took. Called where a task's part begins, when the part before it is freed."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null gives b''."""
     if isinstance(column, pa.ChunkedArray):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import small_batches
+from wakeline.llm.common import release, small_batches
 
 K1, B = 1.2, 0.75
 #: Of an item's own score.
@@ -313,6 +313,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         sent = spark.sparkContext.broadcast(block)
 
         def rows(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            release()
             index = Index(sent.value)
             for b in batches:
                 ids = b.column(0).to_pylist()
@@ -335,6 +336,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
         sent = spark.sparkContext.broadcast(block)
 
         def rows(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            release()
             index = Index(sent.value)
             for b in batches:
                 bad = {k for k, *_ in matches(_texts(b.column(at)), index)}

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import as_bytes, cut, mix, pack, parts, small_batches, unpack, written
+from wakeline.llm.common import as_bytes, cut, mix, pack, parts, release, small_batches, unpack, written
 from wakeline.llm.graph import components
 
 SEED = 42
@@ -210,7 +210,7 @@ def _routes() -> tuple[list[tuple[int, int, int]], np.ndarray]:
 
 ROUTES, LEFT_OUT = _routes()
 CHUNK = 1 << 22  # bytes of texts whose shingles are counted and answered together
-PER_BUCKET = 2_000_000  # shingles of a bucket in which they are counted, about
+PER_BUCKET = 1_000_000  # shingles of a bucket in which they are counted, about
 MEET = 4096  # members of a group that are compared in one task; larger groups are cut in blocks
 FEW = 16  # shingles below which fingerprints say too little to leave a pair out
 #: Bits of the 320 of five lanes in which a pair at 0.8 does not differ: 48 are expected, this is six deviations more.
@@ -338,6 +338,7 @@ def similar_links(prints: DataFrame, similarity: float, used: int = USED) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "nodes", "blob"])
 
     def meet(table: pa.Table) -> pa.Table:
+        release()
         segs, routes, nodes, checks = [], [], [], []
         for t, blob in zip(table.column("nodes").to_pylist(), table.column("blob").to_pylist(), strict=True):
             node, *check = unpack(t, "<i8", *["<u8"] * CHECKS)
@@ -396,6 +397,7 @@ def fetched(wanted: DataFrame, seen: DataFrame) -> DataFrame:
     """(node, text) of wanted(node, chunk), out of the chunks of survey()."""
 
     def fetch(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         texts = _texts(right.column("blob")[0].as_py()) if len(left) and len(right) else {}
         found = [n for n in dict.fromkeys(left.column("node").to_pylist()) if n in texts]
         return pa.table({"node": pa.array(found, pa.int64()), "text": pa.array([texts[n] for n in found], pa.binary())})
@@ -413,6 +415,7 @@ def survey(texts: DataFrame, size: int, buckets: int) -> DataFrame:
         bytes_ = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
+            release()
             raws, sets = [x[1] for x in pending], [x[2] for x in pending]
             nodes = [node_of(x) for x in sets]
             chunk = int(np.uint64(xxhash.xxh64_intdigest(b"".join(raws), len(raws))).view(np.int64))
@@ -448,6 +451,7 @@ def counted(entries: DataFrame) -> DataFrame:
     the logarithm rounded up; 0: in no other."""
 
     def count(table: pa.Table) -> pa.Table:
+        release()
         every, times, sizes = [], [], []
         for x in table.column("blob").to_pylist():
             step, n = unpack(x, "<u4", "<u2")
@@ -473,6 +477,7 @@ def shared_prefixes(seen: DataFrame, size: int, similarity: float, buckets: int)
     """
 
     def choose(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         out = []
         if len(left) and len(right):
             sets = {k: np.unique(shingle_hashes(x, size)) for k, x in _texts(left.column("blob")[0].as_py()).items()}
@@ -499,6 +504,7 @@ def shared_prefixes(seen: DataFrame, size: int, similarity: float, buckets: int)
         return pa.table({k: pa.array([x[c] for x in out], t) for c, (k, t) in enumerate({"bucket": pa.int64(), "nodes": pa.binary(), "blob": pa.binary()}.items())})
 
     def meet(table: pa.Table) -> pa.Table:
+        release()
         nodes, mets, keys = [], [], []
         for t, blob in zip(table.column("nodes").to_pylist(), table.column("blob").to_pylist(), strict=True):
             (node, met), (low, high, place) = unpack(t, "<i8", "<u4"), unpack(blob, "<u4", "<u2", "<u4")
@@ -566,6 +572,7 @@ def suspects(members: DataFrame, similarity: float) -> DataFrame:
     """
 
     def compare(table: pa.Table) -> pa.Table:
+        release()
         node = table.column("node").to_numpy()
         out = [np.zeros((0, 2), np.int64)]
         for rows, near, _ in _compared(table, similarity):
@@ -587,6 +594,7 @@ def proven(members: DataFrame, size: int, similarity: float, buckets: int) -> Da
     of the similarity, by counting shingles. What is connected already is not compared again."""
 
     def compare(table: pa.Table) -> pa.Table:
+        release()
         root, texts = table.column("root").to_numpy(), table.column("text")
         out: list[tuple[int, int]] = []
         for rows, near, label in _compared(table, similarity):
@@ -608,6 +616,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            release()
             last: dict[bytes, np.ndarray] = {}
             stay = []
             for x, y in zip(as_bytes(b.column("x")), as_bytes(b.column("y")), strict=True):
