@@ -95,3 +95,30 @@ def test_a_common_line_of_one_turn_without_conversations(spark):
     df = spark.createDataFrame([(*x, "clash") for x in data], SCHEMA)
     got = quotes.reply_order(df).groupBy("conv_id", "turn", "parent", "root", "depth").count().collect()
     assert {(r.conv_id, r.turn, r.parent, r.root, r.depth): r["count"] for r in got} == {(None, 0, None, 0, 0): 400, (None, 1, 0, 0, 1): 400, (None, None, None, None, 0): 5, (3, 1, None, 1, 0): 1}
+
+
+def test_positions_are_a_walk_depth_first(spark):
+    """A thread with branches, hot parents and a long chain, against a recursive walk."""
+    r = random.Random(8)
+    data, parents = [(c, 0, "user", "m0") for c in (1, None)], {}
+    for c in (1, None):
+        for t in range(1, 60):
+            p = r.choice([0, t - 1, r.randrange(t)])
+            parents[c, t] = p
+            data.append((c, t, "user", f"> m{p}\nm{t}"))
+    data += [(2, 0, "user", "m0")] + [(2, t, "user", f"> m{t - 1}\nm{t}") for t in range(1, 40)]
+    parents |= {(2, t): t - 1 for t in range(1, 40)}
+
+    def walk(c, t):
+        return [t] + [x for s in range(60) if parents.get((c, s)) == t for x in walk(c, s)]
+
+    got = rows(spark, data)
+    for c in (1, None, 2):
+        assert [got[c, t].position for t in walk(c, 0)] == list(range(60 if c != 2 else 40))
+
+
+def test_in_order(spark):
+    data = [(1, 0, "user", "a"), (1, 1, "user", "> a\nb"), (1, 2, "user", "> a\nc"), (1, 3, "user", "> b\nd"), (1, 4, "user", "z"), (1, 5, "user", "> z\ny"), (None, None, "user", "> a")]
+    got = quotes.in_order(quotes.reply_order(spark.createDataFrame([(*x, "clash") for x in data], SCHEMA))).collect()
+    assert [(x.turn, x.position) for x in got] == [(None, 0), (0, 0), (1, 1), (3, 2), (2, 3), (4, 0), (5, 1)]
+    assert [x.reply for x in got if x.root == 0] == ["a", "b", "d", "c"]

@@ -184,8 +184,9 @@ up AS (
   SELECT conv_id, turn, parent AS root, 1::BIGINT AS depth FROM link WHERE parent IS NOT NULL
   UNION ALL
   SELECT up.conv_id, up.turn, link.parent, depth + 1 FROM up JOIN link ON up.conv_id IS NOT DISTINCT FROM link.conv_id AND up.root = link.turn WHERE link.parent IS NOT NULL),
-deep AS (SELECT conv_id, turn, arg_max(root, depth) AS root, max(depth) AS depth FROM up GROUP BY ALL)
-SELECT r.conv_id, r.turn, role, reply, parent, coalesce(root, r.turn) AS root, coalesce(depth, 0) AS depth, coalesce(n_unlinked, 0) AS n_unlinked
+deep0 AS (SELECT conv_id, turn, arg_max(root, depth) AS root, max(depth) AS depth, list(root ORDER BY depth DESC) AS path FROM up GROUP BY ALL),
+deep AS (SELECT *, row_number() OVER (PARTITION BY conv_id, root ORDER BY list_append(path, turn)) AS position FROM deep0)
+SELECT r.conv_id, r.turn, role, reply, parent, coalesce(root, r.turn) AS root, coalesce(depth, 0) AS depth, coalesce(n_unlinked, 0) AS n_unlinked, coalesce(position, 0) AS position
 FROM r LEFT JOIN link ON r.conv_id IS NOT DISTINCT FROM link.conv_id AND r.turn IS NOT DISTINCT FROM link.turn
 LEFT JOIN deep ON r.conv_id IS NOT DISTINCT FROM deep.conv_id AND r.turn IS NOT DISTINCT FROM deep.turn
 """

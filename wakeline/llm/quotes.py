@@ -7,9 +7,12 @@ whole, by passage and by line. A quoted passage, or else one of its lines, is jo
 latest earlier message of the conversation that says the same; normalised texts are compared, not
 only hashes. The first line at the lowest level that finds its message names the parent.
 
-The result is a row for each message, without its quotes, in reply order: sorted by root turn,
-depth and turn, parents stand before their replies. Depths and roots come from pointer doubling,
-as many rounds as the longest chain has bits.
+The result is a row for each message, without its quotes, with its position in its thread: sorted by
+(conv_id, root, position), each reply stands after its parent and before the parent's next reply, and
+replies of one parent stand by turn (`in_order`). Depths and roots come from pointer doubling, as many rounds as
+the longest chain has bits. Positions come from a tour around each thread, in which every message is entered and left
+once: pointer doubling along the tour counts the messages entered before. Neither a path for each message nor a
+list for each thread is made, so long chains cost no more rows than short ones.
 
 Keys hold the conversation and the hash; for the latest earlier message the keys are ordered by
 turn in a window, so no pairs are made where a line is very common. Windows hold a row for each turn, and are over
@@ -18,7 +21,7 @@ long conversation, or in very many messages of one turn, is dealt to many tasks.
 
 Defined results: a null text says nothing; a null conversation is a conversation of its own; null
 turns come first and are nobody's parent; rows that repeat a conversation and turn are all kept
-and share the links of the first by text; a message that quotes nothing known is a root; quotes that
+and share the links of the first by text, and its position; a message that quotes nothing known is a root; quotes that
 find no message are dropped like others and counted in n_unlinked; an empty table gives an empty
 table; other columns are not read.
 """
@@ -146,17 +149,48 @@ def roots(links_: DataFrame) -> DataFrame:
         at = at.drop("moved")
 
 
-def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, turn, role, reply, parent, root, depth, n_unlinked of each message.
+def positions(links_: DataFrame) -> DataFrame:
+    """conv_id, turn, position of the messages that have a parent: how many of the thread stand before, depth first.
 
-    Ordered by (conv_id, root, depth, turn) they are conversations in reply order.
+    The tour goes from a message to its first reply, from a reply that is left to the next one, and from the last one
+    back to the parent. Each item points to the one before it, so no two items share a target and no key is hot.
     """
+    edges = links_.where("parent IS NOT NULL").select("conv_id", "turn", "parent")
+    same = F.col("conv_id").eqNullSafe(F.col("uc"))
+    sisters = _latest(edges.select("conv_id", F.col("parent").alias("h"), F.lit("").alias("norm"), "turn", F.col("turn").alias("source")), "turn", 64)
+    sister = F.col("parent")  # the reply before, to the same message
+    enters = sisters.select("conv_id", "turn", F.lit(False).alias("leaves"), F.coalesce(sister, "h").alias("to"), sister.isNotNull().alias("to_leaves"), sister.isNull().cast("long").alias("n"))
+    last = edges.groupBy("conv_id", "parent").agg(F.max("turn").alias("child")).toDF("uc", "ut", "child")
+    child = F.col("child")
+    exits = edges.join(last, same & (F.col("turn") == F.col("ut")), "left").select("conv_id", "turn", F.lit(True).alias("leaves"), F.coalesce(child, "turn").alias("to"), child.isNotNull().alias("to_leaves"), child.isNull().cast("long").alias("n"))
+    # an item whose target is no item has come to the root's entry
+    at = cut(enters.union(exits).withColumn("open", F.lit(True)))
+    while not at.where("open").isEmpty():
+        up = at.toDF("uc", "ut", "ul", "u_to", "u_to_leaves", "un", "u_open")
+        step = at.where("open").join(up, same & (F.col("to") == F.col("ut")) & (F.col("to_leaves") == F.col("ul")), "left")
+        step = step.select("conv_id", "turn", "leaves", F.coalesce("u_to", "to").alias("to"), F.coalesce("u_to_leaves", "to_leaves").alias("to_leaves"), (F.col("n") + F.coalesce("un", F.lit(0))).alias("n"), F.coalesce("u_open", F.lit(False)).alias("open"))
+        at = cut(at.where("NOT open").union(step))
+    return at.where("NOT leaves").select("conv_id", "turn", F.col("n").alias("position"))
+
+
+def in_order(replies: DataFrame) -> DataFrame:
+    """Rows of reply_order() as conversations: thread by thread, replies after what they answer. Ranges are sorted, so
+    a thread of any size is never one list or one task's group."""
+    return replies.orderBy("conv_id", "root", "position")
+
+
+def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """conv_id, turn, role, reply, parent, root, depth, n_unlinked, position of each message; see in_order()."""
     parsed = parse(messages, conv_col, turn_col, role_col, text_col)
     found = cut(links(parsed))
     out = parsed.drop("passages")
     if found.isEmpty():
-        return out.select("*", F.lit(None).cast("long").alias("parent"), F.col("turn").alias("root"), F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("n_unlinked"))
+        zero = F.lit(0).cast("long")
+        return out.select("*", F.lit(None).cast("long").alias("parent"), F.col("turn").alias("root"), zero.alias("depth"), zero.alias("n_unlinked"), zero.alias("position"))
     deep = roots(found).toDF("rc", "rt", "root", "depth")
-    joined = found.join(deep, F.col("conv_id").eqNullSafe(F.col("rc")) & F.col("turn").eqNullSafe(F.col("rt")), "left").drop("rc", "rt").withColumnsRenamed({"conv_id": "fc", "turn": "ft"})
+    place = positions(found).toDF("pc", "pt", "position")
+    joined = found.join(deep, F.col("conv_id").eqNullSafe(F.col("rc")) & F.col("turn").eqNullSafe(F.col("rt")), "left")
+    joined = joined.join(place, F.col("conv_id").eqNullSafe(F.col("pc")) & F.col("turn").eqNullSafe(F.col("pt")), "left").drop("rc", "rt", "pc", "pt").withColumnsRenamed({"conv_id": "fc", "turn": "ft"})
     out = out.join(joined, F.col("conv_id").eqNullSafe(F.col("fc")) & F.col("turn").eqNullSafe(F.col("ft")), "left").drop("fc", "ft")
-    return out.select("conv_id", "turn", "role", "reply", "parent", F.coalesce("root", "turn").alias("root"), F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("n_unlinked", F.lit(0)).alias("n_unlinked"))
+    rest = [F.coalesce(c, F.lit(0)).alias(c) for c in ("depth", "n_unlinked", "position")]
+    return out.select("conv_id", "turn", "role", "reply", "parent", F.coalesce("root", "turn").alias("root"), *rest)
