@@ -10,6 +10,7 @@ from tests import machines
 from wakeline.api import Config, Engine
 from wakeline.errors import CompileError
 from wakeline.operators.patterns import Timing
+from wakeline.plans.parser import Dialect
 
 SCHEMA = "__ord long, __time long, __type string, k string, x long"
 
@@ -22,7 +23,7 @@ def events(seed=1, n=120):
     return out
 
 
-def streamed(spark, tmp_path, rows, text, mode="append", batches=4, **options):
+def streamed(spark, tmp_path, rows, text, mode="append", batches=4, config=Config(ticks=1), **options):
     source = tmp_path / "in"
     source.mkdir()
     size = -(-len(rows) // batches)
@@ -30,7 +31,7 @@ def streamed(spark, tmp_path, rows, text, mode="append", batches=4, **options):
         (source / f"{b}.json").write_text("\n".join(map(json.dumps, rows[b * size : (b + 1) * size])))
         os.utime(source / f"{b}.json", (1_000_000 + b, 1_000_000 + b))  # files are taken by their time
     df = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(str(source))
-    out = Engine(spark, Config(ticks=1)).stream(text, df, **options)
+    out = Engine(spark, config).stream(text, df, **options)
     name = f"t{abs(hash((text, mode))) % 10**9}"
     query = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination(240)
@@ -70,6 +71,56 @@ def test_unique_and_count(spark, tmp_path):
     assert {r.key: r["count"] for r in got} == want
 
 
+SAMPLES = Config(ticks=1, dialect=Dialect(implied_any=True, implied_base=True, allow_sample=True))
+
+
+def places(matches):
+    return sorted(tuple(json.loads(x)["__ord"] for x in r.events) for r in matches)
+
+
+def test_samples(spark, tmp_path):
+    rows, text = events(4), "sample by k [a where true] [any where x > 1] [c where x < 3]"
+    want = machines.sample(Engine(spark, SAMPLES).parse(text).base, rows)
+    assert places(streamed(spark, tmp_path, rows, text, config=SAMPLES)) == sorted(tuple(x["__ord"] for x in m) for m in want) and want
+
+
+@pytest.mark.parametrize("text", [
+    "sequence by k with maxspan=6s [a where true] [b where x > 0] [any where x == 2] until [c where x == 3]",
+    "join by k [a where true] [any where x > 1] [c where true] until [b where x == 0]",
+])
+def test_held_events_come_in_order(spark, tmp_path, text):
+    """Events that come late, but within the watermark, give what they give in order; an event far ahead ends the wait."""
+    rows, r = events(5), random.Random(6)
+    q = Engine(spark, Config(ticks=1)).parse(text).base
+    sequence = text.startswith("seq")
+    want = (machines.sequence if sequence else machines.join)(q, rows, **({"span": Timing(1).span(q.maxspan)} if sequence else {}))
+    late = sorted(rows, key=lambda e: (e["__time"] + r.uniform(0, 19), e["__ord"]))
+    assert late != rows
+    late.append({"__ord": 10**6, "__time": 10**5, "__type": "b", "k": "r", "x": 1})
+    late.append({"__ord": 10**6 + 1, "__time": 10**5, "__type": "a", "k": "r", "x": 1})
+    got = places(streamed(spark, tmp_path, late, text, batches=5, watermark="20 seconds", hold=True))
+    assert got == sorted(tuple(x["__ord"] for x in m) for m in want) and want
+
+
+def test_pipes_after_matches(spark, tmp_path):
+    rows, text = events(2), "sequence by k [a where true] [b where true]"
+    found = machines.sequence(Engine(spark, Config(ticks=1)).parse(text).base, rows)
+    (tmp_path / "f").mkdir(), (tmp_path / "u").mkdir()
+    got = places(streamed(spark, tmp_path / "f", rows, f"{text} | filter events[1].x > 1 and events[0].k == 'P'"))
+    assert got == sorted(tuple(e["__ord"] for e in m) for m in found if m[1]["x"] > 1 and m[0]["k"] in "pP") and got
+    got = streamed(spark, tmp_path / "u", rows, f"{text} | unique events[1].x")
+    xs = [json.loads(r.events[1])["x"] for r in got]
+    assert sorted(xs) == sorted({m[1]["x"] for m in found})
+
+
+def test_held_events_need_a_watermark(spark):
+    df = spark.readStream.format("rate").load().selectExpr("value AS __ord", "value AS __time", "'a' AS __type", "'k' AS k", "value AS x")
+    with pytest.raises(CompileError):
+        Engine(spark).stream("sequence [a where true] [b where true]", df, hold=True)
+    with pytest.raises(CompileError):
+        Engine(spark).stream("sequence [a where true] [b where true] | unique events[0].x", df, watermark="5 seconds")
+
+
 @pytest.mark.parametrize("text", ["any where true | sort x", "any where true | tail", "any where child of [a where true]", "sequence [a where true] [b where true] | count", "any where true | count k | filter count > 1"])
 def test_what_streams_cannot_do(spark, text):
     df = spark.readStream.format("rate").load().selectExpr("value AS __ord", "value AS __time", "'a' AS __type", "'k' AS k", "value AS x")

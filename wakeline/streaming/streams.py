@@ -1,9 +1,11 @@
 """Queries over streaming frames.
 
 Event queries and filters pass through. `unique` keeps first arrivals (within the watermark if one
-is given); `count` is a running aggregate (complete or update mode). Sequences and joins keep pending
-matches by key in Spark's state store; events of a micro-batch are applied in (time, order), and
-state that a maxspan has outlived is dropped by event time.
+is given); `count` is a running aggregate (complete or update mode). Sequences, joins and samples keep pending
+matches by key in Spark's state store, and state that a maxspan has outlived is dropped by event time. Events of a
+micro-batch are applied in (time, order); if `hold` is set, events wait in the state until the watermark has passed
+them, so matches are those of the whole stream in order, however it is cut into micro-batches. `filter` and `unique`
+may follow matches.
 """
 
 from __future__ import annotations
@@ -41,6 +43,13 @@ class Machine:
         if pos < 0:
             self.close()
             return None
+        if self.kind == "sample":
+            self.pending = [p for p in self.pending if p is not None] + [[time, [body]]]
+            if len(self.pending) < len(self.steps):
+                return None
+            out = [p[1][0] for p in self.pending]
+            self.close()
+            return out
         if self.kind == "join":
             if self.pending[pos] is None:
                 self.pending[pos] = [time, [body]]
@@ -71,51 +80,88 @@ class Machine:
         return None
 
 
-def _matches(engine: Any, df: DataFrame, q: t.Sequence | t.Join, watermark: str | None) -> DataFrame:
+def _matches(engine: Any, df: DataFrame, q: t.Sequence | t.Join | t.Sample, watermark: str | None, hold: bool) -> DataFrame:
+    """RESULT rows. Held events are ready once no earlier one can come: Spark drops what the watermark has passed."""
     compiler = Compiler(Scope.frame(df), engine.context, {}, engine.functions)
     sequence = isinstance(q, t.Sequence)
-    rows, names = patterns._rows(df, compiler, q.steps, q.until, reverse=sequence)
-    span = patterns.Timing(engine.config.ticks, engine.config.exact_maxspan).span(q.maxspan) if sequence else None
+    kind = "sequence" if sequence else "join" if isinstance(q, t.Join) else "sample"
+    until = None if isinstance(q, t.Sample) else q.until
+    rows, names = patterns._rows(df, compiler, q.steps, until, reverse=kind != "join")
+    span = patterns.Timing(engine.config.ticks, engine.config.exact_maxspan).span(q.maxspan) if isinstance(q, t.Sequence) else None
     steps = [{"fork": s.fork, "missing": s.missing} for s in q.steps]
     ticks = engine.config.ticks
     key = F.to_json(F.struct(F.lit(0).alias("z"), *names), {"ignoreNullFields": "false"}).alias("key")
-    body = F.to_json("event").alias("body")
+    body = F.to_json("event", {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("body")
     x = rows.select(key, "ord", "time", "rank", "pos", "hit", body)
     if watermark:
         x = x.withColumn("ts", F.timestamp_micros((F.col("time") * F.lit(1_000_000) / F.lit(ticks)).cast("bigint"))).withWatermark("ts", watermark)
+    timed = bool(watermark) and (hold or span is not None)
+
+    def ms(time: int) -> int:
+        """The first millisecond at or after a time; a watermark there has passed it."""
+        return -(-(time * 1_000_000 // ticks) // 1000)
 
     def apply(group: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        machine = Machine(steps, span, "sequence" if sequence else "join", json.loads(state.get[0]) if state.exists else None)
-        part = pd.concat(list(batches)).sort_values(["time", "ord", "rank"])
-        out, last = [], 0
-        for r in part.itertuples(index=False):
-            found = machine.row(r.pos, bool(r.hit), int(r.time), r.body)
-            last = max(last, int(r.time))
+        pending, waiting, last = json.loads(state.get[0]) if state.exists else (None, [], 0)
+        if not state.hasTimedOut:
+            for part in batches:
+                columns = [part[c].tolist() for c in ("time", "ord", "rank", "pos", "hit", "body")]
+                waiting.extend(map(list, zip(*columns, strict=True)))
+        waiting.sort(key=lambda r: r[:3])
+        passed = state.getCurrentWatermarkMs() if timed else 0
+        ready = next((k for k, r in enumerate(waiting) if ms(r[0]) > passed), len(waiting)) if hold else len(waiting)
+        machine, out = Machine(steps, span, kind, pending), []
+        for time, place, _, pos, hit, event in waiting[:ready]:
+            found = machine.row(pos, bool(hit), time, event)
+            last = max(last, time)
             if found is not None:
-                out.append((group[0], found, int(r.ord), int(r.time)))
-        if any(p is not None for p in machine.pending):
-            state.update((json.dumps(machine.pending),))
-            if watermark and span is not None:
-                until = int((last + span) * 1000 / ticks) + 1
-                state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+                out.append((group[0], found, place, time))
+        waiting = waiting[ready:]
+        pending = machine.pending
+        if state.hasTimedOut and span is not None and ms(last + span) < passed:
+            pending = []  # outlived
+        if waiting or any(p is not None for p in pending):
+            state.update((json.dumps([pending or None, waiting, last]),))
+            if waiting:
+                state.setTimeoutTimestamp(max(ms(waiting[0][0]) - 1, passed + 1))
+            elif timed and span is not None:
+                state.setTimeoutTimestamp(max(ms(last + span) + 1, passed + 1))
         elif state.exists:
             state.remove()
         if out:
             yield pd.DataFrame(out, columns=["key", "events", "__ord", "__time"])
 
-    timeout = GroupStateTimeout.EventTimeTimeout if watermark and span is not None else GroupStateTimeout.NoTimeout
+    timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
     return x.groupBy("key").applyInPandasWithState(apply, RESULT, "pending string", "append", timeout)
 
 
-def stream(engine: Any, text: str, df: DataFrame, watermark: str | None = None) -> DataFrame:
+def _piped(engine: Any, df: DataFrame, matches: DataFrame, steps: tuple[t.Pipe, ...], watermark: str | None) -> DataFrame:
+    """Matches that pipes let through; the pipes see events with the frame's own types."""
+    x = matches.withColumn("bodies", F.col("events")).withColumn("events", F.transform("bodies", lambda b: F.from_json(b, df.schema)))
+    for p in steps:
+        flow = pipes.Flow(x, True, engine.context, engine.config.host_key, engine.functions)
+        if p.name == "filter":
+            x = pipes.filter_(flow, p.args).df
+        elif p.name == "unique":
+            if watermark:
+                raise CompileError("unique after a match keeps state of its own, which Spark does not chain to matches with a watermark; use foreachBatch")
+            keyed, names = pipes._keys(flow, p.args)
+            x = keyed.dropDuplicates(names).drop(*names)
+        else:
+            raise CompileError(f"{p.name} after a match is not supported on streams; use foreachBatch")
+    return x.select("key", F.col("bodies").alias("events"), "__ord", "__time")
+
+
+def stream(engine: Any, text: str, df: DataFrame, watermark: str | None = None, hold: bool = False) -> DataFrame:
     """The streaming result of a query over a streaming frame; write it with writeStream.
 
     watermark: how late events may come ("10 minutes"); bounds the state of unique and of
     sequences with a maxspan. Matches of several events come as (key, events as JSON, __ord, __time).
+    hold: apply an event to matches only when the watermark has passed it, in (time, order) over all micro-batches; what
+    the watermark has not passed when a stream is stopped waits in the checkpoint.
     """
+    if hold and not watermark:
+        raise CompileError("events are held for a watermark; none is given")
     q = engine.parse(text)
     base = q.base
     if any(isinstance(x, t.Relation) for x in t.walk(q)):
@@ -123,13 +169,10 @@ def stream(engine: Any, text: str, df: DataFrame, watermark: str | None = None)
     if isinstance(base, t.EventQuery):
         compiler = Compiler(Scope.frame(df), engine.context, {}, engine.functions)
         got = events.event(df, compiler, base)
-    elif isinstance(base, (t.Sequence, t.Join)):
-        got = _matches(engine, df, base, watermark)
-        if q.pipes:
-            raise CompileError("pipes after a match are not supported on streams; use foreachBatch")
-        return got
+    elif isinstance(base, (t.Sequence, t.Join, t.Sample)):
+        return _piped(engine, df, _matches(engine, df, base, watermark, hold), q.pipes, watermark) if q.pipes else _matches(engine, df, base, watermark, hold)
     else:
-        raise CompileError("samples are not supported on streams")
+        raise CompileError(f"{type(base).__name__} is no query of streams")
     for p in q.pipes:
         flow = pipes.Flow(got, False, engine.context, engine.config.host_key, engine.functions)
         if p.name == "filter":
