@@ -337,11 +337,11 @@ def sink_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.get_json_object(sinks.as_json(got.select("event_id", "user_id")), "$.event_id").cast("bigint").alias("event_id"))
 
 
-def streamed(spark: SparkSession, sf_dir: str, text: str, complete: bool = False) -> DataFrame:
+def streamed(spark: SparkSession, sf_dir: str, text: str, complete: bool = False, config: Config = MICRO) -> DataFrame:
     """A query over the events table as a stream, run to its end; what the sink has got."""
     # a glob, as a stream's path may be a folder or a pattern but no single file
     table = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
-    out = Engine(spark, MICRO).stream(text, frames.from_table(table, "event_type", "ts", "event_id"))
+    out = Engine(spark, config).stream(text, frames.from_table(table, "event_type", "ts", "event_id"))
     path = shared_path(spark, "stream")
     w = out.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
     if complete:
@@ -366,7 +366,19 @@ def stream_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = streamed(spark, sf_dir, "sequence by user_id with maxspan=6h [view where true] [click where true] [purchase where true] until [error where value > 50]")
-    return got.select(*[F.get_json_object(F.col("events")[k], "$.event_id").cast("bigint").alias(f"e{k}_id") for k in range(3)])
+    return _ids(got, 3)
+
+
+def _ids(got: DataFrame, n: int) -> DataFrame:
+    return got.select(*[F.get_json_object(F.col("events")[k], "$.event_id").cast("bigint").alias(f"e{k}_id") for k in range(n)])
+
+
+def stream_filter_events1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ids(streamed(spark, sf_dir, "sequence by user_id [view where true] [click where true] | filter events[1].value > 40 and value < 60"), 2)
+
+
+def stream_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ids(streamed(spark, sf_dir, "sample by user_id [view where true] [purchase where value > 5]", config=Config(ticks=1_000_000, dialect=STRICT)), 2)
 
 
 def post_process(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -437,13 +449,15 @@ SQL |= {
     "python_macro": "SELECT event_id FROM events WHERE value * 2 > 150 AND user_id * 2 < 40",
     "source_encoding": "SELECT event_id FROM events WHERE event_id < 500 AND value > 40",
 }
-QUERIES |= {f.__name__: f for f in (stream_filter, stream_unique, stream_count, stream_sequence, post_process, custom_fn, map_reduce_count, conversation_seq, orders_lineitem_join, sequence_flatten, analytics_shared, unique_on_variant, sink_csv_columns, sink_json)}
+QUERIES |= {f.__name__: f for f in (stream_filter, stream_unique, stream_count, stream_sequence, stream_filter_events1, stream_sample, post_process, custom_fn, map_reduce_count, conversation_seq, orders_lineitem_join, sequence_flatten, analytics_shared, unique_on_variant, sink_csv_columns, sink_json)}
 _PAIR = sequence_sql(_steps("event_type = 'view' AND value > 60", "event_type = 'purchase' AND value > 60"), "user_id")
 SQL |= {
     "stream_filter": "SELECT event_id FROM events WHERE event_type = 'purchase' AND value > 20 AND user_id <> 3",
     "stream_unique": "SELECT DISTINCT event_type, user_id FROM events WHERE value > 20",
     "stream_count": "SELECT event_type AS key, count(*) AS count FROM events WHERE value > 20 GROUP BY 1",
     "stream_sequence": sequence_sql(_steps(_V, _C, _P), "user_id", SPAN, "event_type = 'error' AND value > 50"),
+    "stream_filter_events1": SQL["seq_filter_events1"],
+    "stream_sample": SQL["sample2"],
     "post_process": SQL["seq_filter_events1"],
     "custom_fn": "SELECT event_id FROM events WHERE event_type = 'view' AND abs(value - 40) < 5 OR value / 2 > 60",
     "map_reduce_count": "SELECT event_type AS key, count(*) AS count, count(*) / sum(count(*)) OVER () AS percent FROM events WHERE value > 5 GROUP BY 1",
