@@ -3,16 +3,20 @@
 import gzip
 import io
 import json
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
 from wakeline import __main__ as cli
+from wakeline import plugins
 from wakeline.api import Analytic, Config, Engine, load_analytics, save_analytics
 from wakeline.errors import CompileError, QueryError
 from wakeline.functions.values import BOOLEAN, NUMBER
+from wakeline.plans import targets
 from wakeline.plans import tree as t
 from wakeline.plans.parser import Dialect
+from wakeline.shell import Shell
 from wakeline.sources import frames, sinks
 
 EVENTS = [
@@ -155,6 +159,62 @@ def test_shell(spark, tmp_path, capsys):
     assert spark.read.text(out).count() == 2
 
 
+def test_shell_commands(spark, tmp_path, capsys):
+    path, config, out = str(tmp_path / "e.jsonl"), tmp_path / "c.json", str(tmp_path / "saved.csv")
+    write(path, [json.dumps({"event_type": k, "n": n}) for n, k in enumerate("ab")])
+    config.write_text(json.dumps({"definitions": "const TOP = 1", "case_sensitive": True}))
+
+    def say(*lines):
+        it = Shell(Engine(spark).load(path), cli.config_of)
+        assert all(it.run(x) for x in lines)
+        return capsys.readouterr().out
+
+    text = say(f"config {config}", "search any where n == TOP", "search A where true", "search any where event_type == 'A'", f"config {tmp_path}/none.json")
+    assert '{"event_type": "b", "n": 1}' in text and "1 result found" in text and text.count("0 results found") == 2 and "No such file" in text
+    text = say("display off", "search any where true", "display on", "display table n", "search a where true", "table", "display nonsense")
+    assert text.splitlines()[0] == "2 results found" and text.splitlines()[1:4] == ["n", "-", "0"] and "display takes" in text
+    assert "\033[32m" in say("style green", "search a where true") and "plain" in say("style") and "no style" in say("style loud")
+    assert say("shell echo one", "!echo two").splitlines() == ["one", "two"]
+    assert "search QUERY" in say("help") and "unknown command nope" in say("help nope") and say("") == ""
+    assert "no results" in say(f"output {out}") and "no results" in say("table")
+    say("search any where true", f"output {out}")
+    assert spark.read.option("header", True).csv(out).count() == 2
+    it = Shell(Engine(spark))
+    assert not it.run("exit") and it.run("schema") and it.run("config x") and it.run("search any where true")
+    assert capsys.readouterr().out.count("\n") == 3
+
+
+def test_targets(spark, tmp_path, capsys):
+    source = str(tmp_path / "in.json")
+    save_analytics([Analytic("one", "a where n == 1 + 1"), Analytic("two", "sequence [a where true] [b where not n == 0]")], source)
+    assert run(capsys, "build", source, str(tmp_path / "all.txt"))[0] == 0
+    assert (tmp_path / "all.txt").read_text() == "// one\na where n == 2\n// two\nsequence\n  [a where true]\n  [b where n != 0]\n"
+    assert run(capsys, "build", source, str(tmp_path / "job.py"))[0] == 0 and run(capsys, "build", "--bare", source, str(tmp_path / "bare.py"))[0] == 0
+    path, text = str(tmp_path / "e.jsonl"), (tmp_path / "job.py").read_text()
+    write(path, [json.dumps({"event_type": k, "n": 2}) for k in "ab"])
+    assert "SparkSession" not in (tmp_path / "bare.py").read_text()
+    sys.argv, old = ["job.py", path, str(tmp_path / "results")], sys.argv
+    try:
+        exec(compile(text, "job.py", "exec"), {})
+    finally:
+        sys.argv = old
+    assert spark.read.parquet(str(tmp_path / "results" / "one")).count() == 1 and spark.read.parquet(str(tmp_path / "results" / "two")).count() == 1
+    code, _, err = run(capsys, "build", source, str(tmp_path / "all.nope"))
+    assert code == 2 and "no target" in err
+    save_analytics([Analytic("bad", "a where ==")], source)
+    assert run(capsys, "build", source, str(tmp_path / "bad.txt"))[0] == 2 and not (tmp_path / "bad.txt").exists()
+
+
+def test_plugins(tmp_path, monkeypatch, capsys):
+    (tmp_path / "wakeline_shout.py").write_text("from wakeline.plans import targets\n\n@targets.register('.loud')\ndef loud(analytic, q):\n    return q.text().upper()\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    assert plugins.load(force=True) == ["wakeline_shout"] == plugins.load()
+    save_analytics([Analytic("one", "a where n")], str(tmp_path / "in.json"))
+    assert run(capsys, "build", str(tmp_path / "in.json"), str(tmp_path / "out.loud"))[0] == 0
+    assert (tmp_path / "out.loud").read_text() == "A WHERE N\n"
+    del targets.TARGETS["loud"]
+
+
 def test_dialect_from_configuration(tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"dialect": {"strict": True}, "time_unit": 1000}))
     config, _ = cli.config_of(str(tmp_path / "c.json"))

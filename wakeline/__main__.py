@@ -1,19 +1,22 @@
-"""Command line: query, optimize, check, build, shell."""
+"""Command line: query, optimize, check, build, shell. Plugins are loaded first."""
 
 from __future__ import annotations
 
 import argparse
 import glob
-import json
 import sys
 from collections.abc import Sequence
 from typing import Any
 
-from wakeline import __version__
+from wakeline import __version__, plugins
 from wakeline.api import Config, Engine, load_analytics, load_file, save_analytics
-from wakeline.errors import ParseError, QueryError
+from wakeline.errors import CompileError, ParseError, QueryError
+from wakeline.plans import targets
 from wakeline.plans.parser import Dialect
 from wakeline.plans.schema import Schema
+from wakeline.shell import shell
+
+FORMATS = ("json", "toml", "yaml", "yml")
 
 
 def session() -> Any:
@@ -42,37 +45,6 @@ def engine_of(args: argparse.Namespace, spark: Any) -> Engine:
     return engine.define(definitions) if definitions.strip() else engine
 
 
-def shell(engine: Engine, lines: Any = None) -> int:
-    """Commands: input FILE, schema, search QUERY, table QUERY, output FILE, clear, quit."""
-    from wakeline.sources import sinks
-
-    last = None
-    for line in lines or iter(lambda: input("wakeline> "), "quit"):
-        command, _, rest = line.strip().partition(" ")
-        try:
-            if command in ("quit", "exit"):
-                break
-            if command == "input":
-                engine.load(rest)
-            elif command == "schema":
-                print(Schema.of_frame(engine.frame).types)
-            elif command in ("search", "table"):
-                last = engine.run(rest, ordered=True)
-                texts = list(sinks.json_lines(last))
-                print(sinks.table([json.loads(x) for x in texts]) if command == "table" else "\n".join(texts))
-            elif command == "output" and last is not None:
-                sinks.write(last, rest)
-            elif command == "clear":
-                last = None
-            elif command:
-                print(f"unknown command {command}")
-        except (QueryError, ValueError) as e:
-            print(e)
-        except EOFError:
-            break
-    return 0
-
-
 def optimized(engine: Engine, text: str) -> str:
     """An expression, or else a query, as the rewriter leaves it."""
     try:
@@ -81,9 +53,18 @@ def optimized(engine: Engine, text: str) -> str:
         return engine.parse(text).text()
 
 
-def build(engine: Engine, source: str, target: str) -> None:
-    """Check analytics (a file or a glob of files) and save them as one file in the target's format."""
+def build(engine: Engine, source: str, target: str, bare: bool = False) -> None:
+    """Check analytics (a file or a glob of files) and write them as one file: in a format of analytics, or in that of the
+    target registered for its ending."""
     found = [a for path in sorted(glob.glob(source)) or [source] for a in load_analytics(path)]
+    ending = target.rpartition(".")[2]
+    if ending in targets.TARGETS:
+        text = targets.render(engine, found, ending, bare)
+        with open(target, "w", encoding="utf-8") as f:
+            f.write(text)
+        return
+    if ending not in FORMATS:
+        raise CompileError(f"no target for .{ending}; there are {', '.join(sorted([*FORMATS, *targets.TARGETS]))}")
     for a in found:
         engine.parse(a.query)
     save_analytics(found, target)
@@ -97,6 +78,7 @@ def main(argv: Sequence[str] | None = None) -> int:
     p.add_argument("-c", "--config")
     p.add_argument("source")
     p.add_argument("target")
+    p.add_argument("--bare", action="store_true", help="without what the target puts before analytics")
     for name in ("query", "optimize", "check", "shell"):
         p = sub.add_parser(name)
         p.add_argument("-c", "--config")
@@ -107,6 +89,7 @@ def main(argv: Sequence[str] | None = None) -> int:
             p.add_argument("--format", choices=["json", "jsonl", "json.gz", "jsonl.gz", "parquet", "orc", "csv"])
             p.add_argument("--encoding")
     args = top.parse_args(argv)
+    plugins.load()
     try:
         if args.command in ("optimize", "check"):
             engine = engine_of(args, None)
@@ -116,7 +99,7 @@ def main(argv: Sequence[str] | None = None) -> int:
                 engine.parse(args.text)
             return 0
         if args.command == "build":
-            build(engine_of(args, None), args.source, args.target)
+            build(engine_of(args, None), args.source, args.target, args.bare)
             return 0
         from wakeline.sources import frames, sinks
 
@@ -124,7 +107,7 @@ def main(argv: Sequence[str] | None = None) -> int:
         if args.command == "shell":
             if args.file:
                 engine.load(args.file)
-            return shell(engine)
+            return shell(engine, configure=lambda path: config_of(path))
         engine.parse(args.text)  # faults in the text come before any reading
         engine.frame = frames.read(engine.spark, args.file, args.format, args.encoding)
         got = engine.raw(args.text)
