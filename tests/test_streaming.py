@@ -23,14 +23,14 @@ def events(seed=1, n=120):
     return out
 
 
-def streamed(spark, tmp_path, rows, text, mode="append", batches=4, config=Config(ticks=1), **options):
+def streamed(spark, tmp_path, rows, text, mode="append", batches=4, config=Config(ticks=1), schema=SCHEMA, **options):
     source = tmp_path / "in"
     source.mkdir()
     size = -(-len(rows) // batches)
     for b in range(batches):
         (source / f"{b}.json").write_text("\n".join(map(json.dumps, rows[b * size : (b + 1) * size])))
         os.utime(source / f"{b}.json", (1_000_000 + b, 1_000_000 + b))  # files are taken by their time
-    df = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(str(source))
+    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source))
     out = Engine(spark, config).stream(text, df, **options)
     name = f"t{abs(hash((text, mode))) % 10**9}"
     query = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
@@ -113,6 +113,46 @@ def test_pipes_after_matches(spark, tmp_path):
     assert sorted(xs) == sorted({m[1]["x"] for m in found})
 
 
+KIN = "__ord long, __time long, __type string, k string, x long, pid long, ppid long, subtype string, process_name string"
+
+
+def kin(seed, n=160):
+    """Process and file events of two hosts, with creations, ends and boots."""
+    r, out = random.Random(seed), []
+    for k in range(n):
+        e = {"__ord": k, "__time": k, "__type": r.choice(["process"] * 4 + ["file"]), "k": r.choice("ab"), "x": r.randint(0, 9), "pid": r.randint(0, 7), "ppid": r.randint(0, 7), "subtype": r.choice(["create", "fork", "terminate", "other"])}
+        if e["pid"] == 4 and r.random() < 0.1:
+            e |= {"subtype": "create", "process_name": "System"}
+        out.append(e)
+    return out
+
+
+@pytest.mark.parametrize("kind", ["event", "child", "descendant"])
+@pytest.mark.parametrize("hold", [False, True])
+def test_ancestry_by_host(spark, tmp_path, kind, hold):
+    rows = kin(7 if hold else 9)
+    inner = Engine(spark).parse("process where x > 7").base
+    want = sorted(e["__ord"] for h in "ab" for mine in [[e for e in rows if e["k"] == h]] for e, held in zip(mine, machines.related(kind, inner, mine), strict=True) if held and e["x"] < 8)
+    if hold:
+        rows = sorted(rows, key=lambda e: e["__time"] + random.Random(e["__ord"]).uniform(0, 25))
+        rows += [{"__ord": 10**6 + k, "__time": 10**5, "__type": "file", "k": "c", "x": 9} for k in range(2)]
+    options = {"watermark": "30 seconds", "hold": True} if hold else {}
+    got = streamed(spark, tmp_path, rows, f"any where x < 8 and {kind} of [process where x > 7]", schema=KIN, config=Config(ticks=1, host_partition="k"), **options)
+    assert sorted(r["__ord"] for r in got) == want and want
+    assert set(got[0].asDict()) == {"__ord", "k", "x", "pid", "ppid", "subtype", "process_name"}
+
+
+@pytest.mark.parametrize("text", [
+    "any where descendant of [process where x > 3 and child of [process where x > 6]]",
+    "sequence by k [process where child of [process where x > 6]] [file where true]",
+    "any where child of [a where true] or event of [b where true]",
+])
+def test_one_relationship_a_stream(spark, text):
+    df = spark.readStream.format("rate").load().selectExpr("value AS __ord", "value AS __time", "'a' AS __type", "'k' AS k", "value AS x", "value AS pid", "value AS ppid")
+    with pytest.raises(CompileError):
+        Engine(spark, Config(host_partition="k")).stream(text, df)
+
+
 def test_held_events_need_a_watermark(spark):
     df = spark.readStream.format("rate").load().selectExpr("value AS __ord", "value AS __time", "'a' AS __type", "'k' AS k", "value AS x")
     with pytest.raises(CompileError):

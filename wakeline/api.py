@@ -169,17 +169,21 @@ class Engine:
     def context(self) -> Context:
         return Context(self.config.case_sensitive)
 
+    @property
+    def processes(self) -> lineage.Processes:
+        c = self.config
+        return lineage.Processes(c.pid_key, c.ppid_key, c.data_source is not None, c.host_partition)
+
     def _relations(self, df: DataFrame, q: t.Node) -> tuple[DataFrame, dict[t.Relation, Column]]:
         """df with a column for each relationship test of the query, inner ones first."""
         found: dict[t.Relation, Column] = {}
         nodes = [x for x in t.walk(q) if isinstance(x, t.Relation)]
-        processes = lineage.Processes(self.config.pid_key, self.config.ppid_key, self.config.data_source is not None, self.config.host_partition)
         for x in reversed(nodes):
             if x in found:
                 continue
             name = f"__relation{len(found)}"
             compiler = Compiler(Scope.frame(df), self.context, dict(found), self.functions)
-            df = lineage.mark(df, compiler, x, processes, name)
+            df = lineage.mark(df, compiler, x, self.processes, name)
             found[x] = F.col(name)
         return df, found
 

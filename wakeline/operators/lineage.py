@@ -139,8 +139,9 @@ def _marks(lives: DataFrame, kind: str) -> DataFrame:
     return fresh if known is None else known
 
 
-def mark(df: DataFrame, compiler: Compiler, relation: t.Relation, processes: Processes, name: str) -> DataFrame:
-    """df with a boolean column `name`: whether the relation holds at each row."""
+def facts(compiler: Compiler, relation: t.Relation, processes: Processes) -> dict[str, Column]:
+    """What a relation asks of an event: host, pid, ppid (a missing id is an id of its own), and whether it is a match of
+    the inner query, a creation, an end, a boot, a process event."""
     pid, ppid = _text(_value(compiler, processes.pid)), _text(_value(compiler, processes.ppid))
     is_process = F.col(TYPE) == "process"
     if processes.opcodes:
@@ -156,10 +157,14 @@ def mark(df: DataFrame, compiler: Compiler, relation: t.Relation, processes: Pro
     host = _text(_value(compiler, processes.host)) if processes.host else F.lit("")
     hit = no(condition_of(compiler, relation.query)) & able
     ended = no(is_process & end) & (~boot if relation.kind == "event" else F.lit(True))
-    named = lambda x: F.coalesce(F.concat(F.lit("="), x), F.lit(""))  # noqa: E731  # a missing id is an id of its own
-    slim = df.select(
-        F.col(ORD).alias("ord"), F.coalesce(host, F.lit("")).alias("host"), named(pid).alias("pid"), named(ppid).alias("ppid"), hit.alias("hit"), no(is_process & create).alias("create"), ended.alias("ended"), boot.alias("boot"), no(is_process).alias("process")
-    )
+    named = lambda x: F.coalesce(F.concat(F.lit("="), x), F.lit(""))
+    return {"host": F.coalesce(host, F.lit("")), "pid": named(pid), "ppid": named(ppid), "hit": hit, "create": no(is_process & create), "ended": ended, "boot": boot, "process": no(is_process)}
+
+
+def mark(df: DataFrame, compiler: Compiler, relation: t.Relation, processes: Processes, name: str) -> DataFrame:
+    """df with a boolean column `name`: whether the relation holds at each row."""
+    asked = facts(compiler, relation, processes)
+    slim = df.select(F.col(ORD).alias("ord"), *[c.alias(k) for k, c in asked.items()])
     # all that follows starts from these few columns
     slim = settle(slim, "ancestry")
     lives = settle(_lives(along(slim)), "ancestry-lives")
@@ -167,6 +172,6 @@ def mark(df: DataFrame, compiler: Compiler, relation: t.Relation, processes: Pro
     held = lives.where("what = 'look'").join(marks, LIFE).where("t <= ord").select(F.col("ord").alias("__o"), F.col("host").alias("__h"), F.col("pid").alias("__p")).distinct()
     # only what holds is joined back: where that is little, no event body is shuffled
     held = settle(held.withColumn("__held", F.lit(True)), "ancestry-held")
-    out = df.withColumns({"__host": F.coalesce(host, F.lit("")), "__pid": named(pid)})
+    out = df.withColumns({"__host": asked["host"], "__pid": asked["pid"]})
     out = out.join(held, (F.col(ORD) == F.col("__o")) & (F.col("__host") == F.col("__h")) & (F.col("__pid") == F.col("__p")), "left")
     return out.withColumn(name, F.coalesce("__held", F.lit(False))).drop("__o", "__h", "__p", "__held", "__host", "__pid")

@@ -5,13 +5,15 @@ is given); `count` is a running aggregate (complete or update mode). Sequences,
 matches by key in Spark's state store, and state that a maxspan has outlived is dropped by event time. Events of a
 micro-batch are applied in (time, order); if `hold` is set, events wait in the state until the watermark has passed
 them, so matches are those of the whole stream in order, however it is cut into micro-batches. `filter` and `unique`
-may follow matches.
+may follow matches. Ancestry keeps what is marked for each host (`host_partition` must be set); an event query may
+ask for one relationship, as Spark allows one such state in a stream. An id is kept until its process ends.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import groupby
 from typing import Any
 
 import pandas as pd
@@ -20,11 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wakeline.errors import CompileError
-from wakeline.operators import events, patterns, pipes
+from wakeline.operators import events, lineage, patterns, pipes
 from wakeline.plans import tree as t
 from wakeline.plans.compiler import Compiler, Scope
 from wakeline.sources.frames import META, ORD
 
+RELATION = "__relation"
 RESULT = "key string, events array<string>, __ord long, __time long"
 
 
@@ -80,9 +83,96 @@ class Machine:
         return None
 
 
-def _matches(engine: Any, df: DataFrame, q: t.Sequence | t.Join | t.Sample, watermark: str | None, hold: bool) -> DataFrame:
-    """RESULT rows. Held events are ready once no earlier one can come: Spark drops what the watermark has passed."""
+class Family:
+    """The marked process ids of one host, by one relationship; events of one place are simultaneous."""
+
+    def __init__(self, kind: str, state: Any = None) -> None:
+        self.kind = kind
+        self.matched, self.born, self.dying = (set(x) for x in state or ([], [], []))
+
+    def place(self, rows: list[dict[str, Any]]) -> list[bool]:
+        """Apply the events of a place; whether the relationship holds at each."""
+        if any(r["process"] for r in rows):
+            self.matched -= self.dying
+            self.born -= self.dying
+            self.dying = set()
+        if any(r["boot"] for r in rows):
+            self.matched, self.born = set(), set()
+        parents = self.matched | self.born if self.kind == "descendant" else self.matched
+        if self.kind != "event":
+            self.born |= {r["pid"] for r in rows if r["create"] and r["ppid"] in parents}
+        self.matched |= {r["pid"] for r in rows if r["hit"]}
+        self.dying |= {r["pid"] for r in rows if r["ended"]}
+        return [r["pid"] in (self.matched if self.kind == "event" else self.born) for r in rows]
+
+    def state(self) -> list[list[str]]:
+        return [sorted(self.matched), sorted(self.born), sorted(self.dying)]
+
+
+def _stamped(df: DataFrame, watermark: str, ticks: int) -> DataFrame:
+    """df(time, ..) with the time as a watermarked column ts."""
+    return df.withColumn("ts", F.timestamp_micros((F.col("time") * F.lit(1_000_000) / F.lit(ticks)).cast("bigint"))).withWatermark("ts", watermark)
+
+
+def _ms(time: int, ticks: int) -> int:
+    """The first millisecond at or after a time; a watermark there has passed it."""
+    return -(-(time * 1_000_000 // ticks) // 1000)
+
+
+#: Bodies keep microseconds, so that events read back from them are what they were.
+JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
+def _marked(engine: Any, df: DataFrame, compiler: Compiler, relation: t.Relation, name: str, watermark: str | None) -> DataFrame:
+    """df with a boolean column `name`. watermark: hold events until it has passed them."""
+    asked, ticks, kind = lineage.facts(compiler, relation, engine.processes), engine.config.ticks, relation.kind
+    flags = [k for k in asked if k != "host"]
+    x = df.select(F.col("__time").alias("time"), F.col(ORD).alias("ord"), *[c.alias(k) for k, c in asked.items()], F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), JSON).alias("body"))
+    if watermark:
+        x = _stamped(x, watermark, ticks)
+
+    def apply(group: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept, waiting = json.loads(state.get[0]) if state.exists else (None, [])
+        if not state.hasTimedOut:
+            for part in batches:
+                waiting.extend(map(list, zip(*[part[c].tolist() for c in ("time", "ord", *flags, "body")], strict=True)))
+        waiting.sort(key=lambda r: r[:2])
+        passed = state.getCurrentWatermarkMs() if watermark else 0
+        ready = next((k for k, r in enumerate(waiting) if _ms(r[0], ticks) > passed), len(waiting)) if watermark else len(waiting)
+        family, out = Family(kind, kept), []
+        for _, rows in groupby(waiting[:ready], key=lambda r: r[1]):
+            place = list(rows)
+            found = family.place([dict(zip(flags, r[2:-1], strict=True)) for r in place])
+            out += [(r[-1], x) for r, x in zip(place, found, strict=True)]
+        waiting = waiting[ready:]
+        state.update((json.dumps([family.state(), waiting]),))
+        if waiting:
+            state.setTimeoutTimestamp(max(_ms(waiting[0][0], ticks) - 1, passed + 1))
+        if out:
+            yield pd.DataFrame(out, columns=["body", "held"])
+
+    timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
+    got = x.groupBy("host").applyInPandasWithState(apply, "body string, held boolean", "marks string", "append", timeout)
+    return got.select(F.from_json("body", df.schema).alias("e"), F.col("held").alias(name)).select("e.*", name)
+
+
+def _relation(engine: Any, df: DataFrame, q: t.Query, watermark: str | None) -> tuple[DataFrame, dict[t.Relation, Any]]:
+    """df with a column for the relationship test of the query, if it has one."""
+    found = list(dict.fromkeys(x for x in t.walk(q) if isinstance(x, t.Relation)))
+    if not found:
+        return df, {}
+    if engine.config.host_partition is None:
+        raise CompileError("relationships on streams need host_partition: what they keep is kept by host")
+    if len(found) > 1 or not isinstance(q.base, t.EventQuery):
+        raise CompileError("Spark keeps one such state a stream: one relationship, in an event query; write its results and stream them on")
+    if watermark and any(p.name != "filter" for p in q.pipes):
+        raise CompileError("only filters may follow events that were held")
     compiler = Compiler(Scope.frame(df), engine.context, {}, engine.functions)
+    return _marked(engine, df, compiler, found[0], RELATION, watermark), {found[0]: F.col(RELATION)}
+
+
+def _matches(engine: Any, df: DataFrame, q: t.Sequence | t.Join | t.Sample, compiler: Compiler, watermark: str | None, hold: bool) -> DataFrame:
+    """RESULT rows. Held events are ready once no earlier one can come: Spark drops what the watermark has passed."""
     sequence = isinstance(q, t.Sequence)
     kind = "sequence" if sequence else "join" if isinstance(q, t.Join) else "sample"
     until = None if isinstance(q, t.Sample) else q.until
@@ -91,16 +181,12 @@ def _matches(engine: Any, df: DataFrame, q: t.Sequence | t.Join | t.Sample, wate
     steps = [{"fork": s.fork, "missing": s.missing} for s in q.steps]
     ticks = engine.config.ticks
     key = F.to_json(F.struct(F.lit(0).alias("z"), *names), {"ignoreNullFields": "false"}).alias("key")
-    body = F.to_json("event", {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("body")
+    body = F.to_json("event", JSON).alias("body")
     x = rows.select(key, "ord", "time", "rank", "pos", "hit", body)
     if watermark:
-        x = x.withColumn("ts", F.timestamp_micros((F.col("time") * F.lit(1_000_000) / F.lit(ticks)).cast("bigint"))).withWatermark("ts", watermark)
+        x = _stamped(x, watermark, ticks)
     timed = bool(watermark) and (hold or span is not None)
 
-    def ms(time: int) -> int:
-        """The first millisecond at or after a time; a watermark there has passed it."""
-        return -(-(time * 1_000_000 // ticks) // 1000)
-
     def apply(group: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pending, waiting, last = json.loads(state.get[0]) if state.exists else (None, [], 0)
         if not state.hasTimedOut:
@@ -109,7 +195,7 @@ def _matches(engine: Any, df: DataFrame, q: t.Sequence | t.Join | t.Sample, wate
                 waiting.extend(map(list, zip(*columns, strict=True)))
         waiting.sort(key=lambda r: r[:3])
         passed = state.getCurrentWatermarkMs() if timed else 0
-        ready = next((k for k, r in enumerate(waiting) if ms(r[0]) > passed), len(waiting)) if hold else len(waiting)
+        ready = next((k for k, r in enumerate(waiting) if _ms(r[0], ticks) > passed), len(waiting)) if hold else len(waiting)
         machine, out = Machine(steps, span, kind, pending), []
         for time, place, _, pos, hit, event in waiting[:ready]:
             found = machine.row(pos, bool(hit), time, event)
@@ -118,14 +204,14 @@ def _matches(engine: Any, df: DataFrame, q: t.Sequence | t.Join | t.Sample, wate
                 out.append((group[0], found, place, time))
         waiting = waiting[ready:]
         pending = machine.pending
-        if state.hasTimedOut and span is not None and ms(last + span) < passed:
+        if state.hasTimedOut and span is not None and _ms(last + span, ticks) < passed:
             pending = []  # outlived
         if waiting or any(p is not None for p in pending):
             state.update((json.dumps([pending or None, waiting, last]),))
             if waiting:
-                state.setTimeoutTimestamp(max(ms(waiting[0][0]) - 1, passed + 1))
+                state.setTimeoutTimestamp(max(_ms(waiting[0][0], ticks) - 1, passed + 1))
             elif timed and span is not None:
-                state.setTimeoutTimestamp(max(ms(last + span) + 1, passed + 1))
+                state.setTimeoutTimestamp(max(_ms(last + span, ticks) + 1, passed + 1))
         elif state.exists:
             state.remove()
         if out:
@@ -164,13 +250,13 @@ def stream(engine: Any, text: str, df: DataFrame, watermark: str | None = None,
         raise CompileError("events are held for a watermark; none is given")
     q = engine.parse(text)
     base = q.base
-    if any(isinstance(x, t.Relation) for x in t.walk(q)):
-        raise CompileError("relationships are not supported on streams")
+    df, relations = _relation(engine, df, q, watermark if hold else None)
+    compiler = Compiler(Scope.frame(df), engine.context, relations, engine.functions)
     if isinstance(base, t.EventQuery):
-        compiler = Compiler(Scope.frame(df), engine.context, {}, engine.functions)
-        got = events.event(df, compiler, base)
+        got = events.event(df, compiler, base).drop(RELATION)
     elif isinstance(base, (t.Sequence, t.Join, t.Sample)):
-        return _piped(engine, df, _matches(engine, df, base, watermark, hold), q.pipes, watermark) if q.pipes else _matches(engine, df, base, watermark, hold)
+        got = _matches(engine, df, base, compiler, watermark, hold)
+        return _piped(engine, df, got, q.pipes, watermark) if q.pipes else got
     else:
         raise CompileError(f"{type(base).__name__} is no query of streams")
     for p in q.pipes:
