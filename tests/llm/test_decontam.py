@@ -159,3 +159,19 @@ def test_least_edits_match_the_plain_table():
     for _ in range(1500):
         part, passage = [r.choice("abc") for _ in range(r.randint(1, 70))], [r.choice("abc") for _ in range(r.randint(0, 40))]
         assert decontam.least_edits(part, passage) == plain_edits(part, passage)
+
+
+def test_a_giant_item_has_a_pass_of_its_own(spark):
+    """Passages stay short for the other items; copies of both kinds are found."""
+    r = random.Random(12)
+    giant = " ".join(f"w{r.randrange(5000)}" for _ in range(20_000))
+    small = [" ".join(f"v{r.randrange(3000)}" for _ in range(30)) + ". " + " ".join(f"u{r.randrange(3000)}" for _ in range(8)) for _ in range(6)]
+    edge = "x" * 19 + " " + "e " * ((1 << 14) - 11) + "z"  # of 2^15 - 1 bytes, the longest of the small ones
+    assert len(edge) == (1 << 15) - 1
+    bench = spark.createDataFrame([(0, giant), *enumerate(small, 1), (7, edge), (8, edge + "z"), (9, None), (10, "")], "item_id long, text string")
+    blocks = list(decontam.item_blocks(bench))
+    assert [[i for i, _ in b] for b in blocks] == [[*range(1, 8)], [0, 8]]
+    docs = [(100, f"lead {giant} tail"), (101, "lead " * 50 + small[2] + " tail" * 50), (102, "clean words " * 400), (103, None), (104, giant[: len(giant) // 2])]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    assert {(x.doc_id, x.item_id) for x in got.collect()} == {(100, 0), (101, 3)}
+    assert {x.doc_id for x in decontam.clean(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()} == {102, 103, 104}

@@ -42,6 +42,9 @@ BLOCK = 8  # postings in a block of a list
 BLOCKS = 256  # blocks of items in the bounds on passages, at most
 #: A block of items that one pass over the documents carries: 16 MB of text at most, or one item.
 PASS_BYTES = 16 << 20
+#: Items of under 2^15 bytes share blocks, then those of under 2^19, and so on: a passage is twice the longest item of
+#: its block, so a giant item makes long passages in its own pass alone.
+SMALL_BITS, CLASS_BITS = 15, 4
 _FOLD = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -282,14 +285,18 @@ def matches(texts: list[str], index: Index, threshold: float = THRESHOLD, overla
 
 
 def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int | None, str]]]:
-    """The items, in blocks of at most PASS_BYTES; the driver holds one block at a time."""
-    block, size = [], 0
-    for i, t in benchmark.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).orderBy(id_col, text_col).toLocalIterator():
+    """The items, in blocks of one class of sizes and at most PASS_BYTES; the driver holds one block at a time."""
+    block, size, now = [], 0, 0
+    items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    bits = F.length(F.bin(F.octet_length("t")))
+    items = items.select(F.floor(F.greatest(bits - SMALL_BITS + CLASS_BITS - 1, F.lit(0)) / CLASS_BITS).cast("int").alias("class"), "i", "t")
+    for kind, i, t in items.orderBy("class", "i", "t").toLocalIterator():
         if not words_of(t):
             continue
-        if block and size + len(t.encode()) > PASS_BYTES:
+        if block and (kind != now or size + len(t.encode()) > PASS_BYTES):
             yield block
             block, size = [], 0
+        now = kind
         block.append((i, t))
         size += len(t.encode())
     if block:

@@ -8,7 +8,9 @@ found in a segment tree over capacities. A packed row is one row of the id matri
 segment its document and the token offset in it.
 
 Packing is local to a stretch of a scan task's documents, bounded in tokens and pieces, so
-nothing is shuffled and a lost task is redone alone; a few thousand pieces fill rows almost fully.
+nothing is shuffled and a lost task is redone alone; a few thousand pieces fill rows almost fully. So which documents
+share a row follows from how files are cut into tasks: a run over the same files and settings gives the same rows, one
+over files cut otherwise packs the same tokens into other rows.
 
 Defined results: null and empty texts are documents of the end token alone; null ids are kept as
 null; repeated rows are packed as often as they stand; very long texts become many pieces; ties in
