@@ -45,6 +45,18 @@ def test_json_files(spark, tmp_path, ending, opener):
     assert [r["__type"] for r in e.raw("any where pid == 2").orderBy("__ord").collect()] == ["process", "network"]
 
 
+@pytest.mark.parametrize("ending, opener", [(".json", open), (".json.gz", gzip.open), (".jsonl.gz", gzip.open)])
+def test_files_without_events(spark, tmp_path, ending, opener):
+    """An empty file among others holds no events; text that is no JSON is still an error."""
+    array = ending.startswith(".json") and "jsonl" not in ending
+    for k, texts in enumerate(([""], ["", " "], [json.dumps(EVENTS)] if array else map(json.dumps, EVENTS), ["[]"])):
+        write(str(tmp_path / f"e{k}{ending}"), texts, opener)
+    assert frames.read(spark, str(tmp_path), ending[1:]).count() == len(EVENTS)
+    write(str(tmp_path / f"bad{ending}"), ['[{"event_type": '], opener)
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        frames.read(spark, str(tmp_path), ending[1:]).count()
+
+
 @pytest.mark.parametrize("encoding", ["utf-16", "latin-1"])
 def test_encodings(spark, tmp_path, encoding):
     path = str(tmp_path / "e.jsonl")
