@@ -9,6 +9,7 @@ import pytest
 
 from tests import machines
 from wakeline.api import Config, Engine
+from wakeline.operators import lineage
 from wakeline.operators.patterns import Timing
 from wakeline.plans.parser import Dialect
 
@@ -144,6 +145,33 @@ def test_ancestry_without_hosts(spark, kind):
     assert {r["__ord"] for r in e.raw(text, df).collect()} == want and want
 
 
+@pytest.mark.parametrize("at_once, rounds", [(40, 16), (40, 1), (20, 0)])
+def test_ancestry_in_rounds_and_stretches(spark, monkeypatch, at_once, rounds):
+    """What one task sweeps, what rounds pass on and what goes by stretches of places give the same marks."""
+    monkeypatch.setattr(lineage, "AT_ONCE", at_once)
+    monkeypatch.setattr(lineage, "ROUNDS", rounds)
+    monkeypatch.setattr(lineage, "SHIFT", 5)
+    rows = processes(11)[:200]
+    df = spark.createDataFrame([tuple(e[c.split()[0]] for c in PROCESS.split(", ")) for e in rows], PROCESS)
+    e = Engine(spark)
+    text = "any where descendant of [process where x == 1]"
+    want = {x["__ord"] for x, held in zip(rows, machines.related("descendant", e.parse(text).base.where.query, rows), strict=True) if held}
+    assert {r["__ord"] for r in e.raw(text, df).collect()} == want and want
+
+
+@pytest.mark.parametrize("at_once", [1 << 20, 60])
+def test_ancestry_of_a_long_line(spark, monkeypatch, at_once):
+    """Each process makes the next: the frames written do not grow with the depth."""
+    monkeypatch.setattr(lineage, "AT_ONCE", at_once, raising=False)
+    monkeypatch.setattr(lineage, "ROUNDS", 2, raising=False)
+    written, settle = [], lineage.settle
+    monkeypatch.setattr(lineage, "settle", lambda df, what: written.append(what) or settle(df, what))
+    df = spark.createDataFrame([(0, k, k, "process", "create", k + 10, k + 9, "x", int(k == 1)) for k in range(120)], PROCESS)
+    got = Engine(spark).raw("any where descendant of [process where x == 1]", df)
+    assert sorted(r["__ord"] for r in got.collect()) == list(range(2, 120))
+    assert len(written) <= 12
+
+
 def test_nested_ancestry(spark):
     rows = [
         (0, 1, 1, "process", "create", 10, 1, "root.exe", 0), (0, 2, 2, "process", "create", 20, 10, "mid.exe", 0), (0, 3, 3, "process", "create", 30, 20, "leaf.exe", 0), (0, 4, 4, "file", None, 30, None, None, 7),

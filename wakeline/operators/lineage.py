@@ -4,8 +4,9 @@ A pid is marked by a match (or by its creation under a marked parent), and clear
 event after its termination or at a boot. What lies between two clears of a pid is a life. A life has one
 number, the first place at which it is marked, and a test at a place holds if that is not later. So
 descendants are an earliest arrival: a creation links the life of its parent to the life of its child at
-its place, and passes a mark on if the parent's life is marked before it. Lives that a round
-improved are all that the next round looks at.
+its place, and passes a mark on if the parent's life is marked before it. Rounds look only at lives that the
+round before improved, and drop the links to what is born before; few links left, or a descent of many rounds, are
+swept in the order of places, which needs one pass for any depth.
 
 Events that share a place in the order are simultaneous: each sees the matches of all of them, and a
 creation does not see those of its own place. Rows with equal places are never multiplied.
@@ -13,7 +14,10 @@ creation does not see those of its own place. Rows with equal places are never m
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +29,9 @@ from wakeline.plans import tree as t
 from wakeline.plans.compiler import Compiler
 from wakeline.sources.frames import ORD, TYPE
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 
 @dataclass(frozen=True)
 class Processes:
@@ -48,95 +55,135 @@ def _text(x: v.Value) -> Column:
     return v.text_of(x).col
 
 
-SHIFT = 22  # bits of the order in one window at most: four million rows of a host, whatever its length
+SHIFT = 17  # bits of the order in one window at most, so that the windows of one host are many tasks, whatever its length
 
 
-def _scan(rows: DataFrame, at: str, bits: int) -> DataFrame:
-    """rows(host, at, first, boots), one a place, with `after`, the least `first` at later places of the host, and `before`,
-    the sum of `boots` at earlier places. Windows are over stretches of 2^SHIFT places; what lies beyond
-    comes from the stretches' own sums, scanned in the same way."""
+def _scan(rows: DataFrame, at: str, bits: int, total: bool, own: bool = False) -> DataFrame:
+    """rows(host, at, x, ..) with `run`: the least x at later places of the host, or the total of x at earlier places (with
+    `own` also at its own). Windows are over stretches of 2^SHIFT places; what lies beyond comes from the stretches' own
+    folds, scanned in the same way. Rows that share a place stay as they are."""
     top = bits <= SHIFT
     group = [] if top else [f"{at}_"]
+    fold = F.sum if total else F.min
     x = rows if top else rows.withColumn(f"{at}_", F.shiftright(at, SHIFT))
-    # each place is one row; looking ahead is looking back in falling order, as frames that reach ahead take a square of the time
-    back = Window.partitionBy("host", *group).orderBy(F.desc(at)).rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("after", F.min("first").over(back))
-    w = Window.partitionBy("host", *group).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("before", F.coalesce(F.sum("boots").over(w), F.lit(0)))
+    # looking ahead is looking back in falling order, as frames that reach ahead take a square of the time
+    w = Window.partitionBy("host", *group).orderBy(F.col(at) if total else -F.col(at)).rangeBetween(Window.unboundedPreceding, 0 if own else -1)
+    x = x.withColumn("run", fold("x").over(w))
     if top:
         return x
-    sums = rows.groupBy("host", F.shiftright(at, SHIFT).alias(f"{at}_")).agg(F.min("first").alias("first"), F.sum("boots").alias("boots"))
-    beyond = _scan(sums, f"{at}_", bits - SHIFT).select("host", f"{at}_", F.col("after").alias("beyond"), F.col("before").alias("earlier"))
-    x = x.join(beyond, ["host", f"{at}_"])
-    return x.withColumns({"after": F.coalesce("after", "beyond"), "before": F.col("before") + F.col("earlier")}).drop("beyond", "earlier", f"{at}_")
+    sums = rows.groupBy("host", F.shiftright(at, SHIFT).alias(f"{at}_")).agg(fold("x").alias("x"))
+    beyond = _scan(sums, f"{at}_", bits - SHIFT, total).select("host", f"{at}_", F.col("run").alias("beyond"))
+    both = F.coalesce("run", F.lit(0)) + F.coalesce("beyond", F.lit(0)) if total else F.least("run", "beyond")
+    return x.join(beyond, ["host", f"{at}_"]).withColumn("run", both).drop("beyond", f"{at}_")
 
 
-def along(slim: DataFrame) -> DataFrame:
-    """slim with `epoch`, the boots of a host before each place and at it, and for ended rows `next`, the place of the
-    process event after it. One row a place is scanned, and nothing where nothing boots or ends."""
+def along(slim: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """slim with `epoch`, the boots of a host before each place and at it, and its ended rows with `next`, the place of the
+    process event after each. Only what boots or ends is scanned for."""
     r = slim.agg(F.min("ord").alias("low"), F.max("ord").alias("high"), F.max("boot").alias("boots"), F.max("ended").alias("ends")).first()
-    if r.low is None or not (r.boots or r.ends):
-        return slim.withColumns({"epoch": F.lit(0).cast("bigint"), "next": F.lit(None).cast("bigint")})
-    places = slim.groupBy("host", (F.col("ord") - r.low).alias("at")).agg(F.min(F.when(F.col("process"), F.col("ord"))).alias("first"), F.sum(F.col("boot").cast("bigint")).alias("boots"))
-    x = _scan(places, "at", (r.high - r.low).bit_length()).select("host", (F.col("at") + r.low).alias("ord"), (F.col("before") + F.col("boots")).alias("epoch"), "after")
-    return slim.join(x, ["host", "ord"]).withColumn("next", F.when(F.col("ended"), F.col("after"))).drop("after")
+    at = lambda x: x.withColumn("at", F.col("ord") - r.low)
+    bits = 0 if r.low is None else (r.high - r.low).bit_length()
+    if r.boots:
+        x = at(slim).withColumn("x", F.col("boot").cast("bigint"))
+        slim = settle(_scan(x, "at", bits, total=True, own=True).withColumnRenamed("run", "epoch").drop("at", "x"), "ancestry-epochs")
+    else:
+        slim = slim.withColumn("epoch", F.lit(0).cast("bigint"))
+    if not r.ends:
+        return slim, None
+    x = at(slim.where("process").select("host", "epoch", "pid", "id", "ended", "ord")).withColumn("x", F.col("ord"))
+    return slim, _scan(x, "at", bits, total=False).where("ended AND run IS NOT NULL").withColumnRenamed("run", "next")
 
 
-LIFE = ["host", "epoch", "pid", "since"]
-HOPS = 4  # links that marks pass between two cuts
+AT_ONCE = 1 << 20  # links, 32 bytes each, that one task takes to the end; more go in rounds
+ROUNDS = 16  # after these, what is left goes by stretches of places, so that no depth of descent matters
 
 
 def _lives(slim: DataFrame) -> DataFrame:
-    """Rows (what, host, epoch, pid, since, ord, other): clears apart, all that happens to a pid, by its life.
-
-    what: birth (of a child `other` of this pid), made (this pid, by the parent `other`), hit, look.
-    """
-    row = lambda what, pid, other, rank: F.struct(F.lit(what).alias("what"), pid.alias("pid"), other.cast("string").alias("other"), F.lit(rank).alias("rank"), F.col("ord").alias("ord"))
-    pid, ppid, none = F.col("pid"), F.col("ppid"), F.lit(None)
-    parts = [
-        F.when(F.col("create"), row("birth", ppid, pid, 1)), F.when(F.col("create"), row("made", pid, ppid, 2)), F.when(F.col("hit"), row("hit", pid, none, 2)), row("look", pid, none, 3),
+    """Rows (what, id, host, pid, ord, create, hit, life): each event under its own pid (own), and each creation under its
+    parent's (birth). A life is named by the first of its rows."""
+    x, ended = along(slim)
+    names = ["host", "epoch", "pid", "ord", "id"]
+    no = F.lit(False)
+    rows = x.select(F.lit(0).alias("what"), *names, "create", "hit")
+    rows = rows.union(x.where("create").select(F.lit(1), "host", "epoch", "ppid", "ord", "id", no, no))
+    if ended is not None:
         # the next process event is of the same epoch or a boot, which clears all anyway
-        F.when(F.col("next").isNotNull(), row("clear", pid, none, 0).withField("ord", F.col("next"))),
-    ]
-    x = slim.select("host", "epoch", F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("p")).select("host", "epoch", "p.*")
-    line = Window.partitionBy("host", "epoch", "pid").orderBy("ord", "rank")
-    since = F.last(F.when(F.col("what") == "clear", F.col("ord")), ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
-    return x.withColumn("since", F.coalesce(since, F.lit(-(1 << 63)))).where("what <> 'clear'").select("what", *LIFE, "ord", "other")
+        rows = rows.union(ended.select(F.lit(2), "host", "epoch", "pid", "next", "id", no, no))
+    clear = F.col("what") == 2
+    line = Window.partitionBy("host", "epoch", "pid").orderBy("ord", ~clear).rowsBetween(Window.unboundedPreceding, 0)
+    name = F.col("id") * 3 + F.col("what")
+    life = F.coalesce(F.last(F.when(clear, name), ignorenulls=True).over(line), F.first(name).over(line))
+    return rows.withColumn("life", life).where(~clear).drop("epoch")
+
+
+OWN, BIRTH = "what = 0", "what = 1"
+
+
+def _swept(links: DataFrame, marks: DataFrame) -> DataFrame:
+    """(life, t): the first marks that links(parent, child, ord) pass on, taken to the end by one task in the order of places."""
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        table = [b for b in batches if b.num_rows]
+        known: dict[int, int] = {}  # the first mark of each life
+        for b in table:
+            known.update((p, t) for p, t in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True) if t is not None)
+        born: dict[int, int] = {}
+        for b in table:
+            for parent, child, at in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                # a place is later than all marks that could reach it, so the first that comes is the least
+                if known.get(parent, at) < at and child not in born:
+                    born[child] = at
+                    known[child] = min(at, known.get(child, at))
+        yield pa.RecordBatch.from_arrays([pa.array(born.keys(), pa.int64()), pa.array(born.values(), pa.int64())], names=["life", "t"])
+
+    x = links.join(marks.select(F.col("life").alias("parent"), "t"), "parent", "left")
+    return x.select("parent", "child", "ord", "t").repartition(1).sortWithinPartitions("ord").mapInArrow(sweep, "life long, t long")
 
 
-def _passed(edges: DataFrame, marks: DataFrame) -> DataFrame:
-    """Lives (LIFE, t) of the children that creations after their parents' marks(LIFE, t) make."""
-    m = marks.toDF(*(f"m_{c}" for c in LIFE), "t")
-    same = F.col("ord") > F.col("t")
-    for c in LIFE:
-        same &= F.col(f"p_{c}") == F.col(f"m_{c}")
-    return edges.join(m, same).groupBy(*LIFE).agg(F.min("ord").alias("t"))
+def _passed(links: DataFrame, marks: DataFrame) -> DataFrame:
+    """(life, t) of the children that creations after their parents' marks(life, t) make."""
+    return links.join(marks.select(F.col("life").alias("parent"), "t"), "parent").where("ord > t").groupBy(F.col("child").alias("life")).agg(F.min("ord").alias("t"))
 
 
 def _marks(lives: DataFrame, kind: str) -> DataFrame:
-    """(LIFE, t): the first place at which each life is marked."""
-    hits = lives.where("what = 'hit'").groupBy(*LIFE).agg(F.min("ord").alias("t"))
+    """(life, t): the first place at which each life is marked."""
+    hits = lives.where(OWN).where("hit").groupBy("life").agg(F.min("ord").alias("t"))
     if kind == "event":
         return hits
-    births = lives.where("what = 'birth'").select(*[F.col(c).alias(f"p_{c}") for c in LIFE], "ord", F.col("other").alias("child"))
-    made = lives.where("what = 'made'").select(*LIFE, F.col("ord").alias("o"), "other")
-    same = (F.col("p_host") == F.col("host")) & (F.col("p_epoch") == F.col("epoch")) & (F.col("ord") == F.col("o")) & (F.col("child") == F.col("pid")) & (F.col("p_pid") == F.col("other"))
-    edges = births.join(made, same).select(*[f"p_{c}" for c in LIFE], *LIFE, "ord")
+    births = lives.where(BIRTH).select("id", F.col("life").alias("parent"), "ord")
+    links = births.join(lives.where(OWN).where("create").select("id", F.col("life").alias("child")), "id").select("parent", "child", "ord")
     if kind == "child":
-        return _passed(edges, hits)
-    edges = settle(edges.distinct(), "ancestry-links")
-    known = None
-    fresh = settle(_passed(edges, hits), "ancestry-marks")
-    while not fresh.isEmpty():
-        known = fresh if known is None else settle(known.union(fresh).groupBy(*LIFE).agg(F.min("t").alias("t")), "ancestry-marks")
-        hop = found = _passed(edges, fresh)
-        for _ in range(1, HOPS):
-            hop = _passed(edges, hop)
-            found = found.union(hop)
-        best = found.groupBy(*LIFE).agg(F.min("t").alias("t"))
-        old = known.withColumnRenamed("t", "old")
-        fresh = settle(best.join(old, LIFE, "left").where("old IS NULL OR t < old").select(*LIFE, "t"), "ancestry-marks")
-    return fresh if known is None else known
+        return _passed(links, hits)
+    links = settle(links, "ancestry-links")
+    # by life: t, its first mark, of a match or of a birth; born, the first mark of a birth; fresh, whether t is of this round
+    marks = settle(hits.select("life", "t", F.lit(None).cast("bigint").alias("born"), F.lit(True).alias("fresh")), "ancestry-marks")
+    n = links.count()
+    for _ in range(ROUNDS):
+        if n <= AT_ONCE:
+            break
+        best = _passed(links, marks.where("fresh")).withColumnRenamed("t", "new")
+        both = marks.drop("fresh").join(best, "life", "full")
+        fresh = F.coalesce(F.col("new") < F.col("t"), F.col("new").isNotNull())
+        marks = settle(both.select("life", F.least("t", "new").alias("t"), F.least("born", "new").alias("born"), fresh.alias("fresh")), "ancestry-marks")
+        moved = marks.where("fresh").count()
+        if not moved:
+            return marks.where("born IS NOT NULL").select("life", F.col("born").alias("t"))
+        if moved * 64 > n:
+            # links whose child is born before serve no more; written anew only where these may be many
+            known = marks.select(F.col("life").alias("child"), "born")
+            links = settle(links.join(known, "child", "left").where("born IS NULL OR ord < born").select("parent", "child", "ord"), "ancestry-links")
+            n = links.count()
+    pieces = 1 if n <= AT_ONCE else -(-2 * n // AT_ONCE)
+    cuts = links.approxQuantile("ord", [k / pieces for k in range(1, pieces)], 0.25 / pieces) if pieces > 1 else []
+    ends = [None, *sorted({int(x) for x in cuts}), None]
+    for low, high in pairwise(ends):
+        part = links if low is None else links.where(F.col("ord") > low)
+        late = _swept(part if high is None else part.where(F.col("ord") <= high), marks).withColumnRenamed("t", "new")
+        both = marks.select("life", "t", "born").join(late, "life", "full")
+        marks = settle(both.select("life", F.least("t", "new").alias("t"), F.least("born", "new").alias("born")), "ancestry-marks")
+    return marks.where("born IS NOT NULL").select("life", F.col("born").alias("t"))
 
 
 def facts(compiler: Compiler, relation: t.Relation, processes: Processes) -> dict[str, Column]:
@@ -164,12 +211,12 @@ def facts(compiler: Compiler, relation: t.Relation, processes: Processes) -> dic
 def mark(df: DataFrame, compiler: Compiler, relation: t.Relation, processes: Processes, name: str) -> DataFrame:
     """df with a boolean column `name`: whether the relation holds at each row."""
     asked = facts(compiler, relation, processes)
-    slim = df.select(F.col(ORD).alias("ord"), *[c.alias(k) for k, c in asked.items()])
+    slim = df.select(F.col(ORD).alias("ord"), F.monotonically_increasing_id().alias("id"), *[c.alias(k) for k, c in asked.items()])
     # all that follows starts from these few columns
     slim = settle(slim, "ancestry")
-    lives = settle(_lives(along(slim)), "ancestry-lives")
-    marks = _marks(lives, relation.kind).toDF(*LIFE, "t")
-    held = lives.where("what = 'look'").join(marks, LIFE).where("t <= ord").select(F.col("ord").alias("__o"), F.col("host").alias("__h"), F.col("pid").alias("__p")).distinct()
+    lives = settle(_lives(slim), "ancestry-lives")
+    marks = _marks(lives, relation.kind)
+    held = lives.where(OWN).join(marks, "life").where("t <= ord").select(F.col("ord").alias("__o"), F.col("host").alias("__h"), F.col("pid").alias("__p")).distinct()
     # only what holds is joined back: where that is little, no event body is shuffled
     held = settle(held.withColumn("__held", F.lit(True)), "ancestry-held")
     out = df.withColumns({"__host": asked["host"], "__pid": asked["pid"]})
