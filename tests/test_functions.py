@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from wakeline.api import Engine
 from wakeline.functions.scalar import Context
 from wakeline.plans import parser
 from wakeline.plans.compiler import Compiler, Scope, evaluate
@@ -149,3 +150,38 @@ def test_filters_reach_the_scan(spark, tmp_path):
     e = Engine(spark, Config(case_sensitive=True)).load(spark.read.parquet(path), type="kind", time=F.lit(0), order="id")
     plan = e.run('a where v > 1 and startsWith(kind, "a")').select("id")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(kind,a)" in plan and "GreaterThan(v,1.0)" in plan and "StringStartsWith(kind,a)" in plan and "other" not in plan.partition("ReadSchema")[2]
+
+
+def test_numbers_of_any_length(spark):
+    """Texts on both sides of 38 places and far beyond, in several bases, against Python's whole numbers."""
+    r = random.Random(5)
+    kinds = "0123456789abcdefghijklmnopqrstuvwxyz"
+    bases = [2, 7, 16, 36]
+    texts = ["-1234567890123456789" + str(10**6 + 3), "0", "-0", "-" + "0" * 50, "z" * 26, "x y", "", None]
+    for b in bases:
+        texts += [r.choice(["", "-", "+"]) + "".join(r.choice(kinds[:b]) for _ in range(n)) for n in (1, 3, 24, 25, 26, 27, 60, 130, 400)]
+        texts += [in_base(x, b, kinds) for x in (10**38 - 1, 10**38, 10**38 + 1, -(10**38))]
+    texts += ["0x" + "f" * 40, "-0X" + "1" * 33]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, t string")
+    c = Compiler(Scope.frame(df))
+    edge = 10**38
+    for b in bases:
+        checks = [f"number(t, {b}) == null", f"number(t, {b}) > {edge}", f"number(t, {b}) <= -{edge - 1}", f"number(t, {b}) == {edge + 1}", f"number(t, {b}) in (0, {edge})", f"number(t, {b}) == number(t, 36)", f"number(t, {b}) < 1.5", f"string(number(t, {b}))", f"not number(t, {b})"]
+        got = df.orderBy("k").select(*[c.value(parser.expression(x)).col.alias(f"c{k}") for k, x in enumerate(checks)]).collect()
+        for text, row in zip(texts, got, strict=True):
+            assert list(row) == [evaluate(parser.expression(x), {"t": text}) for x in checks], (b, text)
+    rows = df.orderBy("k").select(c.value(parser.expression("number(t)")).col).collect()
+    for text, (n,) in zip(texts, rows, strict=True):
+        want = evaluate(parser.expression("number(t)"), {"t": text})
+        assert n == (None if want is None else float(want) if abs(want) < 10**308 else float("inf") * (1 if want > 0 else -1)), text
+    ordered = Engine(spark).load(df, type=F.lit("x"), time=F.lit(0), order="k", unique=True)
+    want = sorted((k for k, x in enumerate(texts)), key=lambda k: (evaluate(parser.expression("number(t, 36)"), {"t": texts[k]}) or 0, k))
+    assert [x["k"] for x in ordered.raw("x where true | sort number(t, 36)").orderBy("__ord").collect()] == want
+
+
+def in_base(x, b, kinds):
+    n, out = abs(x), ""
+    while n:
+        n, k = divmod(n, b)
+        out = kinds[k] + out
+    return "-" * (x < 0) + out

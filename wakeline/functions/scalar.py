@@ -263,26 +263,52 @@ def _py_between(ctx: Context, s: Any, left: Any, right: Any, greedy: Any = False
 register(Function("between", ((STRING,), (STRING,), (STRING,), (BOOLEAN,)), STRING, _between, _py_between, least=3))
 
 
+DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz"
+LIMB = 10**9
+
+
+def _decimal_text(text: Column, base: int) -> Column:
+    """Digits of a base as decimal text, whatever their number: limbs of nine places, least first, that take some digits at a
+    time. A limb passes on what is above LIMB to the next one only, so it stays below 1.2 LIMB."""
+    take = next(k for k in range(26, 0, -1) if base**k <= LIMB // 10)
+    of = lambda x: F.lit(x).cast("bigint")
+    over = lambda x: F.call_function("div", x, of(LIMB))
+    padded = F.lpad(text, (F.ceil(F.length(text) / take) * take).cast("int"), "0")
+
+    def step(limbs: Column, part: Column) -> Column:
+        grown = F.transform(limbs, lambda x: x * of(base**take))
+        low = F.concat(F.transform(grown, lambda x: x % of(LIMB)), F.array(of(0)))
+        high = F.concat(F.array(F.conv(part, base, 10).cast("bigint")), F.transform(grown, over))
+        return F.zip_with(low, high, lambda x, y: x + y)
+
+    limbs = F.aggregate(F.regexp_extract_all(padded, F.lit(f".{{{take}}}"), F.lit(0)), F.array(of(0)), step)
+    start = F.struct(of(0).alias("carry"), F.lit("").alias("text"))
+    written = lambda a, x: F.struct(over(x + a["carry"]).alias("carry"), F.concat(F.lpad(((x + a["carry"]) % of(LIMB)).cast("string"), 9, "0"), a["text"]).alias("text"))
+    return F.regexp_replace(F.aggregate(limbs, start, written, lambda a: F.concat(a["carry"].cast("string"), a["text"])), "^0+(?=.)", "")
+
+
 def _number(_: Context, args: list[Value]) -> Value:
     s = v.as_kind(args[0], STRING).col
     base = args[1].value if len(args) > 1 else None
     sign = F.when(s.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
     bare = F.lower(F.regexp_replace(s, "^[+-]", ""))
-    digits = "0123456789abcdefghijklmnopqrstuvwxyz"
-
-    def whole(text: Column, b: int) -> Column:
-        """Digits of a base as a decimal of 38 places; null beyond those."""
-        grow = lambda acc, c: F.try_add(F.try_multiply(acc, F.lit(b).cast("decimal(38,0)")), (F.instr(F.lit(digits), c) - 1).cast("decimal(38,0)")).cast("decimal(38,0)")
-        each = F.regexp_extract_all(F.regexp_replace(text, "^0+", ""), F.lit("."), F.lit(0))
-        value = F.aggregate(each, F.lit(0).cast("decimal(38,0)"), grow)
-        return F.when(text.rlike(f"^[{digits[:b]}]+$"), value)
 
-    signed = lambda x: F.when(sign < 0, -x).otherwise(x)
-    hexed = F.when(bare.startswith("0x"), whole(F.substring(bare, 3, F.length(bare)), 16))
+    def whole(text: Column, b: int) -> tuple[Column, Column]:
+        """Digits of a base as a decimal of 38 places, null beyond those, and as decimal text of any length."""
+        grow = lambda acc, c: F.try_add(F.try_multiply(acc, F.lit(b).cast("decimal(38,0)")), (F.instr(F.lit(DIGITS), c) - 1).cast("decimal(38,0)")).cast("decimal(38,0)")
+        bare = F.regexp_replace(text, "^0+", "")
+        value = F.aggregate(F.regexp_extract_all(bare, F.lit("."), F.lit(0)), F.lit(0).cast("decimal(38,0)"), grow)
+        ok = text.rlike(f"^[{DIGITS[:b]}]+$")
+        signed = F.when(sign < 0, -value).otherwise(value)
+        size = F.coalesce(value.cast("string"), _decimal_text(bare, b))
+        return F.when(ok, signed), F.when(ok, F.when((sign < 0) & (size != "0"), F.concat(F.lit("-"), size)).otherwise(size))
+
+    hexed = [F.when(bare.startswith("0x"), x) for x in whole(F.substring(bare, 3, F.length(bare)), 16)]
     if base not in (None, 10):
-        return Value(signed(F.coalesce(hexed, whole(bare, 16)) if base == 16 else whole(bare, base)), NUMBER, integral=True)
+        col, digits = (F.coalesce(h, x) for h, x in zip(hexed, whole(bare, 16), strict=True)) if base == 16 else whole(bare, base)
+        return Value(col, NUMBER, integral=True, digits=digits)
     plain = F.when(s.rlike(r"^[+-]?(\d*\.\d+|\d+)$"), s.try_cast("double"))
-    return Value(plain if base == 10 else F.coalesce(plain, signed(hexed).cast("double")), NUMBER)
+    return Value(plain if base == 10 else F.coalesce(plain, hexed[0].cast("double"), hexed[1].try_cast("double")), NUMBER)
 
 
 def py_number(_: Context, s: Any, base: Any = None) -> Any:
@@ -470,6 +496,10 @@ def compare(ctx: Context, op: str, a: Value, b: Value) -> Column:
         # folding a literal here keeps the other side's expression simple
         x = F.lit(ctx.py(a.value)) if a.known and a.value is not None else ctx.fold(x)
         y = F.lit(ctx.py(b.value)) if b.known and b.value is not None else ctx.fold(y)
+    a, b = v.as_kind(a, kind), v.as_kind(b, kind)
+    if a.digits is not None or b.digits is not None:
+        # exact between whole numbers: as decimals if they fit, else by their digits
+        return F.coalesce(f[op](x, y), f[op](v.rank_of(a), v.rank_of(b))) if a.integral and b.integral else f[op](v.double_of(a), v.double_of(b))
     return f[op](x, y)
 
 

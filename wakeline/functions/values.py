@@ -24,6 +24,8 @@ class Value:
     #: literal value, if known while compiling
     known: bool = False
     value: Any = None
+    #: a whole number of any length as decimal text, where `col`, of 38 places at most, may be null
+    digits: Column | None = None
 
 
 def null(kind: str = NULL) -> Value:
@@ -37,8 +39,9 @@ def literal(v: Any) -> Value:
     if isinstance(v, bool):
         return Value(F.lit(v), BOOLEAN, known=True, value=v)
     if isinstance(v, int):
-        col = F.lit(v).cast("bigint") if abs(v) < 2**63 else F.lit(str(v)).cast("decimal(38,0)")
-        return Value(col, NUMBER, integral=True, known=True, value=v)
+        if abs(v) < 2**63:
+            return Value(F.lit(v).cast("bigint"), NUMBER, integral=True, known=True, value=v)
+        return Value(F.lit(str(v)).try_cast("decimal(38,0)"), NUMBER, integral=True, known=True, value=v, digits=F.lit(str(v)))
     if isinstance(v, float):
         return Value(F.lit(v).cast("double"), NUMBER, known=True, value=v)
     return Value(F.lit(v), STRING, known=True, value=v)
@@ -100,12 +103,26 @@ def as_kind(v: Value, kind: str) -> Value:
     return Value(got, kind, dtype)
 
 
+def double_of(v: Value) -> Column:
+    """A number as the nearest double."""
+    return v.col.cast("double") if v.digits is None else v.digits.try_cast("double")
+
+
+def rank_of(v: Value) -> Column:
+    """A whole number of any length as a struct that compares as the number does."""
+    x = v.col.cast("string") if v.digits is None else v.digits
+    below = x.startswith("-")
+    size = F.length(x)
+    flipped = F.translate(x, "0123456789", "9876543210")
+    return F.when(x.isNotNull(), F.struct(F.when(below, -size).otherwise(size).alias("size"), F.when(below, flipped).otherwise(x).alias("text")))
+
+
 def truth(v: Value) -> Column:
     """Truth as the language sees it: null stays unknown; 0, '' and empty arrays are false."""
     if v.kind == BOOLEAN:
         return v.col
     if v.kind == NUMBER:
-        return v.col != 0
+        return v.col != 0 if v.digits is None else v.digits != "0"
     if v.kind == STRING:
         return v.col != ""
     if v.kind == ARRAY:
@@ -128,7 +145,7 @@ def text_of(v: Value) -> Value:
     if v.kind == BOOLEAN:
         return Value(v.col.cast("string"), STRING)
     if v.kind == NUMBER and v.integral:
-        return Value(v.col.cast("string"), STRING)
+        return Value(v.col.cast("string") if v.digits is None else v.digits, STRING)
     if v.kind == NUMBER:
         size = F.abs(v.col)
         plain = lambda scale: F.regexp_replace(F.regexp_replace(v.col.cast(f"decimal(38,{scale})").cast("string"), "0+$", ""), r"\.$", ".0")

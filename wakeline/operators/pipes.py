@@ -76,7 +76,7 @@ def shown(x: Value) -> Column:
     if x.kind == v.STRING:
         return F.coalesce(x.col, F.lit(""))
     if x.kind == v.NUMBER:
-        return F.coalesce(x.col, F.lit(0))
+        return F.coalesce(x.col, F.lit(0)) if x.digits is None else F.coalesce(x.digits, F.lit("0"))
     if x.kind == v.BOOLEAN:
         return F.coalesce(x.col, F.lit(False))
     return F.coalesce(v.text_of(x).col, F.lit(""))
@@ -88,7 +88,7 @@ def sortable(context: Context, x: Value) -> list[Column]:
         return [context.fold(shown(x))]
     if x.kind == v.MIXED:
         return [F.coalesce(v.as_kind(x, v.NUMBER).col, F.lit(0.0)), context.fold(F.coalesce(v.as_kind(x, v.STRING).col, F.lit("")))]
-    return [shown(x)]
+    return [shown(x)] if x.digits is None else [v.rank_of(Value(shown(x), v.NUMBER, digits=shown(x)))]
 
 
 @register("filter")

@@ -121,7 +121,7 @@ class Compiler:
         y = self.value(x.value)
         if y.kind == v.NULL:
             return v.literal(not x.negated)
-        col = y.col.isNull()
+        col = (y.col if y.digits is None else y.digits).isNull()
         if y.kind == v.MIXED:
             col = v.variant_kind(y.col) == v.NULL
         return Value(~col if x.negated else col, v.BOOLEAN)
@@ -144,10 +144,12 @@ class Compiler:
             inside: list[Column] = []
             for kind in (v.NUMBER, v.STRING, v.BOOLEAN):
                 same = [self.context.py(m) for m in fixed if scalar.type_of(m) == kind]
-                if same and y.kind in (kind, v.MIXED):
+                if same and y.digits is not None and kind == v.NUMBER:
+                    inside += [scalar.equal(self.context, y, v.literal(m)) for m in same]
+                elif same and y.kind in (kind, v.MIXED):
                     col = v.as_kind(y, kind).col
                     inside.append((self.context.fold(col) if kind == v.STRING else col).isin(same))
-            known = v.variant_kind(y.col) != v.NULL if y.kind == v.MIXED else y.col.isNotNull()
+            known = v.variant_kind(y.col) != v.NULL if y.kind == v.MIXED else (y.col if y.digits is None else y.digits).isNotNull()
             found = reduce(or_, (F.coalesce(i, F.lit(False)) for i in inside)) if inside else F.lit(False)
             tests.append(F.when(known, found))
         tests += [scalar.equal(self.context, y, self.value(m)) for m in x.members if not isinstance(m, t.Literal)]
@@ -186,7 +188,7 @@ def key(compiler: Compiler, x: t.Node) -> Column:
     if y.kind == v.STRING:
         return compiler.context.fold(y.col)
     if y.kind == v.NUMBER:
-        return y.col.cast("double")
+        return v.double_of(y)
     if y.kind == v.BOOLEAN:
         return y.col.cast("string")
     if y.kind == v.NULL:
